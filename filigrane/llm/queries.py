@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import decontaminate, mixing, quality_rules, token_records, url_filter
+from filigrane.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, token_records, url_filter
+from filigrane.llm.common import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder("doc_id", 3) != 1)
+    model = quality_classifier.learn_quality(docs, labels)
+    out = quality_classifier.score_quality(docs, model).drop("text")
+    return out.withColumn("held_out", remainder("doc_id", 3) == 1)
+
+
 def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.fertility_rules(docs).drop("text")
@@ -21,6 +30,13 @@ def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("listed")
 
 
+def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn_languages(docs.select("doc_id", "text", "lang").where(remainder("doc_id", 4) != 2))
+    out = language_id.identify_languages(docs.select("doc_id", "text"), model).drop("text")
+    return out.withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -41,7 +57,7 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_fertility_rules, op4_bloom_cascade, op7_wu_manber, op9_token_records, op10_budget_fit)
+    for f in (op1_subword_embeddings, op2_fertility_rules, op4_bloom_cascade, op5_output_codes, op7_wu_manber, op9_token_records, op10_budget_fit)
 }
 
 ORACLE = {
