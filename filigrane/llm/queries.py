@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, token_records, url_filter
+from filigrane.llm import decontaminate, language_id, lm_scoring, mixing, quality_classifier, quality_rules, token_records, url_filter
 from filigrane.llm.common import remainder
 
 
@@ -37,6 +37,12 @@ def op5_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
+def op6_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score_texts(docs, remainder("doc_id", 7) != 2)
+    return out.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -57,7 +63,7 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_subword_embeddings, op2_fertility_rules, op4_bloom_cascade, op5_output_codes, op7_wu_manber, op9_token_records, op10_budget_fit)
+    for f in (op1_subword_embeddings, op2_fertility_rules, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op9_token_records, op10_budget_fit)
 }
 
 ORACLE = {
