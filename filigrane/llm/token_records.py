@@ -23,8 +23,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 
 from filigrane.llm.common import pieces, shared_path, utf8
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 PART_ROWS = 4_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MASK = 0xA282EAD8
 END_ID = 1
 
@@ -86,7 +90,13 @@ def record_at(read_range, offset: int) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Encodes words once: the vocabulary's pre-tokenizer never joins what white space divides."""
+    """Encodes words once and looks them up afterwards.
+
+    The vocabulary's pre-tokenizer never joins what white space divides, so the ids of a text are those of its words. It
+    lower-cases and cuts between a letter or digit and punctuation, so a word that was not met yet is its lower-cased core
+    with a tail of ASCII punctuation. Words and cores are held in two generations of bounded size each: when the young one
+    is full it becomes the old one, and what is used again moves back.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,22 +105,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # The rules about cores hold for pre-tokenizers that lower-case and split letters from the rest.
+        probe = ["Ab,", "ab", ",", "x9)", "x9", ")", "q'.", "q", "'."]
+        a, b, c, d, e, f, g, h, i = ([*x.ids] for x in self.tokenizer.encode_batch(probe, add_special_tokens=False))
+        self.folds = a == b + c and d == e + f and g == h + i
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.suffixed = bool(suffix) and self.folds
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """Core and tail of a word: encoded apart they give the ids of the word."""
+        if not self.folds or b"<|" in word:  # special tokens are matched as they are
+            return word, b""
+        core = word.rstrip(PUNCTUATION)
+        if not core:
+            return word, b""
+        if core[-1] >= 128:  # a letter that stays one letter in lower case, or else it may join the punctuation
+            last = core.decode("utf-8", "replace")[-1].lower()
+            if len(last) != 1 or not last.isalpha():
+                return word.lower(), b""
+        return core.lower(), word[len(core) :]
+
+    def learn(self, words: list[bytes]) -> None:
+        old, known = self.old, self.words
+        known[b""] = b""
+        kept = [w for w in words if w in old]
+        known.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        if kept:
+            words = [w for w in words if w not in old]
+        parts = list(map(self.parts, words))
+        fresh = {x for pair in parts for x in pair} - known.keys()
+        kept = [x for x in fresh if x in old]
+        known.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        fresh.difference_update(kept)
+        plain, other = [], []
+        for x in fresh:
+            (plain if x.isalpha() and self.suffixed else other).append(x)
+        for i in range(0, len(plain), 512):
+            known.update(self.joined(plain[i : i + 512]))
+        for i in range(0, len(other), 4096):
+            known.update(self.apart(other[i : i + 4096]))
+        known.update((w, known[c] + known[t]) for w, (c, t) in zip(words, parts, strict=True))
+
+    def apart(self, words: list[bytes]):
+        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [(w, np.array(e.ids, f"<u{self.width}").tobytes()) for w, e in zip(words, got, strict=True)]
+
+    def joined(self, words: list[bytes]):
+        """Words of ASCII letters are one piece each, and only a piece's last token ends in the suffix."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, f"<u{self.width}")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self.apart(words)
+        data, edges = ids.tobytes(), [0, *(ends * self.width).tolist()]
+        return [(w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.old, self.words = self.words, {}
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.words.keys())
+        new: set[bytes] = set()
+        for words in split:
+            new.update(filterfalse(self.words.__contains__, words))
+        self.learn(list(new))
         kind = f"<u{self.width}"
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(some, got, strict=True))
         end = np.array([end_id], kind).tobytes()
         known = self.words
         return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), kind) for words in split]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for each vocabulary in a Python worker, for all tasks that it runs."""
+    store = sys.modules.setdefault("_filigrane_worker", types.ModuleType("_filigrane_worker")).__dict__
+    if path not in store:
+        store[path] = Encoder(path)
+    return store[path]
+
+
 def file_system(uri: str):
     """Arrow's file system for a folder and the folder's path in it."""
     from pyarrow import fs
@@ -149,7 +224,7 @@ def write_records(
         import public_tokenizers
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = worker_encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         part = TaskContext.get().partitionId()
         store, folder = file_system(path)
         store.create_dir(folder, recursive=True)
