@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import decontaminate, language_id, lm_scoring, mixing, quality_classifier, quality_rules, token_records, url_filter
+from filigrane.llm import decontaminate, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, token_records, url_filter
 from filigrane.llm.common import remainder
 
 
@@ -26,6 +26,10 @@ def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.fertility_rules(docs).drop("text")
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("listed")
 
@@ -63,7 +67,7 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_subword_embeddings, op2_fertility_rules, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op9_token_records, op10_budget_fit)
+    for f in (op1_subword_embeddings, op2_fertility_rules, op3_dart_minhash, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op9_token_records, op10_budget_fit)
 }
 
 ORACLE = {
