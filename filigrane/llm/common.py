@@ -100,3 +100,21 @@ def append_columns(
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
+
+
+FILTER_BITS = 1 << 23
+
+
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose `key` may be among those of `wanted`: a prefilter before a join with it.
+
+    The keys' hashes set bits in a bitmap of a fixed size (1 MB), which is what is broadcast, however many keys there
+    are. Rows with a wanted key always stay; with many keys more of the others do.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    maps = wanted.select(bit.alias("__bit")).groupBy(F.expr("__bit div 32768").alias("__part"))
+    maps = maps.agg(F.bitmap_construct_agg((F.col("__bit") % 32768).cast("int")).alias("__map"))
+    own = rows.withColumn("__bit", bit).withColumn("__own", F.expr("__bit div 32768"))
+    near = own.join(F.broadcast(maps), F.col("__own") == F.col("__part"))
+    byte = F.expr("cast(conv(hex(substring(__map, cast((__bit % 32768) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    return near.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__bit", "__own", "__part", "__map")

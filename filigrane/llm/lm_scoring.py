@@ -12,7 +12,7 @@ log probability of every distinct string is computed in groups of the two bytes
 below order 2 are of fixed size, and joined to the strings of each text. Both ways give the same scores.
 
 The unigram score needs each word's count in all training texts. The `FREQUENT` most frequent words, a fixed number, are
-broadcast; all other words of a text meet their counts in a shuffle join on the word.
+broadcast (those above a count that leaves at most so many); all other words of a text meet their counts in a shuffle join on the word.
 
 `adaptive_score` is the same model learned from nothing while it reads one text, in plain Python.
 
@@ -182,6 +182,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Words with the highest counts, at most `most`: those above a count that a histogram of the counts gives, so that
+    the driver gets no more than it keeps."""
+    size = F.floor(F.log(F.col("c")) * 64)
+    histogram = sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    least, held = None, 0
+    for r in histogram:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["size"]
+    return counts.where(size >= least) if least is not None else counts.limit(0)
+
+
 def score_texts(
     docs: DataFrame,
     train: Column,
@@ -206,7 +220,7 @@ def score_texts(
     n_nodes = grams.count()
     total, vocabulary = n_words + ends, distinct + (ends > 0)
     mass = math.log10(total + vocabulary + 1)
-    top = {r["word"].encode(): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    top = {r["word"].encode(): r["c"] for r in most_frequent(counts, frequent).collect()}
     trie = None
     if n_nodes <= max_nodes:
         got = grams.toPandas()

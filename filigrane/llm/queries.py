@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm import decontaminate, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, token_records, url_filter
+from filigrane.llm import decontaminate, language_id, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_records, url_filter
 from filigrane.llm.common import remainder
 
 
@@ -52,6 +52,10 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(table(spark, sf_dir, "documents").select("doc_id", "text"))
     path = manifest.select("path").head()
@@ -67,7 +71,7 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_subword_embeddings, op2_fertility_rules, op3_dart_minhash, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op9_token_records, op10_budget_fit)
+    for f in (op1_subword_embeddings, op2_fertility_rules, op3_dart_minhash, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op8_suffix_sort, op9_token_records, op10_budget_fit)
 }
 
 ORACLE = {
