@@ -76,18 +76,21 @@ def append_columns(
     text_col: str,
     fields: T.StructType,
     make: Callable[[], Callable[[pa.RecordBatch], dict]],
+    into: str | None = None,
 ) -> DataFrame:
     """Every row of `df` with the columns of `fields`, computed batch by batch in Arrow.
 
     `make` runs once per task and returns the function that maps a piece (with its texts in the column `__text`) to the
-    new columns. A column of `df` that has the name of a result column is replaced by it.
+    new columns. A column of `df` that has the name of a result column is replaced by it; with `into`, the results are
+    one struct column of that name and all others stay.
     """
-    names = fields.fieldNames()
+    inner = fields.fieldNames()
+    names = [into] if into else inner
     kept = [c for c in df.columns if c not in names]
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
-    schema = T.StructType([df.schema[c] for c in kept] + list(fields))
+    schema = T.StructType([df.schema[c] for c in kept] + ([T.StructField(into, fields)] if into else list(fields)))
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")) if text_col not in kept else df.select(*[F.col(f"`{c}`") for c in kept])
     text = text_col if text_col in kept else "__text"
 
@@ -96,7 +99,8 @@ def append_columns(
         for piece in pieces(batches, text):
             found = work(piece.column(text))
             arrays = [piece.column(c) for c in kept]
-            arrays += [x if isinstance(x := found[n], pa.Array) else pa.array(x, types[n]) for n in names]
+            new = [x if isinstance(x := found[n], pa.Array) else pa.array(x, types[n]) for n in inner]
+            arrays += [pa.StructArray.from_arrays(new, names=inner)] if into else new
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
     return source.mapInArrow(run, schema)

@@ -263,6 +263,13 @@ def decontaminate(
     return out if spans else out.drop("hit_runs", "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that are not contaminated; all their columns."""
+    held = docs.select(F.struct("*").alias("__row"), F.col(f"`{options.pop('text_col', 'text')}`").alias("__searched"))
+    judged = decontaminate(held, benchmark, text_col="__searched", **options)
+    return judged.where(~F.col("contaminated")).select("__row.*")
+
+
 def counter():
     return lambda column: {"n_words": np.array([len(words_of(t)) for t in utf8(column)], np.int64)}
 

@@ -170,3 +170,21 @@ def mix_plan(
     return out.select(
         "doc_id", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep if c != "doc_id"]
     )
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it is taken; all their columns.
+
+    A plan row finds its document by a hash of id, source and text; of documents equal in these, which have one plan
+    together, the first ones by row number are taken once more often.
+    """
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (id_col, source_col)]
+    nulls = [F.col(f"`{c}`").isNull().cast("string") for c in (id_col, source_col, text_col)]
+    text = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    keyed = docs.withColumn("__row_key", F.unhex(F.md5(F.concat_ws("\x00", *parts, *nulls, text).cast("binary"))))
+    plan = mix_plan(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("__row_key",), **options)
+    plan = plan.groupBy("__row_key").agg(F.sum("times").alias("__total"), F.count("*").alias("__same")).where("__total > 0")
+    rank = F.row_number().over(Window.partitionBy("__row_key").orderBy(F.lit(1)))
+    taken = keyed.join(plan, "__row_key").withColumn("__rank", rank)
+    times = F.expr("int(__total div __same) + int(__rank <= __total % __same)")
+    return taken.withColumn("__again", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

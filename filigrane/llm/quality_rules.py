@@ -234,8 +234,9 @@ def fertility_rules(
     bands: dict | None = None,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    into: str | None = None,
 ) -> DataFrame:
-    """All rows and columns of `df` with the columns of `FIELDS`.
+    """All rows and columns of `df` with the columns of `FIELDS`, or with one struct `into` of them.
 
     The paths name vocabulary files that each executor can open; by default those of the installed public package.
     """
@@ -251,4 +252,4 @@ def fertility_rules(
         )
         return lambda column: meter.measure(utf8(column))
 
-    return append_columns(df, text_col, FIELDS, make)
+    return append_columns(df, text_col, FIELDS, make, into)
