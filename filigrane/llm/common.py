@@ -71,6 +71,19 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [b or b"" for b in as_binary(array).to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -95,6 +108,12 @@ def append_columns(
     text = text_col if text_col in kept else "__text"
 
     def run(batches):
+        try:
+            yield from compute(batches)
+        finally:
+            release()
+
+    def compute(batches):
         work = make()
         for piece in pieces(batches, text):
             found = work(piece.column(text))

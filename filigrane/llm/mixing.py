@@ -60,7 +60,7 @@ def targets_of(sizes: dict, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, bud
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to `budget` from below as can be."""
+    """How many documents of each length to take so that their words come as near to `budget` as can be."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -83,31 +83,34 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: counts split in powers of two, reachable sums as bits, the first item to reach each sum."""
+    """Bounded subset sum: counts split in powers of two, reachable sums as bits up to twice the budget, and for each sum
+    the first item that reached it. The sum nearest to the budget is taken, the smaller of two as near."""
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return take
+    most = int(min(2 * budget, (lengths * counts).sum()))
     items: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable").tolist():
-        left, step = int(min(counts[i], budget // lengths[i] if lengths[i] > 0 else 0)), 1
+        left, step = int(min(counts[i], most // lengths[i] if lengths[i] > 0 else 0)), 1
         while left > 0:
             n = min(step, left)
             items.append((i, n))
             left, step = left - n, step * 2
-    reach = np.zeros(budget + 1, bool)
+    reach = np.zeros(most + 1, bool)
     reach[0] = True
-    first = np.full(budget + 1, -1, np.int32)
+    first = np.full(most + 1, -1, np.int32)
     for k, (i, n) in enumerate(items):
         w = int(lengths[i]) * n
-        if w > budget:
+        if w > most:
             continue
-        new = np.flatnonzero(reach[: budget + 1 - w] & ~reach[w:]) + w
+        new = np.flatnonzero(reach[: most + 1 - w] & ~reach[w:]) + w
         if len(new):
             reach[new] = True
             first[new] = k
-            if reach[budget]:
+            if most >= budget and reach[budget]:
                 break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = items[first[at]]
         take[i] += n

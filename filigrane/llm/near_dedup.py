@@ -11,10 +11,12 @@ texts cost the same few darts besides one look at each shingle.
 `bands` groups of `rows` coordinates are the bucket keys of the join. Work goes from texts to distinct texts (by their
 128-bit hash, pre-aggregated), from buckets to links, from links to classes:
 
-1. every member of a bucket is linked to the bucket's first member if their exact similarity is `threshold` or more;
+1. every member of a bucket is linked to the bucket's leader, the member with the most bucket mates, if their exact
+   similarity is `threshold` or more;
 2. links are joined to connected components (alternating large and small stars, each step written to shared storage);
-3. buckets that still hold several components are compared in pairs of blocks of at most `BLOCK` members by their
-   signatures; pairs of different components whose signatures agree well enough are checked exactly and linked.
+3. buckets that still hold several components are compared in pairs of blocks of about `BLOCK` members by their
+   signatures; pairs of different components that agree well enough are checked exactly, in place, until a member has a
+   link to the other component.
 
 So a group of thousands of copies costs one link per text and bucket, no pairs are emitted within a group, and no link
 between texts that share a bucket is lost. Groups meet in joins that Spark can split and in pre-aggregated minima. With
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import materialize, pieces, utf8
+from filigrane.llm.common import materialize, narrowed, pieces, release, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
 BLOCK = 512
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -150,6 +152,12 @@ def sign(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        try:
+            yield from signed(batches)
+        finally:
+            release()
+
+    def signed(batches):
         words = WordHashes()
         for piece in pieces(batches, "text", 2 << 20):
             texts = utf8(piece.column("text"))
@@ -178,11 +186,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / total if total else 0.0
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text, for a part of the nodes: other documents are mostly left out before the shuffle."""
+    where = nodes.select("node", "key", F.col("first.doc_id").alias("d"))
+    near = narrowed(docs, "key", where.select("key"))
+    return near.join(where, (near["key"] == where["key"]) & near["doc_id"].eqNullSafe(where["d"])).select("node", "text")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs a < b of nodes whose texts are similar enough, by exact weighted Jaccard."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = nodes.select("node", "key", F.col("first.doc_id").alias("d")).join(wanted, "node")
-    texts = docs.join(where, (docs["key"] == where["key"]) & docs["doc_id"].eqNullSafe(where["d"])).select("node", "text")
+    texts = texts_of(nodes.join(wanted, "node"), docs)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -219,33 +233,69 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
-def mixed_pairs(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket and agree in a share `least` of their signatures."""
+def bags(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, and its text's distinct shingles with their counts as packed arrays."""
+    texts = texts_of(nodes, docs)
+
+    def run(batches):
+        words = WordHashes()
+        for piece in pieces(batches, "text"):
+            found = [weighted([t], size, words)[:2] for t in utf8(piece.column("text"))]
+            packed = [pa.array([x[i].astype("<i8").tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([piece.column("node"), *packed], names=["node", "elements", "weights"])
+
+    return texts.mapInArrow(run, "node bigint, elements binary, weights binary").dropDuplicates(["node"])
+
+
+def mixed_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: float, least: float) -> DataFrame:
+    """Links between different components that share a bucket: at least one for any two that have one there.
+
+    Members of such buckets are compared in pairs of blocks. A pair is looked at in the first bucket that it shares, if
+    it agrees in a share `least` of the signature; its similarity is computed exactly in place, until a member has a
+    link to the other component. So what comes out is bounded by members times components, not by pairs.
+    """
     members = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket")
+    rows = materialize(members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket"), "mixed")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "class", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(nodes.select("node", "sig"), "node")
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("node", "class", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    asked = nodes.join(rows.select("node").distinct(), "node")
+    content = asked.select("node", "bands", "sig").join(bags(asked, docs, size), "node")
+    spread = spread.join(content, "node")
 
     def run(pdf):
         import pandas as pd
 
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
+        bands = np.stack(pdf["bands"].to_list()).astype(np.int64)
         node, cls, own = pdf["node"].to_numpy(), pdf["class"].to_numpy(), pdf["own"].to_numpy()
+        here = np.flatnonzero((bands == pdf["bucket"].iloc[0]).all(0))[0]  # the band of this bucket
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        unpacked: dict = {}
+
+        def bag(k):
+            if k not in unpacked:
+                unpacked[k] = tuple(np.frombuffer(pdf[c].iloc[k], kind) for c, kind in (("elements", "<u8"), ("weights", "<i8")))
+            return unpacked[k]
+
+        a, b = [], []
         for x in left.tolist():
             y = right[cls[right] != cls[x]]
-            y = y[(sig[y] == sig[x]).mean(1) >= least]
-            out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got.min(1), "b": got.max(1)}) if len(got) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            agree = (sig[y] == sig[x]).mean(1)
+            near = (agree >= least) & ~(bands[y, :here] == bands[x, :here]).any(1)
+            order = np.argsort(-agree[near], kind="stable")
+            linked = set()
+            for k in y[near][order].tolist():
+                if cls[k] not in linked and similarity(bag(x), bag(k)) >= threshold:
+                    linked.add(cls[k])
+                    a.append(min(node[x], node[k]))
+                    b.append(max(node[x], node[k]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    return spread.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -267,18 +317,19 @@ def near_duplicates(
     texts = same.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.sum("n").alias("n_docs"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
-    buckets = materialize(every.join(shared, "bucket"), "buckets")
-    pairs = materialize(buckets.where("a < node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = materialize(confirmed(pairs, nodes, source, shingle, threshold), "confirmed")
+    shared = every.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z")
+    buckets = materialize(every.join(shared.select("bucket", "n"), "bucket"), "buckets")
+    # A bucket's leader is its most central member: that with the most bucket mates in all its buckets.
+    central = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
+    leaders = buckets.join(central, "node").groupBy("bucket").agg((-F.max(F.struct("mates", (-F.col("node")).alias("order")))["order"]).alias("leader"))
+    pairs = buckets.join(leaders, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    links = materialize(confirmed(materialize(pairs.distinct(), "pairs"), nodes, source, shingle, threshold), "confirmed")
     classes = components(links)
     k = bands * rows
     least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
-    rest = mixed_pairs(buckets.select("bucket", "node"), nodes, classes, least)
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(mixed_links(buckets.select("bucket", "node"), nodes, classes, source, shingle, threshold, least), "more")
     if not rest.isEmpty():
-        more = confirmed(rest, nodes, source, shingle, threshold)
-        classes = components(materialize(more.union(links).distinct(), "confirmed"))
+        classes = components(materialize(rest.union(links).distinct(), "confirmed"))
     named = nodes.select("node", "key", "first", "n_docs").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     head = named.groupBy("class").agg(
         F.min(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("key"), F.col("first.n").alias("n"))).alias("head"), F.sum("n_docs").alias("n")

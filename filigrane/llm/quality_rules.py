@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from filigrane.llm.common import append_columns, utf8
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 

@@ -64,22 +64,31 @@ def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
     )
 
 
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @dataclass
 class Bloom:
     bits: np.ndarray
     n_hashes: int
+    level: int  # each level hashes in its own way: what two levels take by mistake must not be the same
 
     @classmethod
-    def of(cls, h1: np.ndarray, h2: np.ndarray, rate: float) -> Bloom:
+    def of(cls, h1: np.ndarray, h2: np.ndarray, rate: float, level: int) -> Bloom:
         n = max(1, len(h1))
         size = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-        out = cls(np.zeros((size + 7) // 8, np.uint8), max(1, round(size / n * math.log(2))))
+        out = cls(np.zeros((size + 7) // 8, np.uint8), min(30, max(1, round(size / n * math.log(2)))), level)
         for at in out.places(h1, h2):
             np.bitwise_or.at(out.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return out
 
     def places(self, h1: np.ndarray, h2: np.ndarray):
         size = np.uint64(len(self.bits) * 8)
+        h1 = scramble(h1 + np.uint64(self.level) * np.uint64(0x9E3779B97F4A7C15) + h2)
+        h2 = scramble(h2 ^ h1)
         for i in range(self.n_hashes):
             yield (h1 + np.uint64(i) * (h2 | np.uint64(1))) % size
 
@@ -120,17 +129,17 @@ def build_cascade(universe: DataFrame, listed: list[str]) -> Cascade:
     mine = (own[:, 0].copy(), own[:, 1].copy())
     taken = {tuple(x) for x in own.tolist()}
     n = max(1, universe.count())
-    levels = [Bloom.of(*mine, min(0.5, max(1e-6, len(own) / n)))]
+    levels = [Bloom.of(*mine, min(0.5, max(1e-6, len(own) / n)), 1)]
     wrong = mistakes(universe, levels[0], taken)
     while True:
         if not len(wrong[0]):
             return Cascade(levels)
-        levels.append(Bloom.of(*wrong, 0.5))
+        levels.append(Bloom.of(*wrong, 0.5, len(levels) + 1))
         held = levels[-1].holds(*mine)
         mine = (mine[0][held], mine[1][held])
         if not len(mine[0]):
             return Cascade(levels)
-        levels.append(Bloom.of(*mine, 0.5))
+        levels.append(Bloom.of(*mine, 0.5, len(levels) + 1))
         held = levels[-1].holds(*wrong)
         wrong = (wrong[0][held], wrong[1][held])
 
