@@ -1,6 +1,493 @@
-"""Queries over the provided tables and the same in SQL."""
+"""Queries over the provided tables and the same in SQL.
+
+`part` stands for files with names, `region > nation > customer > orders` for a tree, `orders` and `events` for change
+feeds, `documents`, `pages` and `conversations` for names and texts. `now` is always a fixed value.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from filigrane.functions import text as tx
+from filigrane.operators import changes, metrics, profile, rename, retrieval, search, tree, views
+
+NOW = "1998-09-02 12:00:00"
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_items(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files; how often one was ordered (modulo 7) counts as its opens, its last shipping as its change."""
+    facts = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg((F.count("*") % 7).alias("opens"), F.max("l_shipdate").alias("modified"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("parent_path"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size_bytes"))
+    return p.join(facts, "item_id", "left").withColumns({"open_count": F.coalesce("opens", F.lit(0)), "is_dir": F.lit(False), "full_path": F.concat_ws("/", "parent_path", "name")}).drop("opens")
+
+
+ITEMS = """
+    WITH facts AS (SELECT l_partkey, count(*) % 7 AS opens, max(l_shipdate) AS modified FROM lineitem GROUP BY l_partkey),
+    items AS (SELECT p_partkey AS item_id, p_name AS name, p_brand AS parent_path, p_type AS kind, CAST(p_size AS BIGINT) AS size_bytes,
+                     coalesce(opens, 0) AS open_count, modified, p_brand || '/' || p_name AS full_path, string_split(p_name, ' ') AS tokens
+              FROM part LEFT JOIN facts ON p_partkey = l_partkey)"""
+
+
+def ranked(rows: DataFrame, keys: list, *columns: str) -> DataFrame:
+    """A bounded result with its position, so that the order itself is compared."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("position", *columns)
+
+
+# Literal and token search
+
+
+def _literal(spark, d, sort):
+    found = retrieval.literal(part_items(spark, d), "WID")
+    keys = [*sort.keys(), F.col("item_id")]
+    return ranked(views.top(found, keys, 100), keys, "item_id", "name")
+
+
+def _literal_sql(order):
+    return f"""{ITEMS} SELECT row_number() OVER (ORDER BY {order}) AS position, item_id, name FROM items
+               WHERE contains(lower(name), 'wid') ORDER BY position LIMIT 100"""
+
+
+@query(_literal_sql("lower(name), lower(name), lower(full_path), full_path, item_id"))
+def literal_search_name_asc(spark, d):
+    return _literal(spark, d, views.ItemSort("name"))
+
+
+@query(_literal_sql("size_bytes DESC NULLS LAST, lower(name), lower(full_path), full_path, item_id"))
+def literal_search_size_desc(spark, d):
+    return _literal(spark, d, views.ItemSort("size"))
+
+
+@query(_literal_sql("modified DESC NULLS LAST, lower(name), lower(full_path), full_path, item_id"))
+def literal_search_modified_desc(spark, d):
+    return _literal(spark, d, views.ItemSort("modified"))
+
+
+@query(_literal_sql("lower(name), lower(full_path), full_path, item_id"))
+def literal_search_kind(spark, d):
+    return _literal(spark, d, views.ItemSort("kind"))
+
+
+@query(f"""{ITEMS}, hits AS (
+    SELECT *, CAST(list_contains(tokens, 'cold') AS INT) + CAST(list_contains(tokens, 'widget') AS INT) AS hit,
+           len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 AND NOT list_contains(tokens, 'widget') AS in_part FROM items)
+    SELECT item_id, name, (50.0 * (hit + CAST(in_part AS INT)) + CASE WHEN hit + CAST(in_part AS INT) = 2 THEN 100 ELSE 0 END
+           + CASE WHEN lower(name) = 'cold widget' THEN 200 ELSE 0 END + 25.0 * hit + 2.0 * open_count)
+           * CASE WHEN hit = 0 AND in_part THEN 0.7 ELSE 1.0 END AS score
+    FROM hits WHERE hit > 0 OR in_part ORDER BY score DESC, lower(name), item_id LIMIT 50""")
+def token_search_scored(spark, d):
+    found = search.standard_search(part_items(spark, d), ["cold", "widget"], "cold widget")
+    return found.select("item_id", "name", "score")
+
+
+@query(f"{ITEMS} SELECT DISTINCT item_id FROM (SELECT item_id, unnest(tokens) AS token FROM items) WHERE contains(token, 'ol')")
+def partial_match(spark, d):
+    return retrieval.partial(retrieval.postings(part_items(spark, d)), "ol")
+
+
+@query(f"{ITEMS} SELECT DISTINCT item_id FROM (SELECT item_id, unnest(tokens) AS token FROM items) WHERE abs(length(token) - 6) <= 2 AND levenshtein(token, 'wodget') <= 2")
+def fuzzy_match(spark, d):
+    return retrieval.fuzzy(retrieval.postings(part_items(spark, d)), "wodget", 2)
+
+
+@query(f"""{ITEMS} SELECT word, distance FROM (SELECT token AS word, levenshtein(token, 'gear') AS distance, min(item_id) AS first_seen
+           FROM (SELECT item_id, unnest(tokens) AS token FROM items) GROUP BY token)
+           WHERE length(word) BETWEEN 3 AND 64 AND distance <= 3 ORDER BY distance, first_seen, word LIMIT 64""")
+def near_words(spark, d):
+    words = retrieval.postings(part_items(spark, d)).groupBy(F.col("token").alias("word")).agg(F.min("item_id").alias("first_seen"))
+    own = retrieval.near_words(words, "gear", 3, distance=tx.byte_distance)
+    return own.select("word", F.col("distance").cast("long").alias("distance"))
+
+
+@query(f"{ITEMS} SELECT token, count(*) AS items FROM (SELECT DISTINCT item_id, unnest(tokens) AS token FROM items) WHERE token IN ('cold', 'widget', 'none') GROUP BY token")
+def exact_postings(spark, d):
+    return retrieval.exact(retrieval.postings(part_items(spark, d)), ["cold", "widget", "none"]).groupBy("token").agg(F.count("*").alias("items"))
+
+
+@query(f"""{ITEMS}, posted AS (SELECT DISTINCT item_id, name, unnest(tokens) AS token FROM items)
+    SELECT token, count(*) AS matches, array_to_string(list_sort(list(DISTINCT name))[1:3], '|') AS names FROM posted WHERE token IN ('cold', 'widget') GROUP BY token""")
+def token_diagnostics(spark, d):
+    items = part_items(spark, d)
+    out = retrieval.inspect(retrieval.postings(items), items, ["cold", "widget"])
+    return out.select("token", "matches", F.array_join("names", "|").alias("names"))
+
+
+@query(f"""{ITEMS}, w AS (SELECT DISTINCT item_id, unnest(tokens) AS token FROM items)
+    SELECT item_id, max(CASE WHEN token IN ('cold', 'hot') THEN 1 ELSE 0 END) AS first_group, max(CASE WHEN token IN ('widget', 'gear') THEN 1 ELSE 0 END) AS second_group
+    FROM w GROUP BY item_id HAVING first_group = 1 AND second_group = 1""")
+def anchor_and_or(spark, d):
+    terms = tuple(search.Term(x, 1.0, g) for g, xs in ((0, ("cold", "hot")), (1, ("widget", "gear"))) for x in xs)
+    items = part_items(spark, d).withColumn("__own", tx.tokenize_ascii(F.col("name")))
+    every, _ = search.anchor_groups(F.col("__own"), terms, str.split)
+    groups = [F.arrays_overlap("__own", F.array(*[F.lit(x) for x in xs])) for xs in (("cold", "hot"), ("widget", "gear"))]
+    return items.where(every & groups[0] & groups[1]).select("item_id", F.lit(1).alias("first_group"), F.lit(1).alias("second_group"))
+
+
+@query(f"""{ITEMS}, c AS (SELECT *,
+      CASE WHEN list_contains(tokens, 'widget') THEN 1.0 WHEN len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 THEN 0.7
+           WHEN len(list_filter(tokens, lambda x: abs(length(x) - 6) <= 1 AND levenshtein(x, 'widget') <= 1)) > 0 THEN 0.4 END AS worth FROM items)
+    SELECT item_id, 100.0 * worth + CASE WHEN contains(lower(full_path), 'brand#1') THEN 80.0 ELSE 0 END
+         + CASE WHEN list_contains(tokens, 'cold') THEN 12.0 ELSE 0 END + 2.0 * open_count AS score
+    FROM c WHERE worth IS NOT NULL ORDER BY score DESC, lower(name), lower(full_path), full_path, item_id LIMIT 100""")
+def structured_score(spark, d):
+    q = search.StructuredQuery(terms=(search.Term("widget"),), context=(search.Term("cold", 0.4),), folder_hints=(("Brand#1", 0.8),))
+    found = search.structured_search(part_items(spark, d), q, limit=10**6)
+    keys = [F.col("score").desc(), F.lower("name"), F.lower("full_path"), F.col("full_path"), F.col("item_id")]
+    return views.top(found, keys, 100).select("item_id", "score")
+
+
+# Filters, sorts, pages
+
+
+def _order_items(spark, d):
+    o = t(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("item_id"), F.concat(F.lit("o"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", ".pdf").when(F.col("o_orderstatus") == "O", ".MP4").otherwise("")).alias("name"),
+                    (F.col("o_orderstatus") == "P").alias("is_dir"), (F.col("o_totalprice") * 400).cast("long").alias("size_bytes"), F.col("o_orderdate").alias("modified"), F.col("o_orderdate").alias("created"), F.col("o_orderpriority").alias("full_path"))
+
+
+ORDERS = """WITH items AS (SELECT o_orderkey AS item_id, 'o' || o_orderkey || CASE o_orderstatus WHEN 'F' THEN '.pdf' WHEN 'O' THEN '.MP4' ELSE '' END AS name,
+    o_orderstatus = 'P' AS is_dir, CAST(trunc(o_totalprice * 400) AS BIGINT) AS size_bytes, o_orderdate AS modified FROM orders)"""
+
+
+@query(f"{ORDERS} SELECT item_id FROM items WHERE is_dir OR (size_bytes BETWEEN 1048576 AND 104857600)")
+def item_filter_size(spark, d):
+    return _order_items(spark, d).where(views.ItemFilter(size="medium").column(F.lit(NOW).cast("timestamp"))).select("item_id")
+
+
+@query(f"{ORDERS} SELECT item_id FROM items WHERE is_dir OR modified >= TIMESTAMP '{NOW}' - INTERVAL 1 YEAR")
+def item_filter_date(spark, d):
+    return _order_items(spark, d).where(views.ItemFilter(date="year").column(F.lit(NOW).cast("timestamp"))).select("item_id")
+
+
+@query(f"{ORDERS} SELECT item_id FROM items WHERE is_dir OR ends_with(name, '.MP4')")
+def item_filter_category(spark, d):
+    return _order_items(spark, d).where(views.ItemFilter(categories=frozenset({"video", "audio"})).column(F.lit(NOW).cast("timestamp"))).select("item_id")
+
+
+@query(f"{ORDERS} SELECT item_id FROM items WHERE NOT is_dir AND ends_with(name, '.pdf') AND size_bytes < 1048576")
+def item_filter_kind(spark, d):
+    return _order_items(spark, d).where(views.ItemFilter(categories=frozenset({"document"}), kind="files", size="small").column(F.lit(NOW).cast("timestamp"))).select("item_id")
+
+
+@query(f"""{ORDERS} SELECT item_id FROM items WHERE is_dir OR (modified >= TIMESTAMP '1995-01-01' AND modified < TIMESTAMP '1996-01-01'
+           AND size_bytes / 1048576.0 BETWEEN 10 AND 60)""")
+def catalog_filter_bounds(spark, d):
+    f = views.CatalogFilter(modified_from="1995-01-01", modified_before="1996-01-01", min_mb=10, max_mb=60)
+    return _order_items(spark, d).where(f.column()).select("item_id")
+
+
+@query("SELECT page_id FROM pages WHERE len(list_filter(string_split(lower(url), '/'), lambda s: s IN ('es', 'fr'))) > 0")
+def path_segment_filter(spark, d):
+    return t(spark, d, "pages").where(views.has_segment(F.col("url"), ("es", "FR"))).select("page_id")
+
+
+@query("""SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_totalprice > 1000) AS total FROM orders WHERE o_totalprice > 1000
+          ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50""")
+def top_k_offset_total(spark, d):
+    rows = t(spark, d, "orders").where("o_totalprice > 1000").select("o_orderkey", "o_totalprice")
+    return views.page_with_total(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25, 50)
+
+
+@query(f"""{ITEMS} SELECT item_id, dense_rank() OVER (ORDER BY name) AS name_rank FROM items""")
+def dense_name_rank(spark, d):
+    """The rank is that of the distinct names, of which there are few; items meet it in a join."""
+    items = part_items(spark, d).select("item_id", "name")
+    ranks = items.select("name").distinct().withColumn("name_rank", F.row_number().over(Window.orderBy("name")).cast("long"))
+    return items.join(ranks, "name").select("item_id", "name_rank")
+
+
+# Trees
+
+
+def _tree_rows(spark, d):
+    r = t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("root").alias("parent_id"), F.col("r_name").alias("name"), F.lit(True).alias("is_dir"))
+    n = t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name", F.lit(True))
+    c = t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_name", F.lit(True))
+    o = t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderkey").cast("string"), F.lit(False))
+    top = spark.createDataFrame([("root", None, "world", True)], "id string, parent_id string, name string, is_dir boolean")
+    return top.union(r).union(n).union(c).union(o)
+
+
+def _tree(spark, d):
+    return tree.reachable(_tree_rows(spark, d), "root", depth=4)
+
+
+TREE = """WITH RECURSIVE rows AS (
+      SELECT 'root' AS id, CAST(NULL AS VARCHAR) AS parent_id, 'world' AS name UNION ALL SELECT 'r' || r_regionkey, 'root', r_name FROM region
+      UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer
+      UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders),
+    tree AS (SELECT id, parent_id, name, 0 AS depth, name AS path, CAST([] AS VARCHAR[]) AS ancestors FROM rows WHERE id = 'root'
+      UNION ALL SELECT r.id, r.parent_id, r.name, t.depth + 1, t.path || '/' || r.name, list_append(t.ancestors, t.id) FROM rows r JOIN tree t ON r.parent_id = t.id WHERE t.depth < 20)"""
+
+
+@query(f"{TREE} SELECT id, depth, path FROM tree")
+def tree_paths(spark, d):
+    return _tree(spark, d).select("id", "depth", "path")
+
+
+@query(f"{TREE} SELECT id, path FROM tree WHERE list_has_any(ancestors, ['r1', 'n3'])")
+def tree_descendants(spark, d):
+    return tree.descendants(_tree(spark, d), ["r1", "n3"]).select("id", "path")
+
+
+@query(f"{TREE} SELECT id, name FROM tree WHERE parent_id = 'n3'")
+def tree_children(spark, d):
+    return tree.children(_tree(spark, d), "n3").select("id", "name")
+
+
+@query(f"{TREE} SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree WHERE starts_with(id, 'c')")
+def tree_ancestors(spark, d):
+    return tree.closure(_tree(spark, d)).where("descendant LIKE 'c%'").select("ancestor", "descendant")
+
+
+@query(f"{TREE} SELECT id FROM tree WHERE list_contains(ancestors, 'n3') AND starts_with(id, 'c')")
+def folder_expansion(spark, d):
+    rows = _tree(spark, d).select(F.col("id").alias("full_path"), "ancestors", "is_dir", "name")
+    matched = rows.where("full_path = 'n3'").drop("ancestors")
+    return search.expand_folders(matched, rows, False).where("full_path LIKE 'c%'").select(F.col("full_path").alias("id"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphan_rows(spark, d):
+    return changes.orphans(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def reachable_rows(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
+
+
+@query(f"{TREE} SELECT id FROM tree WHERE NOT (id IN ('r2', 'n3') OR list_has_any(ancestors, ['r2', 'n3']))")
+def cascade_delete(spark, d):
+    gone = spark.createDataFrame([("r2",), ("n3",)], "id string")
+    return changes.cascade_delete(_tree(spark, d), gone).select("id")
+
+
+@query("SELECT page_id, list_aggregate(parts[1:greatest(1, len(parts) - 1)], 'string_agg', '/') AS parent, parts[len(parts)] AS leaf, len(parts) AS depth FROM (SELECT page_id, list_filter(string_split(url, '/'), lambda s: s <> '') AS parts FROM pages) WHERE len(parts) > 1")
+def path_parts(spark, d):
+    parts = tx.segments(F.col("url"))
+    rows = t(spark, d, "pages").select("page_id", parts.alias("p")).where(F.size("p") > 1)
+    return rows.select("page_id", F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("parent"), F.element_at("p", -1).alias("leaf"), F.size("p").cast("long").alias("depth"))
+
+
+# Changes
+
+
+@query("""WITH base AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_custkey % 9 AS opens FROM orders WHERE o_orderkey % 3 <> 0),
+      delta AS (SELECT o_orderkey AS k, 'X' AS status, o_totalprice + 1 AS price, 0 AS opens FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT coalesce(b.k, d.k) AS k, coalesce(d.status, b.status) AS status, coalesce(d.price, b.price) AS price, coalesce(b.opens, d.opens) AS opens FROM base b FULL JOIN delta d ON b.k = d.k""")
+def upsert_merge(spark, d):
+    o = t(spark, d, "orders")
+    base = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k", "o_orderstatus AS status", "o_totalprice AS price", "o_custkey % 9 AS opens")
+    delta = o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'X' AS status", "o_totalprice + 1 AS price", "0L AS opens")
+    return changes.upsert(base, delta, "k", preserve=("opens",))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS kind, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
+      b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'D' ELSE o_orderstatus END AS kind, o_totalprice + o_orderkey % 5 AS price FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT action, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' WHEN a.kind <> b.kind THEN 'replace'
+      WHEN a.price <> b.price THEN 'update' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.k = b.k) GROUP BY action""")
+def reconcile_actions(spark, d):
+    o = t(spark, d, "orders")
+    a = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k", "o_orderstatus AS kind", "o_totalprice AS price")
+    b = o.where("o_orderkey % 4 <> 0").selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 11 = 0 THEN 'D' ELSE o_orderstatus END AS kind", "o_totalprice + o_orderkey % 5 AS price")
+    return changes.reconcile(a, b, "k", ("price",), "kind").groupBy("action").agg(F.count("*").alias("n"))
+
+
+def _feed(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "created").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "renamed").otherwise("modified")
+    return t(spark, d, "events").select("event_id", "ts", "user_id", kind.alias("kind"))
+
+
+FEED = """WITH feed AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'purchase' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'renamed' ELSE 'modified' END AS kind FROM events)"""
+
+
+@query(f"""{FEED}, s AS (SELECT *, kind <> 'modified' AS structural, sum(CASE WHEN kind <> 'modified' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM feed),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment, structural ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id, segment, structural) AS merged,
+          last_value(event_id) OVER (PARTITION BY user_id, segment, structural ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_event_id FROM s)
+    SELECT event_id, kind, merged, last_event_id FROM r WHERE structural OR i = 1""")
+def coalesce_events(spark, d):
+    return changes.coalesce_events(_feed(spark, d), "user_id", ["ts", "event_id"]).select("event_id", "kind", "merged", "last_event_id")
+
+
+@query(f"""{FEED}, r AS (SELECT *, max(CASE WHEN kind <> 'modified' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS structural, row_number() OVER (PARTITION BY user_id, kind ORDER BY ts DESC, event_id DESC) AS i FROM feed)
+    SELECT event_id, kind FROM r WHERE kind <> 'modified' OR (structural = 0 AND i = 1)""")
+def debounce_batch(spark, d):
+    return changes.debounce(_feed(spark, d), "user_id", ["ts", "event_id"]).select("event_id", "kind")
+
+
+@query(f"""{FEED} SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN max(CASE WHEN kind = 'deleted' THEN 1 ELSE 0 END) = 1 THEN 'deleted'
+      WHEN max(CASE WHEN kind = 'renamed' THEN 1 ELSE 0 END) = 1 THEN 'renamed' WHEN max(CASE WHEN kind = 'created' THEN 1 ELSE 0 END) = 1 THEN 'created' ELSE 'modified' END AS kind, count(*) AS records
+    FROM feed GROUP BY user_id, day""")
+def fold_file_state(spark, d):
+    rows = _feed(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return changes.fold_state(rows, ["user_id", "day"], ["ts", "event_id"]).select("user_id", "day", "kind", "records")
+
+
+@query("""SELECT o_orderkey, CAST(floor((sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - n) / 300000) AS BIGINT) AS page FROM (SELECT o_orderkey, o_custkey, CAST(trunc(o_totalprice) AS BIGINT) AS n FROM orders)""")
+def delivery_pages(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("long").alias("n"))
+    return changes.pages_by_size(rows, "o_custkey", ["o_orderkey"], "n", 300_000).select("o_orderkey", "page")
+
+
+# Profiles
+
+
+@query("""SELECT source, count(n_chars) AS n, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n_chars, 0.9) AS BIGINT) AS p90, CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS p95,
+          CAST(quantile_disc(n_chars, 0.99) AS BIGINT) AS p99, max(n_chars) AS largest FROM documents GROUP BY source""")
+def distribution_summary(spark, d):
+    return profile.summarize(t(spark, d, "documents").select("source", "n_chars"), "n_chars", ["source"])
+
+
+@query("""SELECT CASE WHEN n_chars <= 0 THEN -1 ELSE CAST(floor(log2(n_chars)) AS INT) END AS bucket, count(*) AS n FROM documents GROUP BY bucket""")
+def log2_histogram(spark, d):
+    return profile.log2_histogram(t(spark, d, "documents"), "n_chars")
+
+
+@query("""SELECT CASE WHEN n <= 5 THEN 0 WHEN n <= 10 THEN 1 WHEN n <= 15 THEN 2 WHEN n <= 20 THEN 3 WHEN n <= 25 THEN 4 WHEN n <= 30 THEN 5 WHEN n <= 40 THEN 6 WHEN n <= 50 THEN 7
+          WHEN n <= 75 THEN 8 WHEN n <= 100 THEN 9 WHEN n <= 150 THEN 10 WHEN n <= 255 THEN 11 ELSE 12 END AS bucket, count(*) AS n FROM (SELECT length(url) AS n FROM pages) GROUP BY bucket""")
+def length_histogram(spark, d):
+    return profile.histogram(t(spark, d, "pages").select(F.length("url").alias("x")), "x", profile.LENGTH_BUCKETS)
+
+
+WORDS = r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)"
+
+
+def _words(spark, d):
+    own = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    return t(spark, d, "documents").select("doc_id", F.explode(own).alias("token"))
+
+
+@query(f"""{WORDS}, f AS (SELECT token, count(DISTINCT doc_id) AS df FROM w GROUP BY token)
+    SELECT CASE WHEN df <= 1 THEN 0 WHEN df <= 2 THEN 1 WHEN df <= 3 THEN 2 WHEN df <= 5 THEN 3 WHEN df <= 10 THEN 4 WHEN df <= 25 THEN 5 WHEN df <= 50 THEN 6 WHEN df <= 100 THEN 7
+      WHEN df <= 1000 THEN 8 WHEN df <= 10000 THEN 9 ELSE 10 END AS bucket, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS edges FROM f GROUP BY bucket""")
+def token_df_fanout(spark, d):
+    return profile.token_fanout(_words(spark, d).distinct())
+
+
+@query(f"""{WORDS}, e AS (SELECT token, doc_id, count(*) AS times FROM w GROUP BY token, doc_id), f AS (SELECT token, count(*) AS df, sum(times) AS times FROM e GROUP BY token)
+    SELECT count(*) AS tokens, CAST(sum(df) AS BIGINT) AS edges, count(*) FILTER (df = 1) / count(*) AS singleton_ratio, CAST(sum(times) - sum(df) AS DOUBLE) / CAST(sum(times) AS DOUBLE) AS duplicate_ratio,
+      CAST(sum(df) FILTER (df > 1) AS DOUBLE) / CAST(sum(df) AS DOUBLE) AS shared_ratio FROM f""")
+def token_ratios(spark, d):
+    return profile.token_ratios(_words(spark, d), "doc_id")
+
+
+@query("""WITH c AS (SELECT regexp_extract(url, '(\\.[a-z]+)$', 1) AS e, count(*) AS n FROM pages GROUP BY e), s AS (SELECT CASE WHEN e = '' THEN 'none' WHEN n >= 50 AND n * 1000 >= (SELECT sum(n) FROM c) THEN e ELSE 'other' END AS extension, n FROM c)
+    SELECT extension, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY extension""")
+def extension_privacy(spark, d):
+    rows = t(spark, d, "pages").select(F.regexp_extract("url", r"(\.[a-z]+)$", 1).alias("ext"))
+    return profile.extension_profile(rows, "ext")
+
+
+@query(r"""SELECT count(*) AS names, count(*) FILTER (NOT regexp_matches(text, '[^\x00-\x7F]')) AS ascii, count(*) FILTER (regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]')) AS turkish,
+    count(*) FILTER (regexp_matches(text, '[ıİ]')) AS special_i, count(*) FILTER (core <> '' AND NOT regexp_matches(core, '[^\p{Lu}]')) AS all_upper FROM (SELECT text, regexp_replace(text, '[^\p{L}]', '', 'g') AS core FROM documents)""")
+def name_indicators(spark, d):
+    return profile.name_indicators(t(spark, d, "documents"), "text")
+
+
+@query(r"SELECT count(*) FILTER (length(url) > 40) AS long_paths, count(*) FILTER (regexp_matches(url, '\s')) AS with_space, count(*) FILTER (contains(url, '%')) AS with_percent FROM pages")
+def special_counts(spark, d):
+    return profile.special_counts(t(spark, d, "pages"), "url", 40)
+
+
+@query(r"""WITH w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM conversations), k AS (SELECT conv_id, lower(token) AS key, count(*) AS k FROM w GROUP BY ALL)
+    SELECT conv_id, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS pairs FROM k GROUP BY conv_id HAVING pairs > 0""")
+def case_only_pairs(spark, d):
+    w = t(spark, d, "conversations").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("token"))
+    return profile.case_only_pairs(w, "conv_id", "token")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def children_per_parent(spark, d):
+    return profile.children_per_parent(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey")
+
+
+@query("SELECT count(*) AS items, count(DISTINCT p_name) AS names, count(*) FILTER (p_size > 25) AS large FROM part")
+def catalog_counts(spark, d):
+    return t(spark, d, "part").agg(F.count("*").alias("items"), F.countDistinct("p_name").alias("names"), F.count_if(F.col("p_size") > 25).alias("large"))
+
+
+# Metrics
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, edge FROM (SELECT user_id, ts AS edge FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL SELECT user_id, max(ts) FROM events GROUP BY user_id)),
+      w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY edge) - 1 AS win, edge AS lo, lead(edge) OVER (PARTITION BY user_id ORDER BY edge) AS hi FROM p)
+    SELECT e.user_id, CAST(win AS INT) AS "window", count(*) AS samples, min(event_id) AS first_event FROM events e JOIN w ON e.user_id = w.user_id AND e.ts BETWEEN lo AND hi GROUP BY e.user_id, win""")
+def metric_windows(spark, d):
+    e = t(spark, d, "events")
+    w = metrics.event_windows(e, ["user_id"], "ts", F.col("event_type") == "error")
+    return metrics.in_windows(e, w, ["user_id"], "ts").groupBy("user_id", "window").agg(F.count("*").alias("samples"), F.min("event_id").alias("first_event"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, round(max_by(value, (ts, value)) - min_by(value, (ts, value)), 6) AS delta FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type HAVING count(*) >= 2""")
+def metric_deltas(spark, d):
+    return metrics.deltas(t(spark, d, "events"), ["user_id", "event_type"], "ts", "value").select("user_id", "event_type", "n", F.round("delta", 6).alias("delta"))
+
+
+@query()
+def counter_rate(spark, d):
+    """Rows only: the rule that short gaps do not advance the state is a fold, tested against plain Python."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t(spark, d, "events").select("user_id", "ts", "event_id", F.sum(F.abs("value")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(w).alias("ordinal"))
+    return metrics.counter_rates(rows, "user_id", "ts", "total")
+
+
+@query("""WITH m AS (SELECT l_returnflag AS flag, CASE WHEN year(l_shipdate) % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_quantity, 0.5) AS median FROM lineitem GROUP BY flag, run),
+      b AS (SELECT flag, max(p95) FILTER (run = 'baseline') AS a1, max(p95) FILTER (run = 'candidate') AS b1, max(median) FILTER (run = 'baseline') AS a2, max(median) FILTER (run = 'candidate') AS b2 FROM m GROUP BY flag),
+      c AS (SELECT flag, CASE WHEN a1 > 0 THEN (b1 - a1) / a1 * 100 END AS x, CASE WHEN a2 > 0 THEN (b2 - a2) / a2 * 100 END AS y FROM b)
+    SELECT flag, round(x, 6) AS p95_change, round(y, 6) AS median_change, CASE WHEN x IS NULL OR y IS NULL THEN 'missing' WHEN x > 1 OR y > 1 THEN 'regression' WHEN x < -1 OR y < -1 THEN 'improvement' ELSE 'unmeasurable' END AS verdict FROM c""")
+def regression_verdict(spark, d):
+    run = F.when(F.year("l_shipdate") % 2 == 0, "baseline").otherwise("candidate")
+    m = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), run.alias("run")).agg(
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median")
+    )
+    out = metrics.verdict(m, ["flag"], "run", ("p95", "median"), 1.0)
+    return out.select("flag", F.round("p95_change", 6).alias("p95_change"), F.round("median_change", 6).alias("median_change"), "verdict")
+
+
+# Renames and documents
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_name, CASE WHEN p_size % 3 = 0 THEN p_name ELSE upper(replace(p_name, 'cold', 'warm')) || '-' || lpad(CAST(p_size AS VARCHAR), 3, '0') END AS target FROM part),
+      s AS (SELECT *, count(*) OVER (PARTITION BY p_brand, upper(target)) AS same, p_name <> target AS moves FROM r),
+      k AS (SELECT DISTINCT p_brand AS f, upper(p_name) AS u FROM s WHERE NOT moves)
+    SELECT p_partkey, target, CASE WHEN NOT moves THEN 'unchanged' WHEN u IS NOT NULL THEN 'exists' WHEN same > 1 THEN 'duplicate' ELSE 'ready' END AS status FROM s LEFT JOIN k ON p_brand = f AND upper(target) = u""")
+def rename_plan(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    new = rename.new_name(F.col("p_name"), F.col("p_size"), find="cold", replace="warm", template="{name}-{n}", digits=3, case="upper")
+    target = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(new)
+    return rename.plan(p, target, "p_brand", "p_name").select("p_partkey", "target", "status")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS slot FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
+def json_intent(spark, d):
+    k = F.from_json("props", "k BIGINT")["k"]
+    return t(spark, d, "events").select("event_id", k.alias("k"), (k % 5).alias("slot")).where("k IS NOT NULL")
+
+
+@query("""SELECT doc_id, sha256('{"n_chars":' || n_chars || ',"source":"' || source || '"}') AS fingerprint FROM documents""")
+def metric_fingerprint(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", "source")
+    return docs.select("doc_id", F.sha2(F.to_json(F.struct("n_chars", "source")), 256).alias("fingerprint"))
+
+
+@query("""SELECT token, n FROM (SELECT lower(translate(w, 'IİÄÖÜ', 'ıiäöü')) AS token, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY token)""")
+def unicode_tokens(spark, d):
+    return t(spark, d, "part").select(F.explode(tx.tokenize("p_name")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
