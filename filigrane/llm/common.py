@@ -71,11 +71,21 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [b or b"" for b in as_binary(array).to_pylist()]
 
 
+def worker_store() -> dict:
+    """What a Python worker keeps from one task to the next, until a task of another operator ends in it."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_filigrane_worker", types.ModuleType("_filigrane_worker")).__dict__
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks."""
     import ctypes
     import gc
 
+    for name in [k for k in worker_store() if not k.startswith("__")]:
+        del worker_store()[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

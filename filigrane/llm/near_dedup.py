@@ -211,6 +211,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
                     last, left = a, weighted([ta], size, words)[:2]
                 keep.append(similarity(left, weighted([tb], size, words)[:2]) >= threshold)
             k = np.array(keep, bool)
+            if len(words) > CACHE_WORDS:
+                words.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a_ids)[k], pa.int64()), pa.array(np.array(b_ids)[k], pa.int64())], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()

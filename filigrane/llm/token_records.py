@@ -24,8 +24,6 @@ from __future__ import annotations
 import gc
 import os
 import struct
-import sys
-import types
 import uuid
 import zlib
 
@@ -35,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import pieces, shared_path, utf8
+from filigrane.llm.common import pieces, shared_path, utf8, worker_store
 
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
 PART_ROWS = 4_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: By byte: 1 an ASCII letter or digit, 2 ASCII punctuation, 3 white space, 0 others.
@@ -203,7 +201,7 @@ class Encoder:
 
 def worker_encoder(path: str) -> Encoder:
     """One encoder for each vocabulary in a Python worker, for all tasks that it runs."""
-    store = sys.modules.setdefault("_filigrane_worker", types.ModuleType("_filigrane_worker")).__dict__
+    store = worker_store()
     if path not in store:
         store[path] = Encoder(path)
     return store[path]
@@ -260,7 +258,7 @@ def write_records(
         store.create_dir(folder, recursive=True)
         name, own = f"part-{part:07d}", f"_attempt-{uuid.uuid4().hex}"
         out, index, at, n_ids = None, [], 0, 0
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 1 << 20):
             for doc_id, ids in zip(piece.column("id").to_pylist(), encoder.encode(utf8(piece.column("text")), end_id), strict=True):
                 out = out or store.open_output_stream(f"{folder}/{own}.rec")
                 record = frame(payload_of(doc_id, ids, encoder.width))
