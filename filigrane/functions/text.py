@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What separates the tokens of a name.
 DELIMITERS = " _-.,[]()"
@@ -42,22 +43,22 @@ def tokens_of(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(names: pd.Series) -> pd.Series:
     return names.map(tokens_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else fold_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_upper(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else upper_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain(names: pd.Series) -> pd.Series:
     """The key of accent-blind search: folded, then upper case."""
     return names.map(lambda x: None if x is None else upper_text(fold_text(x)))
@@ -65,7 +66,7 @@ def plain(names: pd.Series) -> pd.Series:
 
 def tokenize_ascii(name: Column) -> Column:
     """Native tokens for names of ASCII without a capital I."""
-    return F.filter(F.transform(F.split(F.lower(name), SPLIT), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.lower(name), SPLIT), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def extension(name: Column) -> Column:

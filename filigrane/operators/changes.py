@@ -94,17 +94,21 @@ def fold_state(records: DataFrame, keys: list[str], order: list[str], kind_col:
     return out.select(*keys, kind.alias("kind"), "records", *[F.col(f"last.{c}").alias(f"last_{c}") for c in order])
 
 
-def emit_kind(old: Column, new: Column, deleted: Column, created: Column) -> Column:
-    """The events of a file, from its paths before and after (null: not in view)."""
-    moved = F.lower(old) != F.lower(new)
+def emit_kind(old: Column, new: Column, deleted: Column, created: Column, modified: Column) -> Column:
+    """The events of a file, from its paths before a rename and after it (null: none, or not in view)."""
     one = lambda k, p, q=None: F.struct(F.lit(k).alias("kind"), p.alias("path"), (q if q is not None else F.lit(None).cast("string")).alias("old_path"))
-    first = (
-        F.when(old.isNotNull() & new.isNotNull() & moved, F.array(one("renamed", new, old)))
-        .when(old.isNotNull() & new.isNull(), F.array(one("deleted", old)))
-        .when((old.isNull() & new.isNotNull()) | created | (old.isNotNull() & new.isNotNull() & (old != new)), F.array(one("created", new)))
-        .otherwise(F.array(one("modified", new)))
+    renamed = F.coalesce(F.lower(old) != F.lower(new), F.lit(False))
+    none = F.array().cast("array<struct<kind:string,path:string,old_path:string>>")
+    first = F.when(renamed, F.array(one("renamed", new, old))).otherwise(none)
+    then = (
+        F.when(deleted, F.array(one("deleted", F.coalesce(new, old))))
+        .when(renamed, none)
+        .when(new.isNull() & old.isNotNull(), F.array(one("deleted", old)))
+        .when(new.isNotNull() & created, F.array(one("created", new)))
+        .when(new.isNotNull() & modified, F.array(one("modified", new)))
+        .otherwise(none)
     )
-    return F.when(deleted, F.array(one("deleted", F.coalesce(old, new)))).otherwise(first)
+    return F.concat(first, then)
 
 
 def split_rename(kind: Column, old: Column, new: Column, old_seen: Column, new_seen: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bounds of the buckets, the last one open.
-COUNT_BUCKETS = (0, 1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000)
-LENGTH_BUCKETS = (5, 10, 15, 20, 25, 30, 40, 50, 75, 100, 150, 255)
-DEPTH_BUCKETS = tuple(range(0, 21))
-FANOUT_BUCKETS = (1, 2, 3, 5, 10, 25, 50, 100, 1000, 10000)
+# Upper bounds of the buckets, doubling; the last bucket is open.
+COUNT_BUCKETS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
+FANOUT_BUCKETS = COUNT_BUCKETS[1:]
+LENGTH_BUCKETS = (0, 4, 8, 16, 32, 64, 128, 255)
+DEPTH_BUCKETS = (0, 1, 2, 3, 4, 8, 16, 32)
 
 
 def bucket(value: Column, bounds) -> Column:
@@ -76,15 +76,19 @@ def children_per_parent(parents: DataFrame, rows: DataFrame, key: str, parent_ke
     return parents.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def name_indicators(items: DataFrame, name: str) -> DataFrame:
-    """How many names are ASCII, hold Turkish letters, dotted or dotless i, or are in capitals throughout."""
-    n, core = F.col(name), F.regexp_replace(F.col(name), r"[^\p{L}]", "")
-    return items.agg(
-        F.count("*").alias("names"),
+def name_indicators(items: DataFrame, stem: str) -> DataFrame:
+    """Over stems with a letter: how many hold Turkish letters, dotted or dotless i, are in capitals throughout, fold
+    differently in Turkish, or are ASCII."""
+    n = F.col(stem)
+    letters = F.regexp_replace(n, r"[^\p{L}]", "")
+    has = lambda pattern: F.count_if(F.rlike(n, F.lit(pattern)))
+    return items.where(letters != "").agg(
+        F.count("*").alias("lettered"),
+        has("[çğıöşüÇĞİÖŞÜ]").alias("turkish"),
+        has("[ıİ]").alias("special_i"),
+        F.count_if(~F.rlike(letters, F.lit(r"[^\p{Lu}]"))).alias("all_upper"),
+        has("[Iİ]").alias("folds_differently"),
         F.count_if(~F.rlike(n, F.lit(r"[^\x00-\x7F]"))).alias("ascii"),
-        F.count_if(F.rlike(n, F.lit("[çğıöşüÇĞİÖŞÜ]"))).alias("turkish"),
-        F.count_if(F.rlike(n, F.lit("[ıİ]"))).alias("special_i"),
-        F.count_if((core != "") & ~F.rlike(core, F.lit(r"[^\p{Lu}]"))).alias("all_upper"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ class Term:
     text: str
     weight: float = 1.0
     group: int = 0
-    kind: str = "exact"  # exact, variant, phrase, context
+    kind: str = "plain"  # plain, exact, variant, phrase, context
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,6 @@ class StructuredQuery:
     file_weight: float = 0.5
     folder_weight: float = 0.5
     catalog: object = None
-    options: dict = field(default_factory=dict)
 
     @property
     def folders_preferred(self) -> bool:
@@ -136,8 +135,7 @@ def structured_search(items: DataFrame, query: StructuredQuery, *, tokens: Calla
         if t.kind in ("phrase", "exact"):
             text = " ".join(tokens(t.text))
             inside = F.contains(own_stem, F.lit(text)) if len(text) > 1 else F.lit(False)
-            if t.kind == "phrase" or query.options.get("exact_bonus"):
-                score = score + F.when(own_stem == text, 150.0 * t.weight).when(inside, 75.0 * t.weight).otherwise(0.0)
+            score = score + F.when(own_stem == text, 150.0 * t.weight).when(inside, 75.0 * t.weight).otherwise(0.0)
     for t in query.context:
         for x in tokens(t.text):
             score = score + F.when(F.array_contains(name_tokens(stem(F.col("name"))), x), 30.0 * t.weight).otherwise(0.0)

@@ -361,8 +361,11 @@ def log2_histogram(spark, d):
     return profile.log2_histogram(t(spark, d, "documents"), "n_chars")
 
 
-@query("""SELECT CASE WHEN n <= 5 THEN 0 WHEN n <= 10 THEN 1 WHEN n <= 15 THEN 2 WHEN n <= 20 THEN 3 WHEN n <= 25 THEN 4 WHEN n <= 30 THEN 5 WHEN n <= 40 THEN 6 WHEN n <= 50 THEN 7
-          WHEN n <= 75 THEN 8 WHEN n <= 100 THEN 9 WHEN n <= 150 THEN 10 WHEN n <= 255 THEN 11 ELSE 12 END AS bucket, count(*) AS n FROM (SELECT length(url) AS n FROM pages) GROUP BY bucket""")
+def _bucket_sql(value, bounds):
+    return "CASE " + " ".join(f"WHEN {value} <= {b} THEN {i}" for i, b in enumerate(bounds)) + f" ELSE {len(bounds)} END"
+
+
+@query(f"SELECT {_bucket_sql('length(url)', profile.LENGTH_BUCKETS)} AS bucket, count(*) AS n FROM pages GROUP BY bucket")
 def length_histogram(spark, d):
     return profile.histogram(t(spark, d, "pages").select(F.length("url").alias("x")), "x", profile.LENGTH_BUCKETS)
 
@@ -376,8 +379,7 @@ def _words(spark, d):
 
 
 @query(f"""{WORDS}, f AS (SELECT token, count(DISTINCT doc_id) AS df FROM w GROUP BY token)
-    SELECT CASE WHEN df <= 1 THEN 0 WHEN df <= 2 THEN 1 WHEN df <= 3 THEN 2 WHEN df <= 5 THEN 3 WHEN df <= 10 THEN 4 WHEN df <= 25 THEN 5 WHEN df <= 50 THEN 6 WHEN df <= 100 THEN 7
-      WHEN df <= 1000 THEN 8 WHEN df <= 10000 THEN 9 ELSE 10 END AS bucket, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS edges FROM f GROUP BY bucket""")
+    SELECT {_bucket_sql('df', profile.FANOUT_BUCKETS)} AS bucket, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS edges FROM f GROUP BY bucket""")
 def token_df_fanout(spark, d):
     return profile.token_fanout(_words(spark, d).distinct())
 
@@ -396,8 +398,9 @@ def extension_privacy(spark, d):
     return profile.extension_profile(rows, "ext")
 
 
-@query(r"""SELECT count(*) AS names, count(*) FILTER (NOT regexp_matches(text, '[^\x00-\x7F]')) AS ascii, count(*) FILTER (regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]')) AS turkish,
-    count(*) FILTER (regexp_matches(text, '[ıİ]')) AS special_i, count(*) FILTER (core <> '' AND NOT regexp_matches(core, '[^\p{Lu}]')) AS all_upper FROM (SELECT text, regexp_replace(text, '[^\p{L}]', '', 'g') AS core FROM documents)""")
+@query(r"""SELECT count(*) AS lettered, count(*) FILTER (regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]')) AS turkish, count(*) FILTER (regexp_matches(text, '[ıİ]')) AS special_i,
+    count(*) FILTER (NOT regexp_matches(core, '[^\p{Lu}]')) AS all_upper, count(*) FILTER (regexp_matches(text, '[Iİ]')) AS folds_differently,
+    count(*) FILTER (NOT regexp_matches(text, '[^\x00-\x7F]')) AS ascii FROM (SELECT text, regexp_replace(text, '[^\p{L}]', '', 'g') AS core FROM documents) WHERE core <> ''""")
 def name_indicators(spark, d):
     return profile.name_indicators(t(spark, d, "documents"), "text")
 
