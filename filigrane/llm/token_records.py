@@ -135,6 +135,8 @@ class Encoder:
         core = word.rstrip(PUNCTUATION)
         if not core:
             return word, b""
+        if core[-1] < 128 and KINDS[core[-1]] != 1:  # a control character counts as punctuation
+            return word.lower(), b""
         if core[-1] >= 128:  # a letter that stays one letter in lower case, or else it may join the punctuation
             last = core.decode("utf-8", "replace")[-1].lower()
             if len(last) != 1 or not last.isalpha():
