@@ -79,12 +79,15 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_filigrane_worker", types.ModuleType("_filigrane_worker")).__dict__
 
 
-def release() -> None:
-    """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks."""
+def release(keep: bool = False) -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks.
+
+    keep: leave what is stored for the next task of the same operator.
+    """
     import ctypes
     import gc
 
-    for name in [k for k in worker_store() if not k.startswith("__")]:
+    for name in [k for k in worker_store() if not keep and not k.startswith("__")]:
         del worker_store()[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -94,6 +97,28 @@ def release() -> None:
         pass
 
 
+ARROW_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """mapInArrow for rows that hold whole texts: small batches, and memory given back when a task ends.
+
+    The session's batch size is only touched if it is the default of 10,000 rows.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+    def run(batches):
+        release()
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -118,12 +143,6 @@ def append_columns(
     text = text_col if text_col in kept else "__text"
 
     def run(batches):
-        try:
-            yield from compute(batches)
-        finally:
-            release()
-
-    def compute(batches):
         work = make()
         for piece in pieces(batches, text):
             found = work(piece.column(text))
@@ -132,7 +151,7 @@ def append_columns(
             arrays += [pa.StructArray.from_arrays(new, names=inner)] if into else new
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 FILTER_BITS = 1 << 23

@@ -35,6 +35,7 @@ ORDERS = (1, 2, 3)
 EXHAUSTIVE = 6
 RANDOM_BITS = 48
 EPOCHS = 12
+LEAST_STEPS = 1000
 BATCH = 32
 RATE = 60.0
 SEED = 11
@@ -79,6 +80,7 @@ class OutputCode:
         y = code[[langs.index(v) for v in labels]]
         rng = np.random.default_rng(seed)
         batches = batches_of(packed, size, rng)
+        epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
         steps, total = 0, epochs * len(batches)
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import materialize, pieces, utf8
+from filigrane.llm.common import map_arrow, materialize, pieces, utf8
 
 FREQUENT = 1 << 16
 MAX_NODES = 4_000_000
@@ -72,7 +72,7 @@ def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
     def rows(keys, counts):
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text_col), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -277,7 +277,7 @@ def score_texts(
                     names=["key", "word", "n", "own"],
                 )
 
-    parts = rows.mapInArrow(run, f"key bigint, word string, n bigint, own {own}")
+    parts = map_arrow(rows, run, f"key bigint, word string, n bigint, own {own}")
     rare = counts.where(F.col("c") > 0)
     joined = parts.join(rare, "word", "left")
     c = F.coalesce("c", F.lit(0))
@@ -312,7 +312,7 @@ def joined_scores(rows: DataFrame, grams: DataFrame) -> DataFrame:
             own = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(n.astype(np.int64))], names=["key", "gram", "n"])
 
-    own = rows.select("key", "text").mapInArrow(run, "key bigint, gram bigint, n bigint")
+    own = map_arrow(rows.select("key", "text"), run, "key bigint, gram bigint, n bigint")
     low = grams.groupBy((F.col("gram") % 65536).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toPandas()  # at most 65,536
     sent = rows.sparkSession.sparkContext.broadcast((low["g"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
     middle = F.floor(F.col("gram") / 256).cast("long") % 65536

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import materialize, narrowed, pieces, release, utf8
+from filigrane.llm.common import map_arrow, materialize, narrowed, pieces, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -102,7 +102,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_doc
         t = 0
         while len(live):
             t += 1
-            h = mix(seed[live] + np.uint64(t) * C1)
+            h = mix(seed[live] + np.uint64(t * int(C1) % (1 << 64)))
             at = at - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / width[live]
             inside = at <= until[owner[live]]
             live, at, h = live[inside], at[inside], h[inside]
@@ -152,12 +152,6 @@ def sign(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        try:
-            yield from signed(batches)
-        finally:
-            release()
-
-    def signed(batches):
         words = WordHashes()
         for piece in pieces(batches, "text", 2 << 20):
             texts = utf8(piece.column("text"))
@@ -175,7 +169,7 @@ def sign(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 names=["key", "doc_id", "bands", "sig"],
             )
 
-    return texts.mapInArrow(run, f"key binary, doc_id {kind}, bands array<bigint>, sig binary")
+    return map_arrow(texts, run, f"key binary, doc_id {kind}, bands array<bigint>, sig binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -215,7 +209,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
                 words.clear()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a_ids)[k], pa.int64()), pa.array(np.array(b_ids)[k], pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +240,7 @@ def bags(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             packed = [pa.array([x[i].astype("<i8").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([piece.column("node"), *packed], names=["node", "elements", "weights"])
 
-    return texts.mapInArrow(run, "node bigint, elements binary, weights binary").dropDuplicates(["node"])
+    return map_arrow(texts, run, "node bigint, elements binary, weights binary").dropDuplicates(["node"])
 
 
 def mixed_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: float, least: float) -> DataFrame:

@@ -31,6 +31,7 @@ BUCKETS = 1 << 16
 DIM = 10
 ORDERS = (3, 4)
 EPOCHS = 20
+LEAST_STEPS = 2000
 BATCH = 32
 RATE = 4.0
 SEED = 7
@@ -56,6 +57,7 @@ class Embeddings:
         y = np.eye(len(classes))[[classes.index(v) for v in labels]]
         bias = np.log(y.mean(0))
         batches = batches_of(packed, size, rng)
+        epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
         steps, total = 0, epochs * len(batches)
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import materialize, narrowed, pieces, utf8
+from filigrane.llm.common import map_arrow, materialize, narrowed, pieces, utf8
 
 LENGTH = 200
 ANCHOR = 50
@@ -137,7 +137,7 @@ def anchor_rows(texts: DataFrame, length: int, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(h.astype(np.int64)), pa.array(sh.astype(np.int64)), pa.array(at)], names=["key", "h", "sh", "at"])
                 i = j
 
-    return texts.mapInArrow(run, "key binary, h bigint, sh bigint, at bigint")
+    return map_arrow(texts, run, "key binary, h bigint, sh bigint, at bigint")
 
 
 def common_extension(hashes: Hashes, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -262,7 +262,7 @@ def border_runs(slices: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return slices.mapInArrow(run, "key binary, start bigint, end bigint")
+    return map_arrow(slices, run, "key binary, start bigint, end bigint")
 
 
 def hot_runs(slices: DataFrame, length: int) -> DataFrame:
@@ -284,7 +284,7 @@ def hot_runs(slices: DataFrame, length: int) -> DataFrame:
                 names=["key", "h", "n", "start", "w"],
             )
 
-    own = slices.mapInArrow(windows, "key binary, h bigint, n bigint, start bigint, w bigint")
+    own = map_arrow(slices, windows, "key binary, h bigint, n bigint, start bigint, w bigint")
     twice = own.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
     return own.where("n = 1").join(twice, ["h", "w"]).select("key", "start", (F.col("start") + length).alias("end"))
 
@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             kinds = {"key": pa.binary(), "slice": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    slices = materialize(fetched.mapInArrow(cut, "key binary, h bigint, at bigint, n bigint, kinds bigint, slice binary"), "cuts")
+    slices = materialize(map_arrow(fetched, cut, "key binary, h bigint, at bigint, n bigint, kinds bigint, slice binary"), "cuts")
     usual = slices.where(F.col("kinds") <= hot).drop("kinds").dropDuplicates(["key", "h", "at"])
     parts = whole.distinct().union(border_runs(usual.repartition("h").sortWithinPartitions("h"), length))
     very = slices.where(F.col("kinds") > hot).drop("kinds").dropDuplicates(["key", "h", "at"])
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=names)
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts
-    with_repeats = touched.select("doc_id", "text", "runs").mapInArrow(cut, schema)
+    with_repeats = map_arrow(touched.select("doc_id", "text", "runs"), cut, schema)
     columns = ["doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")]
     columns += [F.col("text").cast("binary").alias("kept")] * texts
     plain = rows.select("key", *columns).join(found.select("key"), "key", "left_anti").drop("key")

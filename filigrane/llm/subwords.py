@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import pieces, utf8
+from filigrane.llm.common import map_arrow, pieces, utf8
 
 CACHE_WORDS = 400_000
 REPEAT = 0  # the bucket of a repeated word; hashes use the others
@@ -116,7 +116,7 @@ def sparse_features(sample: DataFrame, text_col: str, label_col: str, orders, bu
             yield pa.RecordBatch.from_arrays([piece.column(label_col), pa.array(rows, pa.binary())], names=["label", "packed"])
 
     kind = sample.schema[label_col].dataType.simpleString()
-    return sample.select(label_col, text_col).mapInArrow(run, f"label {kind}, packed binary")
+    return map_arrow(sample.select(label_col, text_col), run, f"label {kind}, packed binary")
 
 
 def unpacked(rows: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:

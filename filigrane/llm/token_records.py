@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import pieces, shared_path, utf8, worker_store
+from filigrane.llm.common import map_arrow, pieces, release, shared_path, utf8, worker_store
 
 CACHE_WORDS = 300_000
 PART_ROWS = 4_000
@@ -249,6 +249,7 @@ def write_records(
             yield from write_part(batches)
         finally:
             gc.enable()
+            release(keep=True)
 
     def write_part(batches):
         import public_tokenizers
@@ -334,7 +335,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = No
                 if out["doc_id"]:
                     yield batch_of(out, kinds)
 
-    return files.mapInArrow(parse, kinds)
+    return map_arrow(files, parse, kinds)
 
 
 def batch_of(columns: dict, kinds: str) -> pa.RecordBatch:

@@ -87,7 +87,7 @@ class Bloom:
 
     def places(self, h1: np.ndarray, h2: np.ndarray):
         size = np.uint64(len(self.bits) * 8)
-        h1 = scramble(h1 + np.uint64(self.level) * np.uint64(0x9E3779B97F4A7C15) + h2)
+        h1 = scramble(h1 + np.uint64(self.level * 0x9E3779B97F4A7C15 % (1 << 64)) + h2)
         h2 = scramble(h2 ^ h1)
         for i in range(self.n_hashes):
             yield (h1 + np.uint64(i) * (h2 | np.uint64(1))) % size
