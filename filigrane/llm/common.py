@@ -100,14 +100,15 @@ def release(keep: bool = False) -> None:
 ARROW_ROWS = 1000
 
 
-def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
-    """mapInArrow for rows that hold whole texts: small batches, and memory given back when a task ends.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches for rows that hold whole texts. The session's size is only touched if it is the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
-    The session's batch size is only touched if it is the default of 10,000 rows.
-    """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """mapInArrow with small batches, and with memory given back when a task ends."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         release()

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import map_arrow, pieces, release, shared_path, utf8, worker_store
+from filigrane.llm.common import map_arrow, pieces, release, shared_path, small_batches, utf8, worker_store
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 350_000
 PART_ROWS = 4_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: By byte: 1 an ASCII letter or digit, 2 ASCII punctuation, 3 white space, 0 others.
@@ -261,7 +261,7 @@ def write_records(
         store.create_dir(folder, recursive=True)
         name, own = f"part-{part:07d}", f"_attempt-{uuid.uuid4().hex}"
         out, index, at, n_ids = None, [], 0, 0
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text"):
             for doc_id, ids in zip(piece.column("id").to_pylist(), encoder.encode(utf8(piece.column("text")), end_id), strict=True):
                 out = out or store.open_output_stream(f"{folder}/{own}.rec")
                 record = frame(payload_of(doc_id, ids, encoder.width))
@@ -276,6 +276,7 @@ def write_records(
                 store.move(f"{folder}/{own}.{kind}", f"{folder}/{name}.{kind}")
             yield pa.RecordBatch.from_pydict({"file": [f"{name}.rec"], "n_records": [len(index) // 2], "n_ids": [n_ids], "n_bytes": [at]})
 
+    small_batches(spark)
     wrote = ordered.mapInArrow(write, "file string, n_records long, n_ids long, n_bytes long").collect()
     manifest = pd.DataFrame([r.asDict() | {"path": path} for r in sorted(wrote)], columns=["file", "n_records", "n_ids", "n_bytes", "path"])
     schema = "file string, n_records long, n_ids long, n_bytes long, path string"
