@@ -154,3 +154,38 @@ def expand_folders(matched: DataFrame, items: DataFrame, folders_preferred: bool
     folders = matched.where("is_dir").select(F.col("full_path").alias("__folder")).distinct()
     below = items.withColumn("__folder", F.explode("ancestors")).join(folders, "__folder").drop("__folder", "ancestors")
     return matched.where("NOT is_dir").unionByName(below).dropDuplicates(["full_path"])
+
+
+def in_folder_context(path: Column, groups: list[list[str]], *, tokens: Callable[[str], list[str]] = lambda t: t.lower().split(), name_tokens: Callable[[Column], Column] = tokenize_ascii, separator: str = "/") -> Column:
+    """For every group some term of which all tokens lie in one folder above: equal to a token there, or part of one
+    from 4 characters on."""
+    parts = F.split(path, "\\Q" + separator + "\\E")
+    above = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: name_tokens(s))
+    every = F.lit(True)
+    for group in groups:
+        one = F.lit(False)
+        for term in group:
+            if wanted := tokens(term):
+                one = one | F.exists(above, _holds_all(wanted))
+        every = every & one
+    return every
+
+
+def _holds_all(wanted: list[str]) -> Callable[[Column], Column]:
+    """Whether a folder's tokens hold all of the wanted ones."""
+
+    def holds(t: str) -> Callable[[Column], Column]:
+        return lambda x: (x == t) | (F.contains(x, F.lit(t)) if len(t) >= 4 else F.lit(False))
+
+    def every(folder: Column) -> Column:
+        ok = F.lit(True)
+        for t in wanted:
+            ok = ok & F.exists(folder, holds(t))
+        return ok
+
+    return every
+
+
+def affects(names: Column, pattern: str) -> Column:
+    """Whether any of the changed names could change the result of a search for the pattern."""
+    return F.exists(names, lambda n: F.contains(F.lower(n), F.lit(pattern.lower())))

@@ -90,3 +90,18 @@ def crumbs_that_fit(crumbs, budget: int):
         return F.struct(F.when(stop, a["kept"]).otherwise(F.concat(F.array(c), a["kept"])).alias("kept"), F.when(stop, a["used"]).otherwise(cost).alias("used"), stop.alias("full"))
 
     return F.aggregate(F.reverse(crumbs), start, step)["kept"]
+
+
+def visible(tree: DataFrame, denied: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows all of whose directories above may be listed: an anti join on the closure, so one denied folder hides all
+    that lies below it."""
+    gone = denied.select(F.col(id_col).alias("__up")).distinct()
+    hidden = tree.select("id", F.explode("ancestors").alias("__up")).join(gone, "__up").select("id").distinct()
+    return tree.join(hidden, "id", "left_anti")
+
+
+def descendants_from(tree: DataFrame, folders: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows below any of the folders of a table, each once."""
+    wanted = folders.select(F.col(id_col).alias("__up")).distinct()
+    below = tree.select("id", F.explode("ancestors").alias("__up")).join(wanted, "__up").select("id").distinct()
+    return tree.join(below, "id", "left_semi")

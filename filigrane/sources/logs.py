@@ -46,3 +46,23 @@ def load_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame | N
     except Exception:  # a missing or damaged part of any kind means a rebuild
         return None
     return items if whole else None
+
+
+def commit(items: DataFrame, root: str, expected: int, batch_hash: str) -> bool:
+    """Write version `expected` + 1 if `expected` is the latest; False if this very batch made the latest version
+    already; any other state raises ValueError. The hash of a version's batch stands in its manifest folder."""
+    spark = items.sparkSession
+
+    def hash_of(version: int) -> str | None:
+        try:
+            return spark.read.text(f"{root}/v={version:012d}/batch").head()["value"]
+        except Exception:  # no such version
+            return None
+
+    if hash_of(expected + 1) == batch_hash:
+        return False
+    if hash_of(expected + 1) is not None or (expected and hash_of(expected) is None):
+        raise ValueError(f"{expected} is not the latest version of {root}")
+    save_snapshot(items, root, expected + 1)
+    spark.createDataFrame([(batch_hash,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/v={expected + 1:012d}/batch")
+    return True
