@@ -252,8 +252,8 @@ def mixed_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, docs:
     """
     members = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = materialize(members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket"), "mixed")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = materialize(members.join(mixed, "bucket"), "members")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("node", "class", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -314,10 +314,14 @@ def near_duplicates(
     nodes = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a < z")
-    buckets = materialize(every.join(shared.select("bucket", "n"), "bucket"), "buckets")
+    # The sides with one row a bucket are tables of their own: the joins then have a shuffle on each side, and Spark can
+    # split a bucket that many share.
+    shared = materialize(shared.select("bucket", "n"), "shared")
+    buckets = materialize(every.join(shared, "bucket"), "buckets")
     # A bucket's leader is its most central member: that with the most bucket mates in all its buckets.
     central = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
     leaders = buckets.join(central, "node").groupBy("bucket").agg((-F.max(F.struct("mates", (-F.col("node")).alias("order")))["order"]).alias("leader"))
+    leaders = materialize(leaders, "leaders")
     pairs = buckets.join(leaders, "bucket").where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     links = materialize(confirmed(materialize(pairs.distinct(), "pairs"), nodes, source, shingle, threshold), "confirmed")
     classes = components(links)

@@ -295,12 +295,13 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     source = source.where(F.octet_length("text") >= length)
     rows = anchor_rows(source.select("key", "text"), length, anchor)
-    shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # A table of its own, so that the join has a shuffle on each side and Spark can split an anchor that many share.
+    shared = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     matched = materialize(rows.join(shared, "h"), "anchors")
     kinds = materialize(matched.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "slices")
     twice = kinds.where("n > 1").select("h", "sh")
     whole = matched.join(twice, ["h", "sh"]).select("key", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.expr("at & 255") + length).alias("end"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     border = materialize(kinds.join(several, "h").select("h", "kinds", "n", "first.key", "first.at"), "borders")
     asked = border.groupBy("key").agg(F.collect_list(F.struct("h", "at", "n", "kinds")).alias("asked"))
     # One row of each text that has a slice to fetch.
