@@ -141,11 +141,12 @@ class Batch:
     def __init__(self, slots: list[np.ndarray], shares: list[np.ndarray]):
         n = np.array([len(s) for s in slots])
         self.n_rows = len(slots)
-        self.rows = np.repeat(np.arange(len(slots)), n)
+        self.rows = np.repeat(np.arange(len(slots), dtype=np.int32), n)
         cols = np.concatenate(slots) if len(slots) else np.zeros(0, np.int32)
-        self.cols, self.at = np.unique(cols, return_inverse=True)
+        self.cols, at = np.unique(cols, return_inverse=True)
+        self.at = at.astype(np.int32)
         self.share = np.concatenate(shares).astype(np.float32)
-        self.by_col = np.argsort(self.at, kind="stable")
+        self.by_col = np.argsort(self.at, kind="stable").astype(np.int32)
         self.edges = np.searchsorted(self.at[self.by_col], np.arange(len(self.cols)))
 
     def means(self, table: np.ndarray) -> np.ndarray:
