@@ -494,3 +494,86 @@ def metric_fingerprint(spark, d):
 @query("""SELECT token, n FROM (SELECT lower(translate(w, 'IİÄÖÜ', 'ıiäöü')) AS token, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY token)""")
 def unicode_tokens(spark, d):
     return t(spark, d, "part").select(F.explode(tx.tokenize("p_name")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# Listings, crumbs, visibility
+
+
+@query(f"""{ORDERS} SELECT row_number() OVER (ORDER BY is_dir DESC, lower(name), item_id) AS position, item_id, is_dir FROM items ORDER BY position LIMIT 60""")
+def folder_listing(spark, d):
+    page = views.folder_view(_order_items(spark, d), views.ItemSort("name"), 60)
+    return ranked(page, [F.col("is_dir").desc(), F.lower("name"), F.col("item_id")], "item_id", "is_dir")
+
+
+@query("""WITH s AS (SELECT event_type AS full_path, CAST(count(*) AS DOUBLE) AS score FROM events GROUP BY event_type),
+      two AS (SELECT *, row_number() OVER (ORDER BY score DESC, lower(full_path), full_path) AS i FROM s)
+    SELECT a.full_path, a.score FROM two a LEFT JOIN two b ON b.i = 2 WHERE a.i = 1 AND a.score >= 100 AND (b.score IS NULL OR a.score - b.score >= greatest(40.0, 0.25 * abs(b.score)))""")
+def auto_open_pick(spark, d):
+    sums = t(spark, d, "events").groupBy(F.col("event_type").alias("full_path")).agg(F.count("*").cast("double").alias("score"))
+    return views.auto_open(sums.withColumn("name", F.col("full_path")))
+
+
+@query(f"""{TREE}, c AS (SELECT id, path, CASE WHEN path = 'world/ASIA' OR starts_with(path, 'world/ASIA/') THEN 'world/ASIA' ELSE 'world' END AS root FROM tree WHERE depth <= 3),
+      p AS (SELECT id, root, list_filter(string_split(substr(path, length(root) + 2), '/'), lambda s: s <> '') AS parts FROM c)
+    SELECT id, array_to_string(list_concat([root], list_transform(range(1, len(parts) + 1), lambda i: root || '/' || array_to_string(parts[1:i], '/'))), '|') AS crumbs FROM p""")
+def breadcrumbs(spark, d):
+    rows = _tree(spark, d).where("depth <= 3")
+    return rows.select("id", F.array_join(tree.breadcrumb(F.col("path"), ["world", "world/ASIA"]), "|").alias("crumbs"))
+
+
+@query(f"{TREE} SELECT id FROM tree WHERE NOT list_has_any(ancestors, ['r1', 'n3', 'c5'])")
+def visible_rows(spark, d):
+    return tree.visible(_tree(spark, d), spark.createDataFrame([("r1",), ("n3",), ("c5",)], "id string")).select("id")
+
+
+@query(f"""{TREE}, roots AS (SELECT DISTINCT path FROM tree WHERE (depth = 1 AND id <> 'r1') OR depth = 2)
+    SELECT path FROM roots r WHERE NOT EXISTS (SELECT 1 FROM roots o WHERE o.path <> r.path AND starts_with(r.path, o.path || '/'))""")
+def outermost_roots(spark, d):
+    return changes.outermost(_tree(spark, d).where("(depth = 1 AND id <> 'r1') OR depth = 2"))
+
+
+@query(f"""{TREE}, p AS (SELECT id, string_split(lower(path), '/') AS parts FROM tree)
+    SELECT id FROM p WHERE len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda s: contains(s, 'asia') OR contains(s, 'europe'))) > 0""")
+def folder_context_filter(spark, d):
+    return _tree(spark, d).where(search.in_folder_context(F.col("path"), [["asia", "Europe"]])).select("id")
+
+
+# Renames across views, links, overlays
+
+
+@query(f"""{FEED}, s AS (SELECT event_id, kind, user_id % 2 = 0 AS old_seen, user_id % 3 = 0 AS new_seen FROM feed)
+    SELECT event_id, CASE WHEN kind <> 'renamed' THEN kind WHEN old_seen AND new_seen THEN 'renamed' WHEN old_seen THEN 'deleted' ELSE 'created' END AS seen_as
+    FROM s WHERE (kind = 'renamed' AND (old_seen OR new_seen)) OR (kind <> 'renamed' AND new_seen)""")
+def redacted_renames(spark, d):
+    kind = changes.split_rename(F.col("kind"), F.lit("a"), F.lit("b"), F.col("user_id") % 2 == 0, F.col("user_id") % 3 == 0)
+    return _feed(spark, d).select("event_id", kind.alias("seen_as")).where("seen_as IS NOT NULL")
+
+
+@query("""WITH m AS (SELECT o_custkey AS k, o_orderkey AS old_link, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey % 3 = 0),
+      e AS (SELECT o_custkey AS k, o_orderkey AS new_link, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey % 3 = 1)
+    SELECT coalesce(m.k, e.k) AS k, coalesce(old_link, -1) AS old_link, coalesce(new_link, -1) AS new_link FROM m FULL JOIN e ON m.k = e.k AND m.i = e.i""")
+def link_pairs(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("link"))
+    return changes.pair_links(o.where("link % 3 = 0"), o.where("link % 3 = 1"), "k", ["link"]).fillna(-1)
+
+
+@query("""SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 5 = 0""")
+def overlay_rows(spark, d):
+    o = t(spark, d, "orders")
+    return retrieval.overlay(o.selectExpr("o_orderkey AS k", "o_totalprice AS price"), o.where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS k", "0D AS price"), "k")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS run, l_extendedprice AS v FROM lineitem),
+      c AS (SELECT k, CASE WHEN lag(v) OVER w > 0 THEN abs((v - lag(v) OVER w) / lag(v) OVER w * 100) END AS change FROM r WINDOW w AS (PARTITION BY k ORDER BY run, v))
+    SELECT k, round(max(change), 6) AS band FROM c GROUP BY k""")
+def variance_band(spark, d):
+    runs = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), F.col("l_extendedprice").alias("v")).alias("at"), F.col("l_extendedprice").alias("v"))
+    return metrics.variance_band(runs, ["k"], "at", "v").select("k", F.round("band", 6).alias("band"))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS flag, l_linenumber AS stage, quantile_disc(l_quantity, 0.5) * l_linenumber AS cumulative FROM lineitem GROUP BY flag, stage),
+      o AS (SELECT *, cumulative - coalesce(lag(cumulative) OVER (PARTITION BY flag ORDER BY stage), 0) AS own FROM m)
+    SELECT flag, stage, own, CASE WHEN sum(own) OVER (PARTITION BY flag) > 0 THEN round(own / sum(own) OVER (PARTITION BY flag), 6) ELSE 0 END AS share FROM o""")
+def phase_split(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("stage"), (F.col("l_quantity") * F.col("l_linenumber")).alias("v"))
+    return metrics.phases(rows, ["flag"], "stage", "v").select("flag", "stage", "own", F.round("share", 6).alias("share"))
