@@ -122,7 +122,7 @@ def learn_languages(
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("label")).where("label IS NOT NULL AND __id IS NOT NULL")
     # A first draw by the hash leaves a few times `sample_rows` ids of each language, the window then takes the first.
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    part = F.pmod(sample_order("__id"), F.lit(1_000_000)) / 1e6
+    part = F.pmod(sample_order("__id"), F.lit(1_000_000_000)) / 1e9
     drawn = rows.join(F.broadcast(counts), "label").where(part * F.col("n") < 4 * sample_rows + 100)
     first = Window.partitionBy("label").orderBy(part, "__id")
     wanted = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_rows).select("__id", "label").distinct()

@@ -101,13 +101,12 @@ def learn_quality(
     **options,
 ) -> Embeddings:
     """Learn from the labelled rows of `docs`; `labels` holds only rows that may be learned from."""
-    wanted = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(f"`{id_col}`").alias("__id"))
-        .agg(F.max(label_col).cast("int").alias("label"))
-        .orderBy(sample_order("__id"), "__id")
-        .limit(sample_rows)
-    )
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    own = own.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
+    # A first draw by the hash leaves a few times `sample_rows` ids however many there are; the first of these are taken.
+    part = F.pmod(sample_order("__id"), F.lit(1_000_000_000)) / 1e9
+    drawn = own.where(part * own.count() < 4 * sample_rows + 100)
+    wanted = drawn.orderBy(part, "__id").limit(sample_rows)
     # At most `sample_rows` small rows are broadcast.
     sample = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(wanted), "__id")
     rows = sparse_features(sample.select("label", "text"), "text", "label", orders, buckets).limit(2 * sample_rows).collect()
