@@ -87,9 +87,11 @@ def release(keep: bool = False) -> None:
     import ctypes
     import gc
 
-    for name in [k for k in worker_store() if not keep and not k.startswith("__")]:
+    stored = [] if keep else [k for k in worker_store() if not k.startswith("__")]
+    for name in stored:
         del worker_store()[name]
-    gc.collect()
+    if stored:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

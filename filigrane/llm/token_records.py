@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from filigrane.llm.common import map_arrow, pieces, release, shared_path, small_batches, utf8, worker_store
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 550_000
 PART_ROWS = 4_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: By byte: 1 an ASCII letter or digit, 2 ASCII punctuation, 3 white space, 0 others.
