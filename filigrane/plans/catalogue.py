@@ -87,9 +87,9 @@ def literal_search_kind(spark, d):
 @query(f"""{ITEMS}, hits AS (
     SELECT *, CAST(list_contains(tokens, 'cold') AS INT) + CAST(list_contains(tokens, 'widget') AS INT) AS hit,
            len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 AND NOT list_contains(tokens, 'widget') AS in_part FROM items)
-    SELECT item_id, name, (50.0 * (hit + CAST(in_part AS INT)) + CASE WHEN hit + CAST(in_part AS INT) = 2 THEN 100 ELSE 0 END
+    SELECT item_id, name, CAST((50.0 * (hit + CAST(in_part AS INT)) + CASE WHEN hit + CAST(in_part AS INT) = 2 THEN 100 ELSE 0 END
            + CASE WHEN lower(name) = 'cold widget' THEN 200 ELSE 0 END + 25.0 * hit + 2.0 * open_count)
-           * CASE WHEN hit = 0 AND in_part THEN 0.7 ELSE 1.0 END AS score
+           * CASE WHEN hit = 0 AND in_part THEN 0.7 ELSE 1.0 END AS DOUBLE) AS score
     FROM hits WHERE hit > 0 OR in_part ORDER BY score DESC, lower(name), item_id LIMIT 50""")
 def token_search_scored(spark, d):
     found = search.standard_search(part_items(spark, d), ["cold", "widget"], "cold widget")
@@ -142,8 +142,8 @@ def anchor_and_or(spark, d):
 @query(f"""{ITEMS}, c AS (SELECT *,
       CASE WHEN list_contains(tokens, 'widget') THEN 1.0 WHEN len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 THEN 0.7
            WHEN len(list_filter(tokens, lambda x: abs(length(x) - 6) <= 1 AND levenshtein(x, 'widget') <= 1)) > 0 THEN 0.4 END AS worth FROM items)
-    SELECT item_id, 100.0 * worth + CASE WHEN contains(lower(full_path), 'brand#1') THEN 80.0 ELSE 0 END
-         + CASE WHEN list_contains(tokens, 'cold') THEN 12.0 ELSE 0 END + 2.0 * open_count AS score
+    SELECT item_id, CAST(100.0 * worth + CASE WHEN contains(lower(full_path), 'brand#1') THEN 80.0 ELSE 0 END
+         + CASE WHEN list_contains(tokens, 'cold') THEN 12.0 ELSE 0 END + 2.0 * open_count AS DOUBLE) AS score
     FROM c WHERE worth IS NOT NULL ORDER BY score DESC, lower(name), lower(full_path), full_path, item_id LIMIT 100""")
 def structured_score(spark, d):
     q = search.StructuredQuery(terms=(search.Term("widget"),), context=(search.Term("cold", 0.4),), folder_hints=(("Brand#1", 0.8),))
