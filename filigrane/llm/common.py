@@ -79,10 +79,11 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_filigrane_worker", types.ModuleType("_filigrane_worker")).__dict__
 
 
-def release(keep: bool = False) -> None:
+def release(keep: bool = False, collect: bool = True) -> None:
     """Give memory that a Python worker no longer uses back to the system: workers live on for other tasks.
 
-    keep: leave what is stored for the next task of the same operator.
+    keep: leave what is stored for the next task of the same operator. collect: also look for cycles, such as the
+    classes that come with a task and what they hold.
     """
     import ctypes
     import gc
@@ -90,7 +91,7 @@ def release(keep: bool = False) -> None:
     stored = [] if keep else [k for k in worker_store() if not k.startswith("__")]
     for name in stored:
         del worker_store()[name]
-    if stored:
+    if stored or collect and not keep:
         gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -108,16 +109,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+def map_arrow(df: DataFrame, work: Callable, schema, collect: bool = True) -> DataFrame:
     """mapInArrow with small batches, and with memory given back when a task ends."""
     small_batches(df.sparkSession)
 
     def run(batches):
-        release()
+        release(collect=collect)
         try:
             yield from work(batches)
         finally:
-            release()
+            release(collect=collect)
 
     return df.mapInArrow(run, schema)
 

@@ -35,8 +35,8 @@ from filigrane.llm.common import map_arrow, materialize, narrowed, pieces, utf8
 
 LENGTH = 200
 ANCHOR = 50
-SEGMENT = 1 << 20
-BULK = 1 << 21
+SEGMENT = 1 << 19
+BULK = 1 << 20
 HOT = 20_000
 
 BASE = 0x9E3779B97F4A7C15 | 5

@@ -336,7 +336,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = No
                 if out["doc_id"]:
                     yield batch_of(out, kinds)
 
-    return map_arrow(files, parse, kinds)
+    return map_arrow(files, parse, kinds, collect=False)
 
 
 def batch_of(columns: dict, kinds: str) -> pa.RecordBatch:
