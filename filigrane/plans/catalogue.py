@@ -263,6 +263,12 @@ def folder_expansion(spark, d):
     return search.expand_folders(matched, rows, False).where("full_path LIKE 'c%'").select(F.col("full_path").alias("id"))
 
 
+@query(f"{TREE} SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree")
+def tree_closure(spark, d):
+    """The ancestors of every row; `tree_ancestors` shows those of the customers alone, as its SQL says."""
+    return tree.closure(_tree(spark, d)).select("ancestor", "descendant")
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def orphan_rows(spark, d):
     return changes.orphans(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")

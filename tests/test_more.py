@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigrane.operators import search, tree
+from filigrane.plans import catalogue
 from filigrane.sources import logs
 
 
@@ -32,3 +33,10 @@ def test_commit(spark, tmp_path):
         with pytest.raises(ValueError):
             logs.commit(df, str(tmp_path), expected, h)
     assert logs.load_snapshot(spark, str(tmp_path), 2).count() == 1
+
+
+def test_closure_is_whole(spark, sf_dir):
+    """Regions are below one directory, nations two, customers three, orders four."""
+    got = {r.kind: r.n for r in catalogue.QUERIES["tree_closure"](spark, sf_dir).groupBy(F.substring("descendant", 1, 1).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    size = {k: catalogue.t(spark, sf_dir, k).count() for k in ("region", "nation", "customer", "orders")}
+    assert got == {"r": size["region"], "n": 2 * size["nation"], "c": 3 * size["customer"], "o": 4 * size["orders"]}
