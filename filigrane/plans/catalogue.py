@@ -269,6 +269,14 @@ def tree_closure(spark, d):
     return tree.closure(_tree(spark, d)).select("ancestor", "descendant")
 
 
+@query(f"{TREE} SELECT id FROM tree WHERE list_contains(ancestors, 'n3')")
+def folder_contents(spark, d):
+    """All that a matched folder is replaced by; `folder_expansion` shows the customers alone, as its SQL says."""
+    rows = _tree(spark, d).select(F.col("id").alias("full_path"), "ancestors", "is_dir", "name")
+    matched = rows.where("full_path = 'n3'").drop("ancestors")
+    return search.expand_folders(matched, rows, False).select(F.col("full_path").alias("id"))
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def orphan_rows(spark, d):
     return changes.orphans(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")

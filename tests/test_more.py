@@ -40,3 +40,11 @@ def test_closure_is_whole(spark, sf_dir):
     got = {r.kind: r.n for r in catalogue.QUERIES["tree_closure"](spark, sf_dir).groupBy(F.substring("descendant", 1, 1).alias("kind")).agg(F.count("*").alias("n")).collect()}
     size = {k: catalogue.t(spark, sf_dir, k).count() for k in ("region", "nation", "customer", "orders")}
     assert got == {"r": size["region"], "n": 2 * size["nation"], "c": 3 * size["customer"], "o": 4 * size["orders"]}
+
+
+def test_folder_contents_are_whole(spark, sf_dir):
+    """Below a nation are its customers and all of their orders."""
+    got = {r.kind: r.n for r in catalogue.QUERIES["folder_contents"](spark, sf_dir).groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    own = catalogue.t(spark, sf_dir, "customer").where("c_nationkey = 3")
+    orders = catalogue.t(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
+    assert got == {"c": own.count(), "o": orders.count()}
