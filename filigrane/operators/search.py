@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.functions.text import near, stem, tokenize_ascii
+from filigrane.functions.kinds import folder_synonyms
+from filigrane.functions.text import extension, near, stem, tokenize_ascii
+from filigrane.operators.views import CatalogFilter, has_segment
 
 TRAILING_MIN, TRAILING_WEIGHT = 2, 0.7
 
@@ -63,6 +65,15 @@ class StructuredQuery:
     file_weight: float = 0.5
     folder_weight: float = 0.5
     catalog: object = None
+    filter_only: bool = False
+
+    @property
+    def without_terms(self) -> bool:
+        return self.filter_only or not (self.terms or self.context)
+
+    @property
+    def wants_folders(self) -> bool:
+        return self.folder_weight > self.file_weight
 
     @property
     def folders_preferred(self) -> bool:
@@ -106,18 +117,22 @@ def anchor_groups(own: Column, terms: tuple[Term, ...], tokens: Callable[[str],
 
 
 def structured_search(items: DataFrame, query: StructuredQuery, *, tokens: Callable[[str], list[str]] = lambda t: t.lower().split(), limit: int = 100, name_tokens: Callable[[Column], Column] = tokenize_ascii, separator: str = "/") -> DataFrame:
-    """Items of which every anchor group has a match, scored by contributions, folder, type and phrase bonuses."""
-    rows = items.withColumn("__own", name_tokens(F.col("name")))
-    every, best = anchor_groups(F.col("__own"), query.terms, tokens)
-    rows = rows.where(every)
-    if query.folders_preferred:
-        rows = rows.where("is_dir")
-    elif query.files_preferred:
-        rows = rows.where("NOT is_dir")
-    if query.hard_extensions and not query.folders_preferred:
-        rows = rows.where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(list(query.hard_extensions)))
-    if query.catalog is not None:
-        rows = rows.where(query.catalog.column(separator))
+    """Items of which every anchor group has a match, scored by contributions, folder, type and phrase bonuses.
+    Without terms, or in filter-only mode, all items that pass the filters."""
+    if query.without_terms:
+        rows, best = filtered(items, query, separator), {}
+    else:
+        rows = items.withColumn("__own", name_tokens(F.col("name")))
+        every, best = anchor_groups(F.col("__own"), query.terms, tokens)
+        rows = rows.where(every)
+        if query.folders_preferred:
+            rows = rows.where("is_dir")
+        elif query.files_preferred:
+            rows = rows.where("NOT is_dir")
+        if query.hard_extensions and not query.folders_preferred:
+            rows = rows.where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(list(query.hard_extensions)))
+        if query.catalog is not None:
+            rows = rows.where(query.catalog.column(separator))
     parent = name_tokens(F.coalesce(F.substring_index(F.col("parent_path"), separator, -1), F.lit("")))
     own_stem = F.array_join(name_tokens(stem(F.col("name"))), " ")
     score = F.lit(0.0)
@@ -125,9 +140,9 @@ def structured_search(items: DataFrame, query: StructuredQuery, *, tokens: Calla
         score = score + 100.0 * c + F.when(F.array_contains(parent, x), 60.0 * c).otherwise(0.0)
     for hint, weight in query.folder_hints:
         score = score + F.when(F.contains(F.lower("full_path"), F.lit(hint.lower())), 100.0 * min(1.0, max(0.0, weight))).otherwise(0.0)
-    if query.folders_preferred:
+    if query.wants_folders if query.without_terms else query.folders_preferred:
         score = score + F.when(F.col("is_dir"), 150.0 * query.folder_weight).otherwise(0.0)
-    if query.files_preferred:
+    if query.file_weight > query.folder_weight if query.without_terms else query.files_preferred:
         score = score + F.when(~F.col("is_dir"), 100.0 * query.file_weight).otherwise(0.0)
     for i, ext in enumerate(query.soft_extensions):
         score = score + F.when(~F.col("is_dir") & F.endswith(F.lower("name"), F.lit(ext)), float(max(10, 35 - 5 * i))).otherwise(0.0)
@@ -144,6 +159,34 @@ def structured_search(items: DataFrame, query: StructuredQuery, *, tokens: Calla
     return out.orderBy(F.col("score").desc(), F.lower("name"), F.lower("full_path"), "full_path").limit(max(0, limit))
 
 
+def filtered(items: DataFrame, query: StructuredQuery, separator: str) -> DataFrame:
+    """Items that pass the bounds, extensions and folders of a query, whatever their names.
+
+    Hinted folders of a weight over 0.3 bind here. Directories are replaced by what lies below them, unless they are
+    wanted or only files are; what comes out of them passes the bounds too.
+    """
+    catalog = query.catalog or CatalogFilter()
+    expands = not (query.wants_folders or query.files_preferred)
+    scan = replace(catalog, files=catalog.files and not query.folders_preferred, folders=catalog.folders and not query.files_preferred, date_directories=query.wants_folders)
+    ok = scan.column(separator)
+    if query.folder_hints:
+        names = sorted({n for hint, weight in query.folder_hints if weight > 0.3 for n in (hint.lower(), *folder_synonyms(hint))})
+        ok = ok & (has_segment(F.col("full_path"), names, separator) if names else F.lit(False))
+    typed = F.lit(True)
+    if query.hard_extensions and not query.wants_folders:
+        typed = F.lower(extension(F.col("name"))).isin(["." + e.lower().lstrip(".") for e in query.hard_extensions])
+    if not expands:
+        return items.where(ok & typed)
+    parts = F.split("full_path", "\\Q" + separator + "\\E")
+    above = F.transform(F.slice(F.sequence(F.lit(0), F.size(parts) - 1), F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))
+    placed = items if "ancestors" in items.columns else items.withColumn("ancestors", above)
+    matched = items.where(ok & (F.col("is_dir") | typed)).drop("ancestors")
+    found = expand_folders(matched, placed, False, separator)
+    if query.hard_extensions:
+        found = found.where(~F.col("is_dir") & typed)
+    return found.where(replace(catalog, folders=True, date_directories=True).column(separator))
+
+
 def expand_folders(matched: DataFrame, items: DataFrame, folders_preferred: bool, separator: str = "/") -> DataFrame:
     """Matched directories are replaced by what lies below them, unless directories are wanted; files stay.
 

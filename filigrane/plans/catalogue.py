@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from filigrane.functions import text as tx
 from filigrane.operators import changes, metrics, profile, rename, retrieval, search, tree, views
+from filigrane.plans import intent
 
 NOW = "1998-09-02 12:00:00"
 QUERIES: dict = {}
@@ -192,6 +193,18 @@ def catalog_filter_bounds(spark, d):
     return _order_items(spark, d).where(f.column()).select("item_id")
 
 
+@query(f"""{ORDERS}, c AS (SELECT items.*, o_orderpriority || '/' || name AS full_path, o_custkey % 5 AS open_count, o_orderpriority FROM items JOIN orders ON o_orderkey = item_id)
+    SELECT item_id, name, CAST(200.0 + CASE WHEN ends_with(name, '.pdf') THEN 35 ELSE 0 END + 2.0 * open_count AS DOUBLE) AS score
+    FROM c WHERE NOT is_dir AND o_orderpriority = '1-URGENT' AND modified >= TIMESTAMP '1995-01-01' AND modified < TIMESTAMP '1996-01-01' AND size_bytes / 1048576.0 BETWEEN 10 AND 60
+    ORDER BY score DESC, lower(name), lower(full_path), full_path LIMIT 100""")
+def structured_filter_only(spark, d):
+    """A request without keywords; an order's customer (modulo 5) counts as its opens."""
+    asked = {"mode": "filter", "target": "file", "folders": ["1-urgent"], "soft_extensions": [".pdf"], "modified_from": "1995-01-01", "modified_to_exclusive": "1996-01-01", "min_mb": 10, "max_mb": 60}
+    opens = t(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") % 5).alias("open_count"))
+    items = _order_items(spark, d).join(opens, "item_id").withColumn("full_path", F.concat_ws("/", "full_path", "name"))
+    return search.structured_search(items, intent.from_documents(asked, {})).select("item_id", "name", "score")
+
+
 @query("SELECT page_id FROM pages WHERE len(list_filter(string_split(lower(url), '/'), lambda s: s IN ('es', 'fr'))) > 0")
 def path_segment_filter(spark, d):
     return t(spark, d, "pages").where(views.has_segment(F.col("url"), ("es", "FR"))).select("page_id")

@@ -85,7 +85,8 @@ def valid_date(text: str | None) -> str | None:
 
 
 def from_documents(intent: dict, words: dict) -> StructuredQuery:
-    """The intent (mode, target, extensions, folders, bounds) and the keywords (anchors, phrases, context)."""
+    """The intent (mode, target, extensions, folders, bounds) and the keywords (anchors, phrases, context). The mode
+    `filter` holds unless an anchor says more than a kind, an extension or a folder; it takes no keywords."""
     unknown = set(intent) - {"mode", "target", "hard_extensions", "soft_extensions", "folders", "created_from", "created_to_exclusive", "modified_from", "modified_to_exclusive", "min_mb", "max_mb", "open"}
     if unknown or not isinstance(intent.get("hard_extensions", []), list):
         raise ValueError(f"not an intent document: {sorted(unknown) or 'hard_extensions'}")
@@ -98,6 +99,11 @@ def from_documents(intent: dict, words: dict) -> StructuredQuery:
     terms += [Term(p, decayed("phrase", i), n + i, "phrase") for i, p in enumerate(words.get("phrases", []))]
     context = [w for w in words.get("context", []) if w not in words.get("phrases", [])]
     hard = tuple(e.lower() for e in intent.get("hard_extensions", []))
+    told = {e.lower().lstrip(".") for e in (*hard, *intent.get("soft_extensions", []))} | {f.lower() for f in intent.get("folders", [])} | KIND_WORDS
+    primaries = [strip_plural(a["primary"].strip().lower()) for a in words.get("anchors", [])]
+    filter_only = intent.get("mode") == "filter" and not any(p and p not in told for p in primaries)
+    if filter_only:
+        terms, context = [], []
     low, high = valid_date(intent.get("created_from")), valid_date(intent.get("created_to_exclusive"))
     if low and high and low >= high:
         raise ValueError("the first date must be before the last")
@@ -115,6 +121,7 @@ def from_documents(intent: dict, words: dict) -> StructuredQuery:
         file_weight={"file": 1.0, "folder": 0.0}.get(target, 0.5),
         folder_weight={"file": 0.0, "folder": 1.0}.get(target, 0.5),
         catalog=catalog,
+        filter_only=filter_only,
     )
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigrane.operators import search, tree
-from filigrane.plans import catalogue
+from filigrane.operators.views import CatalogFilter
+from filigrane.plans import catalogue, intent
 from filigrane.sources import logs
 
 
@@ -48,3 +49,34 @@ def test_folder_contents_are_whole(spark, sf_dir):
     own = catalogue.t(spark, sf_dir, "customer").where("c_nationkey = 3")
     orders = catalogue.t(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
     assert got == {"c": own.count(), "o": orders.count()}
+
+
+def test_filter_only(spark):
+    """The case of the reference's contract test, then requests without terms on the same items."""
+    day, mib = "2026-07-%02d", 1 << 20
+    rows = [("Downloads", "S", True, day % 10, None, 0), ("S", "", True, "2026-01-01", None, 0), ("sub.d", "S/Downloads", True, day % 12, None, 0)]
+    rows += [(f"report-{x}", f"S/{f}", False, c, s, n) for x, f, c, s, n in (
+        ("z.pdf", "Downloads", day % 10, 2 * mib, 1), ("a.pdf", "Downloads", day % 10, 2 * mib, 4), ("b.txt", "Downloads", day % 10, 2 * mib, 0), ("old.pdf", "Downloads", "2026-06-30", 2 * mib, 0),
+        ("unknown.pdf", "Downloads", None, None, 0), ("c.pdf", "Downloads", day % 10, 2 * mib, 1), ("outside.pdf", "Documents", day % 10, 2 * mib, 0), ("big.pdf", "Downloads", day % 10, 9 * mib, 0))]
+    df = spark.createDataFrame(rows, "name string, parent_path string, is_dir boolean, made string, size_bytes long, open_count int")
+    df = df.withColumns({"created": F.col("made").cast("timestamp"), "full_path": F.when(F.col("parent_path") == "", F.col("name")).otherwise(F.concat_ws("/", "parent_path", "name"))})
+    bounds = CatalogFilter(created_from="2026-07-01", created_before="2026-08-01", min_mb=1, max_mb=3)
+    terms = (search.Term("report-a", 0.9, 0, "phrase"),)
+    q = search.StructuredQuery(terms, (search.Term("report", 0.5),), (("downloads", 0.8),), ("pdf", "txt"), ("pdf",), 0.6, 0.4, bounds, True)
+    names = lambda q, n=100: [r.name for r in search.structured_search(df, q, tokens=lambda t: t.split("-"), limit=n).collect()]
+    assert names(q, 2) == ["report-a.pdf", "report-c.pdf"] and names(q) == ["report-a.pdf", "report-c.pdf", "report-z.pdf"]
+    inside = {"report-a.pdf", "report-b.txt", "report-c.pdf", "report-z.pdf"}
+    every = search.StructuredQuery(folder_hints=(("indirilenler", 0.8),), catalog=bounds)
+    assert set(names(every)) == inside | {"sub.d"}
+    assert set(names(search.StructuredQuery(catalog=bounds))) == inside | {"sub.d", "Downloads", "report-outside.pdf"}
+    assert set(names(search.StructuredQuery(file_weight=1.0, folder_weight=0.0, catalog=bounds))) == inside | {"report-outside.pdf"}
+    assert set(names(search.StructuredQuery(file_weight=0.0, folder_weight=1.0, hard_extensions=(".pdf",), catalog=bounds))) == {"Downloads", "sub.d"}
+    assert names(search.StructuredQuery(folder_hints=(("downloads", 0.2),))) == [] and names(search.StructuredQuery(context=terms)) == []
+
+
+def test_filter_mode():
+    asked = {"mode": "filter", "hard_extensions": [".pdf"], "folders": ["Archive"]}
+    q = intent.from_documents(asked, {"anchors": [{"primary": "PDF"}, {"primary": "archive"}, {"primary": "resimler"}], "phrases": ["x"], "context": ["y"]})
+    assert q.filter_only and not q.terms and not q.context
+    q = intent.from_documents(asked, {"anchors": [{"primary": "pdf"}, {"primary": "budget"}]})
+    assert not q.filter_only and len(q.terms) == 2 and not intent.from_documents({"mode": "keyword"}, {}).filter_only
