@@ -544,7 +544,8 @@ def auto_open_pick(spark, d):
       p AS (SELECT id, root, list_filter(string_split(substr(path, length(root) + 2), '/'), lambda s: s <> '') AS parts FROM c)
     SELECT id, array_to_string(list_concat([root], list_transform(range(1, len(parts) + 1), lambda i: root || '/' || array_to_string(parts[1:i], '/'))), '|') AS crumbs FROM p""")
 def breadcrumbs(spark, d):
-    rows = _tree(spark, d).where("depth <= 3")
+    """Trails are for folders, at any depth; in these tables they are the rows of the first three levels and the root."""
+    rows = _tree(spark, d).where("is_dir")
     return rows.select("id", F.array_join(tree.breadcrumb(F.col("path"), ["world", "world/ASIA"]), "|").alias("crumbs"))
 
 
