@@ -19,8 +19,10 @@ texts cost the same few darts besides one look at each shingle.
    link to the other component.
 
 So a group of thousands of copies costs one link per text and bucket, no pairs are emitted within a group, and no link
-between texts that share a bucket is lost. Groups meet in joins that Spark can split and in pre-aggregated minima. With
-25 bands of 5 rows a pair of similarity 0.8 is missed with probability 5e-5.
+between texts that share a bucket is lost but for a chance of 3e-8: step 3 looks at pairs whose signatures agree in at
+least the threshold less `SIGMAS` standard deviations, which a pair of similarity 0.8 fails that often. Groups meet in
+joins that Spark can split and in pre-aggregated minima. With 25 bands of 5 rows a pair of similarity 0.8 is missed with
+probability 5e-5.
 
 Defined cases: a null text is a class of its own; texts without words are in one class if they are equal; repeated
 rows are in one class and one of them stays; null ids come first when a class's document is chosen; an empty table gives
@@ -41,6 +43,7 @@ THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
 BLOCK = 512
+SIGMAS = 6
 CACHE_WORDS = 200_000
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -326,7 +329,7 @@ def near_duplicates(
     links = materialize(confirmed(materialize(pairs.distinct(), "pairs"), nodes, source, shingle, threshold), "confirmed")
     classes = components(links)
     k = bands * rows
-    least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
+    least = threshold - SIGMAS * (threshold * (1 - threshold) / k) ** 0.5
     rest = materialize(mixed_links(buckets.select("bucket", "node"), nodes, classes, source, shingle, threshold, least), "more")
     if not rest.isEmpty():
         classes = components(materialize(rest.union(links).distinct(), "confirmed"))

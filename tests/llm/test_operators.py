@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, and on nulls, empty texts, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -189,6 +190,16 @@ def test_blocks_link_what_stars_miss(spark, monkeypatch):
     assert classes == {i: i % 2 for i in range(2, 40)}
 
 
+def test_signatures_rule_out_no_similar_pair(spark, monkeypatch):
+    """A pair of just the threshold agrees in fewer coordinates than asked for with a chance far below that of banding."""
+    asked = []
+    compare = near_dedup.mixed_links
+    monkeypatch.setattr(near_dedup, "mixed_links", lambda *a: asked.append(a[-1]) or compare(*a))
+    near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string"))
+    missed = sum(math.comb(125, i) * 0.8**i * 0.2 ** (125 - i) for i in range(126) if i / 125 < asked[0])
+    assert missed < 5e-5 / 100
+
+
 def test_dart_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     elements = rng.integers(0, 1 << 63, 60).astype(np.uint64)
