@@ -8,7 +8,7 @@ that can matter, without losing any:
    Equal windows have equal anchors at equal offsets. One row per anchor, about one in 76 bytes, goes through a shuffle:
    the anchor's hash, the hash of its slice (all windows with that anchor), and where it is. Anchors that occur once
    are done with.
-2. Slices that occur twice are repeated as a whole.
+2. Slices that occur twice, by both hashes and without a look at their bytes, are repeated as a whole.
 3. What is left are anchors with several different slices, at the borders of repeated passages. One slice of each kind
    is fetched as bytes, and within an anchor's group the suffixes that start at its windows are sorted: a mergesort
    whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes.
