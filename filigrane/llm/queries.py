@@ -57,11 +57,8 @@ def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_records.write_records(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    path = manifest.select("path").head()
-    if path is None:
-        return token_records.read_records(spark, "", manifest)
-    return token_records.read_records(spark, path[0], manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """Token ids of every whole text, written as framed records and read back. Null texts: the end id alone."""
+    return token_records.records_of(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

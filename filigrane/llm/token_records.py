@@ -11,35 +11,45 @@ else 4), u8 flag (1: the document has an id), u8 zero, i64 document id, ids. Bes
 each record a pair of i64: its offset in the file and its number of ids; it allows shuffled reads by position.
 
 Files are written under the shared folder by the executors through Arrow's file systems (file, hdfs, s3, ...), first
-under a name of their own for each attempt and then renamed, so that a repeated task leaves one whole file. They are
-read back with Spark's binaryFile source. Rows are range-partitioned by id into partitions of about `part_bytes` of
-input, each sorted; the driver learns one row per file (its number of ids) to place the files one after another.
+under a name of their own for each attempt and then renamed, so that a repeated task leaves one whole set of files. They
+are read back with Spark's binaryFile source. Rows are range-partitioned by id into partitions of about `part_bytes` of
+text at most, each sorted, and a task begins a new file where one would pass `part_bytes`; so a file is bounded by bytes, however
+long or short the documents are, but for a single record that is longer. What was written (one row per file) is a table
+too: files are placed one after another by sums over it, in blocks of `BLOCK_FILES`, and records meet their file's place
+in a join, which Spark broadcasts if it knows the table to be small. The driver holds no list of files.
 
 Defined cases: null and empty texts are sequences of the end id alone; null ids come first; rows with equal ids are
-ordered by text; an empty table writes no file and gives an empty result; other columns play no role.
+ordered by a hash of the text, then by the text; an empty table writes no file and gives an empty result; other columns
+play no role.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import map_arrow, pieces, release, shared_path, small_batches, utf8, worker_store
+from filigrane.llm.common import map_arrow, materialize, pieces, release, shared_path, small_batches, utf8, worker_store
 
 CACHE_WORDS = 550_000
-PART_ROWS = 4_000
+PART_BYTES = 64 << 20
+LEAST_BYTES = 1 << 20
+BLOCK_FILES = 4096
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: By byte: 1 an ASCII letter or digit, 2 ASCII punctuation, 3 white space, 0 others.
 KINDS = np.array([1 if chr(c).isalnum() and c < 128 else 2 if c in PUNCTUATION else 3 if c in b" \t\n\r\v\f" else 0 for c in range(256)], np.uint8)
+#: First byte of the characters from U+0300 on, the first one that combines with another.
+COMBINING = 0xCC
+MAY_COMBINE = re.compile(rb"[A-Z][\xcc-\xff]")
 MASK = 0xA282EAD8
 END_ID = 1
 
@@ -89,12 +99,21 @@ def record_at(read_range, offset: int) -> tuple[int | None, np.ndarray]:
     return doc_id, ids
 
 
-class Encoder:
-    """Encodes words once and looks them up afterwards.
+#: The steps before the model for which words may be encoded apart: composed (NFC), white space to spaces, lower case;
+#: then contractions, runs of letters, single digits and runs of the rest, each a piece of its own.
+STEPS = ("NFC", "Replace", "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    The vocabulary's pre-tokenizer never joins what white space divides, so the ids of a text are those of its words. It
-    lower-cases and cuts between a letter or digit and punctuation, so a word that was not met yet is its lower-cased core
-    with a tail of ASCII punctuation. Words and cores are held in two generations of bounded size each: when the young one
+class Encoder:
+    """Encodes words once and looks them up afterwards, where the vocabulary's steps before the model are those of
+    `STEPS` and `SPLIT`; with other vocabularies it encodes whole texts.
+
+    No piece holds white space, and none is composed across it, so the ids of a text are those of its words. A word is
+    its core and a tail of ASCII punctuation, which are encoded apart where a piece ends between them: after a character
+    that the vocabulary itself, asked once for each, keeps apart from punctuation. ASCII letters are put in lower case
+    here, unless a character that may combine with them follows: composing comes before lowering, and some letters have a
+    composed form in one case only. Words and cores are held in two generations of bounded size each: when the young one
     is full it becomes the old one, and what is used again moves back.
     """
 
@@ -106,12 +125,22 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        # The rules about cores hold for pre-tokenizers that lower-case and split letters from the rest.
-        probe = ["Ab,", "ab", ",", "x9)", "x9", ")", "q'.", "q", "'."]
-        a, b, c, d, e, f, g, h, i = ([*x.ids] for x in self.tokenizer.encode_batch(probe, add_special_tokens=False))
-        self.folds = a == b + c and d == e + f and g == h + i
+        self.apart_from_tail: dict[str, bool] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        normal, cut, added = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}, steps["added_tokens"]
+        first = next(iter(cut.get("pretokenizers", ())), {})
+        # The rules about words hold for these steps, and for special tokens that begin with a mark to be told by.
+        self.by_words = (
+            tuple(n["type"] for n in normal.get("normalizers", ())) == STEPS
+            and first.get("pattern") == {"Regex": SPLIT}
+            and first.get("behavior") == "Removed"
+            and bool(first.get("invert"))
+            and [p["type"] for p in cut["pretokenizers"][1:]] == ["ByteLevel"]
+            and not cut["pretokenizers"][1]["add_prefix_space"]
+            and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["content"].split()[1:] for t in added)
+        )
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.suffixed = bool(suffix) and self.folds
+        self.suffixed = bool(suffix) and self.by_words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if suffix:
@@ -120,7 +149,10 @@ class Encoder:
     def folded(self, text: bytes) -> bytes:
         """The text in lower case with a space between a letter or digit and one punctuation mark that ends a word:
         the same ids from fewer different words."""
-        if not self.folds or b"<|" in text:
+        if b"<|" in text:
+            return text
+        raw = np.frombuffer(text, np.uint8)
+        if (((raw[:-1] - 65) < 26) & (raw[1:] >= COMBINING)).any():
             return text
         data = np.frombuffer(text.lower(), np.uint8)
         kind = KINDS[data]
@@ -128,19 +160,26 @@ class Encoder:
         at = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1) & ends) + 1
         return np.insert(data, at, 32).tobytes()
 
+    def ends_piece(self, last: str) -> bool:
+        """Whether a piece ends after a core that ends in this character, if punctuation follows."""
+        if last not in self.apart_from_tail:
+            both, one, tail = (e.ids for e in self.tokenizer.encode_batch([f"{last},", last, ","], add_special_tokens=False))
+            self.apart_from_tail[last] = both == one + tail
+        return self.apart_from_tail[last]
+
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
         """Core and tail of a word: encoded apart they give the ids of the word."""
-        if not self.folds or b"<|" in word:  # special tokens are matched as they are
+        if b"<|" in word:  # special tokens are matched as they are
             return word, b""
         core = word.rstrip(PUNCTUATION)
         if not core:
             return word, b""
+        if not word.isascii() and MAY_COMBINE.search(word):
+            return word, b""
         if core[-1] < 128 and KINDS[core[-1]] != 1:  # a control character counts as punctuation
             return word.lower(), b""
-        if core[-1] >= 128:  # a letter that stays one letter in lower case, or else it may join the punctuation
-            last = core.decode("utf-8", "replace")[-1].lower()
-            if len(last) != 1 or not last.isalpha():
-                return word.lower(), b""
+        if core[-1] >= 128 and len(core) < len(word) and not self.ends_piece(core.decode("utf-8", "replace")[-1]):
+            return word.lower(), b""
         return core.lower(), word[len(core) :]
 
     def learn(self, words: list[bytes]) -> None:
@@ -178,6 +217,10 @@ class Encoder:
         return [(w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        kind = f"<u{self.width}"
+        end = np.array([end_id], kind).tobytes()
+        if not self.by_words:
+            return [np.frombuffer(ids + end, kind) for _, ids in self.apart(texts)]
         if len(self.words) > CACHE_WORDS:
             self.old, self.words = self.words, {}
         known = self.words.get
@@ -190,8 +233,6 @@ class Encoder:
             new.update([words[i] for i in missing])
             found.append(ids)
         self.learn(list(new))
-        kind = f"<u{self.width}"
-        end = np.array([end_id], kind).tobytes()
         out = []
         for ids, missing in zip(found, split, strict=True):
             for i, w in missing:
@@ -227,18 +268,19 @@ def write_records(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = END_ID,
-    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
     path: str | None = None,
 ) -> DataFrame:
-    """Write the files; returns the path's manifest, one row per file: file, n_records, n_ids, n_bytes.
+    """Write the files; returns the manifest, a table of one row per file: file, n_records, n_ids, n_bytes, path.
 
-    The manifest is small (one row per `part_rows` documents) and is computed here, since writing is an action.
+    Writing is an action and takes place here.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "records")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    n = rows.count()
-    parts = max(1, -(-n // part_rows))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).head()[0] or 0
+    # No partition above `part_bytes`; below it, enough for the cores as long as each has `LEAST_BYTES`.
+    parts = max(1, -(-size // part_bytes), min(4 * spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
     # Rows with equal ids may be a third of all: the text's hash divides them between partitions, still in order.
     spread = rows.withColumn("h", F.xxhash64("text"))
     ordered = spread.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
@@ -259,28 +301,47 @@ def write_records(
         part = TaskContext.get().partitionId()
         store, folder = file_system(path)
         store.create_dir(folder, recursive=True)
-        name, own = f"part-{part:07d}", f"_attempt-{uuid.uuid4().hex}"
+        own, done = f"_attempt-{uuid.uuid4().hex}", []
         out, index, at, n_ids = None, [], 0, 0
+
+        def close():
+            out.close()
+            with store.open_output_stream(f"{folder}/{own}-{len(done)}.idx") as f:
+                f.write(np.array(index, "<i8").tobytes())
+            done.append((f"part-{part:07d}-{len(done):05d}", len(index) // 2, n_ids, at))
+
         for piece in pieces(batches, "text"):
             for doc_id, ids in zip(piece.column("id").to_pylist(), encoder.encode(utf8(piece.column("text")), end_id), strict=True):
-                out = out or store.open_output_stream(f"{folder}/{own}.rec")
                 record = frame(payload_of(doc_id, ids, encoder.width))
+                if out and at + len(record) > part_bytes:
+                    close()
+                    out, index, at, n_ids = None, [], 0, 0
+                out = out or store.open_output_stream(f"{folder}/{own}-{len(done)}.rec")
                 out.write(record)
                 index += [at, len(ids)]
                 at, n_ids = at + len(record), n_ids + len(ids)
         if out:
-            out.close()
-            with store.open_output_stream(f"{folder}/{own}.idx") as f:
-                f.write(np.array(index, "<i8").tobytes())
+            close()
+        for i, (name, *_) in enumerate(done):
             for kind in ("idx", "rec"):
-                store.move(f"{folder}/{own}.{kind}", f"{folder}/{name}.{kind}")
-            yield pa.RecordBatch.from_pydict({"file": [f"{name}.rec"], "n_records": [len(index) // 2], "n_ids": [n_ids], "n_bytes": [at]})
+                store.move(f"{folder}/{own}-{i}.{kind}", f"{folder}/{name}.{kind}")
+        if done:
+            names, *sizes = zip(*done, strict=True)
+            columns = [pa.array([f"{n}.rec" for n in names]), *[pa.array(x, pa.int64()) for x in sizes], pa.array([path] * len(done))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "n_records", "n_ids", "n_bytes", "path"])
 
     small_batches(spark)
-    wrote = ordered.mapInArrow(write, "file string, n_records long, n_ids long, n_bytes long").collect()
-    manifest = pd.DataFrame([r.asDict() | {"path": path} for r in sorted(wrote)], columns=["file", "n_records", "n_ids", "n_bytes", "path"])
-    schema = "file string, n_records long, n_ids long, n_bytes long, path string"
-    return spark.createDataFrame(manifest, schema) if len(manifest) else spark.createDataFrame([], schema)
+    return materialize(ordered.mapInArrow(write, "file string, n_records long, n_ids long, n_bytes long, path string"), "manifest")
+
+
+def placed(sizes: DataFrame) -> DataFrame:
+    """file and `before`, the ids of all files before it, from file and n_ids: sums in blocks of files, then over blocks."""
+    rows = sizes.select("file", "n_ids", F.expr(f"cast(substring(file, 6, 7) as long) div {BLOCK_FILES}").alias("block"))
+    inside = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for thousands of files
+    blocks = rows.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    return rows.join(blocks, "block").select("file", (F.col("inside") + F.col("earlier")).alias("before"))
 
 
 def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = None, ids: bool = False) -> DataFrame:
@@ -288,13 +349,11 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = No
 
     `start` is the number of ids before the document in all files in order.
     """
-    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long"
+    kinds = "doc_id long, within long, n_tokens long, ids_crc32 long, file string, offset long"
     if ids:
         kinds += ", ids array<int>"
-    if manifest is not None:
-        sizes = {r["file"]: r["n_ids"] for r in manifest.collect()}
-    else:
-        # One row per file; the ids of a file are summed from its index.
+    if manifest is None:
+        # The ids of a file are summed from its index.
         index = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.idx").load(path).select("path", "content")
 
         def count(batches):
@@ -303,25 +362,18 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = No
                 files = [p.rsplit("/", 1)[-1].replace(".idx", ".rec") for p in b.column("path").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"file": files, "n_ids": n})
 
-        sizes = {r["file"]: r["n_ids"] for r in index.mapInArrow(count, "file string, n_ids long").collect()}
-    if not sizes:
-        return spark.createDataFrame([], kinds)
-    before, total = {}, 0
-    for name in sorted(sizes):
-        before[name], total = total, total + sizes[name]
-    starts = spark.sparkContext.broadcast(before)
+        manifest = materialize(index.mapInArrow(count, "file string, n_ids long"), "manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.rec").load(path).select("path", "content")
 
     def parse(batches):
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 name = name.rsplit("/", 1)[-1]
-                start = starts.value[name]
                 out: dict = {k.split()[0]: [] for k in kinds.split(", ")}
-                held = 0
+                held = start = 0
                 for offset, doc_id, found in records(content.as_buffer()):
                     out["doc_id"].append(doc_id)
-                    out["start"].append(start)
+                    out["within"].append(start)
                     out["n_tokens"].append(len(found))
                     out["ids_crc32"].append(zlib.crc32(found.astype("<u4").tobytes()))
                     out["file"].append(name)
@@ -336,7 +388,19 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame | None = No
                 if out["doc_id"]:
                     yield batch_of(out, kinds)
 
-    return map_arrow(files, parse, kinds, collect=False)
+    own = map_arrow(files, parse, kinds, collect=False).join(placed(manifest), "file")
+    columns = ["doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset"]
+    return own.select(*columns, *(["ids"] if ids else []))
+
+
+def records_of(docs: DataFrame, tokenizer_path: str | None = None, **options) -> DataFrame:
+    """Write the files of `docs` and read them back; an empty table has none."""
+    spark = docs.sparkSession
+    path = options.pop("path", None) or shared_path(spark, "records")
+    manifest = write_records(docs, tokenizer_path, path=path, **options)
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long")
+    return read_records(spark, path, manifest)
 
 
 def batch_of(columns: dict, kinds: str) -> pa.RecordBatch:

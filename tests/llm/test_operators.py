@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -442,7 +443,8 @@ def test_token_records(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    manifest = token_records.write_records(docs, part_rows=37)
+    manifest = token_records.write_records(docs, part_bytes=30_000)
+    assert manifest.count() > 10 and max(r.n_bytes for r in manifest.where("n_records > 1").collect()) <= 30_000
     path = manifest.head().path
     got = token_records.read_records(spark, path, manifest, ids=True).collect()
     assert sorted(r.doc_id for r in got) == sorted(texts)
@@ -466,20 +468,44 @@ def test_token_records(spark, docs, texts, odd):
     manifest = token_records.write_records(odd)
     rows = token_records.read_records(spark, manifest.head().path, manifest).collect()
     assert len(rows) == len(odd_rows()) and [r.doc_id for r in sorted(rows, key=lambda r: r.start)][:3] == [None, 1, 1]
-    assert token_records.write_records(odd.limit(0)).count() == 0
+    assert token_records.write_records(odd.limit(0)).count() == 0 and token_records.records_of(odd.limit(0)).count() == 0
+    assert token_records.records_of(odd, public_tokenizers.path("byte_bpe_50k.json")).agg({"n_tokens": "sum"}).head()[0] == sum(
+        len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in odd_rows()
+    )
 
 
-def test_words_and_texts_encode_alike():
+def encodes_alike(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, encoder = Tokenizer.from_file(path), token_records.Encoder(path)
+    assert encoder.by_words
+    for i in range(0, len(texts), 20_000):
+        some = texts[i : i + 20_000]
+        want = tokenizer.encode_batch(some, add_special_tokens=False)
+        for text, own, ids in zip(some, want, encoder.encode([t.encode() for t in some], 1), strict=True):
+            assert ids.tolist() == own.ids + [1], ascii(text)
+
+
+def test_words_and_texts_encode_alike():
     rng = random.Random(1)
-    alphabet = "aB9'’.,!?-—é́Σςσİı<|> \n\t 中½²«»ß,,..\x1c"
+    alphabet = "aB9'’.,!?-—é\u0301Σςσİı<|> \n\t 中½²«»ß,,..\x1c"
     odd = ["It's, BOYS', o'clock. «Été», <|endoftext|> <|ENDOFTEXT|>, a<|endoftext|>. ΟΔΟΣ, İstanbul.", "x\x85y, ﻿, Ⅷ, क्षि, 'S, don'T"]
-    for text in [*odd, *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(1500))]:
-        assert encoder.encode([text.encode()], 1)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1], text
+    odd += [f"x{c}{mark} y" for c in "\u0958\u095b\u095c\u095d\u095e\u09dc\u0a5e\ufb2a\ufb47" for mark in token_records.PUNCTUATION.decode()]
+    # Letters with a composed form in one case only, with marks in and out of canonical order.
+    odd += [f"{a}{m}{n}, {a}{m}" for a in "HTWYJhtwyjAIK" for m in "\u0331\u0308\u030a\u030c\u0307" for n in ("", "\u0323", "\u1dc4\u0331")]
+    encodes_alike(odd + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(1500)])
+
+
+def test_every_character_encodes_alike_before_punctuation():
+    marks = token_records.PUNCTUATION.decode()
+    points = [c for c in map(chr, range(0x20, 0x30000)) if c.isalpha() or c.isnumeric() or unicodedata.combining(c) or ord(c) < 0x2100]
+    encodes_alike([f"a{c}{marks[i % len(marks)]} {c}{marks[(i + 7) % len(marks)]}'s H{c}," for i, c in enumerate(points)])
+    # Characters of many scripts in any order.
+    rng = random.Random(2)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xE00), (0xE00, 0xE80), (0x1100, 0x1200), (0x1E00, 0x2000), (0x3040, 0x3100), (0xAC00, 0xAE00), (0xFB00, 0xFB50)]
+    encodes_alike(["".join(chr(rng.randrange(*rng.choice(ranges[:1] * 4 + ranges))) for _ in range(rng.randint(1, 12))) for _ in range(100_000)])
 
 
 def test_damage_is_noticed():
