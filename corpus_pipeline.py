@@ -39,9 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    manifest = token_records.write_records(docs)
-    path = manifest.select("path").head()
-    return token_records.read_records(spark, path[0] if path else "", manifest)
+    return token_records.records_of(docs)
 
 
 STAGES = [
