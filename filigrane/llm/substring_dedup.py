@@ -8,23 +8,30 @@ that can matter, without losing any:
    Equal windows have equal anchors at equal offsets. One row per anchor, about one in 76 bytes, goes through a shuffle:
    the anchor's hash, the hash of its slice (all windows with that anchor), and where it is. Anchors that occur once
    are done with.
-2. Slices that occur twice, by both hashes and without a look at their bytes, are repeated as a whole.
+2. Slices with both hashes equal are a class. If they lie in different texts or places, the bytes of each are fetched and
+   grouped as they are: a class of one byte string is repeated as a whole. A class of several strings, a collision of
+   the hashes, is taken apart, and its slices go to step 3 one by one.
 3. What is left are anchors with several different slices, at the borders of repeated passages. One slice of each kind
    is fetched as bytes, and within an anchor's group the suffixes that start at its windows are sorted: a mergesort
    whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours that share `length` bytes are compared byte by byte, so a hash collision removes nothing.
-   Groups with over `hot` different slices are not put together in a task: their windows' 128-bit hashes are counted
-   in a pre-aggregated shuffle instead.
+   Groups with over `hot` different slices are not put together in a task. They are split by all that follows, down to
+   single suffixes: windows are grouped by their hashes in a pre-aggregated shuffle, and those found twice once more by
+   their bytes.
 
-Texts are known by their 128-bit hash, and texts are shuffled only if they have a slice to fetch or a byte to remove.
+So no byte is removed for a hash alone. Compared strings have at most `length` + 255 bytes; the known families of strings
+that collide in every polynomial hash modulo 2**64 begin at 1,024. Texts are known by their 128-bit hash (equal rows are
+one text), and texts are shuffled only if they have a slice to fetch or a byte to remove.
 
 Defined cases: null is the empty text; texts shorter than `length` keep everything; repeated rows repeat each other, so
-all their windows go; overlapping repeats count; an empty table gives an empty result.
+all their windows go; overlapping repeats count; an empty table gives an empty result; a `length` of more than `anchor`
++ 255 raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,7 @@ LENGTH = 200
 ANCHOR = 50
 SEGMENT = 1 << 19
 BULK = 1 << 20
-HOT = 20_000
+HOT = 4_000
 
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -118,8 +125,11 @@ def segments_of(texts: list[bytes], length: int) -> tuple[list[bytes], list[int]
     return parts, owner, offset
 
 
-def anchor_rows(texts: DataFrame, length: int, size: int) -> DataFrame:
-    """key, h (of the anchor), sh (of the slice) and at: first window << 16 | anchor's offset << 8 | further windows."""
+def anchor_rows(texts: DataFrame, length: int, size: int, slice_bits: int = 64) -> DataFrame:
+    """key, h (of the anchor), sh (of the slice, of which `slice_bits` bits are kept) and at: first window << 16 |
+    anchor's offset << 8 | further windows."""
+    if not 0 <= length - size <= 255:
+        raise ValueError(f"an anchor of {size} bytes cannot stand for windows of {length}")
 
     def run(batches):
         for piece in pieces(batches, "text", SEGMENT):
@@ -133,6 +143,7 @@ def anchor_rows(texts: DataFrame, length: int, size: int) -> DataFrame:
                 seg, lo, more, off, h, sh = anchors(parts[i:j], length, size)
                 seg = seg + i
                 at = ((lo + np.array(offset, np.int64)[seg]) << 16) | (off << 8) | more
+                sh >>= np.uint64(64 - slice_bits)
                 keys = piece.column("key").take(pa.array(np.array(owner, np.int64)[seg]))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(h.astype(np.int64)), pa.array(sh.astype(np.int64)), pa.array(at)], names=["key", "h", "sh", "at"])
                 i = j
@@ -230,14 +241,14 @@ def runs_of(which: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def border_runs(slices: DataFrame, length: int) -> DataFrame:
-    """key, start, end of repeated runs in slices that occur once, from rows sorted by anchor."""
+    """key, start, end of repeated runs in slices with a key, from rows sorted by anchor; slices without one stand for a
+    class that is removed anyway."""
 
     def settle(table: pa.Table):
         group = np.unique(table.column("h").to_numpy(), return_inverse=True)[1]
         at = table.column("at").to_numpy()
         which, window = repeated_windows(group, table.column("slice").to_pylist(), at & 255, (at >> 8) & 255, length)
-        once = table.column("n").to_numpy() == 1
-        keep = once[which]
+        keep = table.column("key").is_valid().to_numpy(zero_copy_only=False)[which]
         which, first, last = runs_of(which[keep], window[keep])
         begin = (at >> 16)[which]
         return pa.RecordBatch.from_arrays(
@@ -265,10 +276,17 @@ def border_runs(slices: DataFrame, length: int) -> DataFrame:
     return map_arrow(slices, run, "key binary, start bigint, end bigint")
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def hot_runs(slices: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many different slices, by counting hashes of their windows."""
+    """The same for anchors with very many different slices: single suffixes meet by hash, then by their bytes."""
 
     def windows(batches):
+        reach = np.arange(length)
         for piece in pieces(batches, "slice", BULK // 16):
             at = np.array(piece.column("at").to_pylist(), np.int64)
             data = piece.column("slice").to_pylist()
@@ -276,60 +294,90 @@ def hot_runs(slices: DataFrame, length: int) -> DataFrame:
             base = np.cumsum([0, *map(len, data)])[:-1]
             which = np.repeat(np.arange(len(data)), n)
             window = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            h = Hashes(np.frombuffer(b"".join(data), np.uint8)).of(base[which] + window, base[which] + window + length)
+            flat = np.frombuffer(b"".join(data), np.uint8)
+            first = base[which] + window
+            h = Hashes(flat).of(first, first + length)
             offset = ((at >> 8) & 255)[which] - window
             yield pa.RecordBatch.from_arrays(
-                [c.take(pa.array(which)) for c in (piece.column("key"), piece.column("h"), piece.column("n"))]
-                + [pa.array((at >> 16)[which] + window), pa.array(mix(h + offset.astype(np.uint64) * C1).astype(np.int64))],
-                names=["key", "h", "n", "start", "w"],
+                [c.take(pa.array(which)) for c in (piece.column("key"), piece.column("h"))]
+                + [pa.array((at >> 16)[which] + window), pa.array(mix(h + offset.astype(np.uint64) * C1).astype(np.int64)), binaries(flat[first[:, None] + reach])],
+                names=["key", "h", "start", "w", "bytes"],
             )
 
-    own = map_arrow(slices, windows, "key binary, h bigint, n bigint, start bigint, w bigint")
-    twice = own.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
-    return own.where("n = 1").join(twice, ["h", "w"]).select("key", "start", (F.col("start") + length).alias("end"))
+    own = map_arrow(slices, windows, "key binary, h bigint, start bigint, w bigint, bytes binary")
+    twice = own.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w", F.xxhash64("h", "w").alias("hw"))
+    twice = materialize(twice, "twice")
+    hits = narrowed(own.withColumn("hw", F.xxhash64("h", "w")), "hw", twice.select("hw")).drop("hw").join(twice.drop("hw"), ["h", "w"])
+    hits = materialize(hits, "hits")
+    same = materialize(hits.groupBy("h", "w", "bytes").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "same")
+    return hits.where("key IS NOT NULL").join(same, ["h", "w", "bytes"]).select("key", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """key (128-bit hash of a text) and runs: its byte ranges (start, end) that are repeated, not yet merged."""
-    text = F.col(f"`{text_col}`")
-    source = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    source = source.where(F.octet_length("text") >= length)
-    rows = anchor_rows(source.select("key", "text"), length, anchor)
-    # A table of its own, so that the join has a shuffle on each side and Spark can split an anchor that many share.
-    shared = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    matched = materialize(rows.join(shared, "h"), "anchors")
-    kinds = materialize(matched.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "slices")
-    twice = kinds.where("n > 1").select("h", "sh")
-    whole = matched.join(twice, ["h", "sh"]).select("key", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.expr("at & 255") + length).alias("end"))
-    several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    border = materialize(kinds.join(several, "h").select("h", "kinds", "n", "first.key", "first.at"), "borders")
-    asked = border.groupBy("key").agg(F.collect_list(F.struct("h", "at", "n", "kinds")).alias("asked"))
-    # One row of each text that has a slice to fetch.
+def fetched_slices(source: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """The rows of `asked` (key, h, sh, at, n, kinds) with the bytes of their slices. One row of each text is read."""
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("h", "sh", "at", "n", "kinds")).alias("asked"))
     holder = narrowed(source.select("key", "id"), "key", asked.select("key")).groupBy("key").agg(F.min("id").alias("holder"))
     asked = asked.join(holder, "key")
-    near = narrowed(source, "key", border.select("key"))
-    fetched = near.join(asked, (near["key"] == asked["key"]) & near["id"].eqNullSafe(asked["holder"])).select(near["key"], "text", "asked")
+    near = narrowed(source, "key", asked.select("key"))
+    found = near.join(asked, (near["key"] == asked["key"]) & near["id"].eqNullSafe(asked["holder"])).select(near["key"], "text", "asked")
 
     def cut(batches):
         for piece in pieces(batches, "text", SEGMENT):
-            out: dict = {k: [] for k in ("key", "h", "at", "n", "kinds", "slice")}
+            out: dict = {k: [] for k in ("key", "h", "sh", "at", "n", "kinds", "slice")}
             for key, t, wanted in zip(piece.column("key").to_pylist(), utf8(piece.column("text")), piece.column("asked").to_pylist(), strict=True):
                 for w in wanted:
                     start = w["at"] >> 16
-                    for k in ("h", "at", "n", "kinds"):
+                    for k in ("h", "sh", "at", "n", "kinds"):
                         out[k].append(w[k])
                     out["key"].append(key)
                     out["slice"].append(t[start : start + (w["at"] & 255) + length])
-            kinds = {"key": pa.binary(), "slice": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
-
-    slices = materialize(map_arrow(fetched, cut, "key binary, h bigint, at bigint, n bigint, kinds bigint, slice binary"), "cuts")
-    usual = slices.where(F.col("kinds") <= hot).drop("kinds").dropDuplicates(["key", "h", "at"])
-    parts = whole.distinct().union(border_runs(usual.repartition("h").sortWithinPartitions("h"), length))
-    very = slices.where(F.col("kinds") > hot).drop("kinds").dropDuplicates(["key", "h", "at"])
-    if not very.isEmpty():
-        parts = parts.union(hot_runs(very, length))
-    return parts.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+            types = {"key": pa.binary(), "slice": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+
+    return map_arrow(found, cut, "key binary, h bigint, sh bigint, at bigint, n bigint, kinds bigint, slice binary")
+
+
+def repeated_spans(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, slice_bits: int = 64
+) -> DataFrame:
+    """key (128-bit hash of a text) and runs: its byte ranges (start, end) that are repeated, not yet merged."""
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    source = source.where(F.octet_length("text") >= length)
+    rows = anchor_rows(source.select("key", "text"), length, anchor, slice_bits)
+    # A table of its own, so that the join has a shuffle on each side and Spark can split an anchor that many share.
+    shared = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    matched = materialize(rows.join(shared, "h"), "anchors")
+    place = F.struct("key", "at")
+    kinds = matched.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    kinds = materialize(kinds.select("h", "sh", "n", "first", (F.col("first") != F.col("last")).alias("spread")), "slices")
+    several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "several")
+    asked = kinds.join(several, "h").where("kinds > 1 OR spread")
+    asked = materialize(asked.select("h", "sh", "n", "spread", "kinds", "first.key", "first.at"), "asked")
+    # Of a class in several places the bytes of each are compared, of others one slice is enough.
+    compared = materialize(asked.where("spread").select("h", "sh", "n", "kinds"), "compared")
+    members = matched.join(compared, ["h", "sh"])
+    names = ["key", "h", "sh", "at", "n", "kinds"]
+    slices = fetched_slices(source, asked.where("NOT spread").select(*names).union(members.select(*names)), length)
+    slices = materialize(slices, "cuts")
+    variants = materialize(slices.where("n > 1").groupBy("h", "sh", "kinds", "slice").agg(F.min(F.col("at")).alias("at")), "variants")
+    mixed = materialize(variants.groupBy("h", "sh").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "mixed")
+    span = [F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.expr("at & 255") + length).alias("end")]
+    twice, checked = kinds.where("n > 1").select("h", "sh"), variants
+    border = slices.where("n = 1 AND kinds > 1").select("key", "h", "at", "slice", "kinds")
+    parts = []
+    if not mixed.isEmpty():  # slices that only their hashes put together: each by itself
+        twice, checked = (x.join(mixed, ["h", "sh"], "left_anti") for x in (twice, checked))
+        border = border.union(slices.where("n > 1").join(mixed, ["h", "sh"]).select(*border.columns))
+        parts.append(matched.join(mixed, ["h", "sh"]).groupBy("key", "at").agg(F.count("*").alias("n")).where("n > 1").select("key", *span))
+    parts.append(matched.join(twice, ["h", "sh"]).select("key", *span).distinct())
+    border = border.dropDuplicates(["key", "h", "at"])
+    border = border.union(checked.where("kinds > 1").select(F.lit(None).cast("binary").alias("key"), "h", "at", "slice", "kinds"))
+    usual = border.where(F.col("kinds") <= hot).drop("kinds")
+    parts.append(border_runs(usual.repartition("h").sortWithinPartitions("h"), length))
+    if not several.where(F.col("kinds") > hot).isEmpty():
+        parts.append(hot_runs(border.where(F.col("kinds") > hot).drop("kinds"), length))
+    return reduce(DataFrame.union, parts).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 def merged(runs: list[dict]) -> list[tuple[int, int]]:

@@ -393,8 +393,9 @@ def plain_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_sort(spark, hot):
+@pytest.mark.parametrize(("hot", "slice_bits"), [(20_000, 64), (1, 64), (20_000, 3), (1, 3)])
+def test_suffix_sort(spark, hot, slice_bits):
+    """Whatever the way of hot anchors, and with slice hashes so short that they collide."""
     rng = random.Random(9)
     shared = [prose(rng, 60) for _ in range(4)]
     rows = [t for _, t, *_ in odd_rows()]
@@ -407,10 +408,12 @@ def test_suffix_sort(spark, hot):
         rows.append(" ".join(parts))
     rows += ["ab" * 300, "x" * 199, "x" * 200, "é" * 150 + "q", "z" * 450 + "y" + "z" * 450]
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(table, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(table, hot=hot, slice_bits=slice_bits).collect()}
     want = plain_repeats(rows, 200)
     assert [got[i] for i in range(len(rows))] == want
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup.anchor_rows(table, 400, 50)
 
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
