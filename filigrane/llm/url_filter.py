@@ -2,18 +2,23 @@
 
 Rules and listed hosts are keys: a host and the beginning of a path, as `net/es/`. A url has as many candidate keys as
 its host has suffixes at label borders, times the path lengths that occur in the keys. The universe is every candidate
-key of every url in the corpus. Level 1 of the cascade is a Bloom filter of the listed keys; level 2 encodes the keys of
+key of every url in the corpus. Level 1 of a cascade is a Bloom filter of the listed keys; level 2 encodes the keys of
 the universe that level 1 takes by mistake, level 3 those listed keys that level 2 takes by mistake, and so on until no
 mistake is left. A key belongs to the list if the first level that rejects it is an even one, or if none does and the
 number of levels is odd. So membership is exact for the whole corpus, without a join and without shipping the urls.
 
-The list is held by the driver and must not exceed `max_keys` (a checked bound). Level 1's error rate is set from the
-universe's size so that its mistakes are about as many as the listed keys; every level is therefore bounded by the list
-and is broadcast. Levels are built in one pass over the distinct candidate keys each, and the mistakes shrink by a
-constant factor from level to level. Keys are probed by two 64-bit hashes.
+There is one cascade for each class of keys: rules that allow, rules that block, listed keys. What a url's keys are is
+read from the cascades alone; nothing else corrects them.
 
-Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; an empty list blocks
-nothing; repeated urls get equal results; an empty table gives an empty result.
+Listed are special-use names and, from the corpus itself, every host with a label of which a part between hyphens is one
+of `SPAM_PARTS` (`spam_hosts`). Each class is held by the driver and must not exceed `MAX_KEYS` (checked before it is
+fetched). Level 1's error rate is set from the universe's size so that its mistakes are about as many as the listed keys;
+every level is therefore bounded by the class and is broadcast. The universe's distinct keys are written once as two
+64-bit hashes and read twice, to count them and to find the mistakes of all first levels; mistakes shrink by a constant
+factor from level to level.
+
+Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; an empty class fits
+nothing; a key that both allows and blocks blocks; repeated urls get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigrane.llm.common import map_arrow, materialize
+
 #: (verdict, key); a key is a host, then a path's beginning.
 RULES = (
     ("allow", "com/"),
@@ -36,6 +45,11 @@ RULES = (
 )
 #: Special-use names that no public page can have; a url below them is blocked where no rule fits.
 LISTED = ("localhost/", "local/", "invalid/", "test/", "onion/", "internal/")
+#: Parts of labels that tell hosts of spam.
+SPAM_PARTS = (
+    "adult", "bet", "betting", "casino", "dating", "escort", "gambling", "jackpot", "loan", "loans", "lottery", "payday",
+    "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "viagra", "webcam", "xxx",
+)
 MAX_KEYS = 4_000_000
 
 
@@ -53,6 +67,21 @@ def split_key(key: str) -> tuple[str, str]:
     return host, slash + path
 
 
+def spam_hosts(pages: DataFrame, url_col: str = "url", parts=SPAM_PARTS) -> DataFrame:
+    """Keys of all hosts that have a label with one of the parts between hyphens."""
+    host = host_of(F.col(f"`{url_col}`"))
+    hit = F.rlike(host, F.lit("(^|[.-])(" + "|".join(parts) + ")([.-]|$)"))
+    return pages.where(hit).select(F.concat(host, F.lit("/")).alias("k")).distinct()
+
+
+def keys_of(listed: DataFrame) -> list[str]:
+    """A list of keys, if it is within the bound."""
+    n = listed.count()
+    if n > MAX_KEYS:
+        raise ValueError(f"{n} listed keys; the cascade's filters are broadcast, so at most {MAX_KEYS}")
+    return [r["k"] for r in listed.collect()]
+
+
 def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
     """All keys of a url that could be listed, as strings of host suffix and path beginning."""
     labels = F.split(host, r"\.")
@@ -117,47 +146,71 @@ def hashes(keys: Column) -> tuple[Column, Column]:
     return F.xxhash64(keys), F.xxhash64(keys, F.lit("second"))
 
 
-def build_cascade(universe: DataFrame, listed: list[str]) -> Cascade:
-    """universe: distinct hashes h1, h2 of all keys that will ever be asked for."""
-    spark = universe.sparkSession
-    if len(set(listed)) > MAX_KEYS:
-        raise ValueError(f"{len(set(listed))} listed keys; the cascade's filters are broadcast, so at most {MAX_KEYS}")
-    if not listed:
-        return Cascade([])
-    keys = spark.createDataFrame(pd.DataFrame({"k": sorted(set(listed))}), "k string").select(*[h.alias(n) for h, n in zip(hashes(F.col("k")), ("h1", "h2"), strict=True)])
-    own = keys.toPandas().to_numpy().astype(np.int64).view(np.uint64)
-    mine = (own[:, 0].copy(), own[:, 1].copy())
-    taken = {tuple(x) for x in own.tolist()}
-    n = max(1, universe.count())
-    levels = [Bloom.of(*mine, min(0.5, max(1e-6, len(own) / n)), 1)]
-    wrong = mistakes(universe, levels[0], taken)
-    while True:
-        if not len(wrong[0]):
-            return Cascade(levels)
+def pairs(keys: list[str], spark) -> np.ndarray:
+    """The two hashes of each key, as Spark computes them."""
+    frame = spark.createDataFrame(pd.DataFrame({"k": sorted(set(keys))}, dtype=object), "k string")
+    found = frame.select(*[h.alias(n) for h, n in zip(hashes(F.col("k")), ("h1", "h2"), strict=True)]).toPandas()
+    return found.to_numpy().astype(np.int64).reshape(-1, 2).view(np.uint64)
+
+
+def whole(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Both hashes as one value to compare."""
+    both = np.empty(len(h1), [("a", np.uint64), ("b", np.uint64)])
+    both["a"], both["b"] = h1, h2
+    return both
+
+
+def build_cascades(universe: DataFrame, classes: dict[str, list[str]]) -> dict[str, Cascade]:
+    """A cascade for each class. universe: distinct hashes h1, h2 of all keys that will ever be asked for."""
+    for name, keys in classes.items():
+        if len(set(keys)) > MAX_KEYS:
+            raise ValueError(f"{len(set(keys))} keys in {name}; the cascade's filters are broadcast, so at most {MAX_KEYS}")
+    own = {name: pairs(keys, universe.sparkSession) for name, keys in classes.items() if keys}
+    n = max(1, universe.count()) if own else 1
+    firsts = {name: Bloom.of(k[:, 0], k[:, 1], min(0.5, max(1e-6, len(k) / n)), 1) for name, k in own.items()}
+    wrong = mistakes(universe, firsts, own)
+    return {name: cascade(firsts[name], own[name], wrong[name]) if name in own else Cascade([]) for name in classes}
+
+
+def cascade(first: Bloom, own: np.ndarray, wrong: tuple[np.ndarray, np.ndarray]) -> Cascade:
+    """All levels, from the first one and the keys that it takes by mistake."""
+    levels, mine = [first], (own[:, 0], own[:, 1])
+    while len(wrong[0]):
         levels.append(Bloom.of(*wrong, 0.5, len(levels) + 1))
         held = levels[-1].holds(*mine)
         mine = (mine[0][held], mine[1][held])
         if not len(mine[0]):
-            return Cascade(levels)
+            break
         levels.append(Bloom.of(*mine, 0.5, len(levels) + 1))
         held = levels[-1].holds(*wrong)
         wrong = (wrong[0][held], wrong[1][held])
+    return Cascade(levels)
 
 
-def mistakes(universe: DataFrame, level: Bloom, listed: set) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the universe that the level takes though they aren't listed: about as many as are listed."""
-    sent = universe.sparkSession.sparkContext.broadcast((level, listed))
+def mistakes(universe: DataFrame, firsts: dict[str, Bloom], own: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each class the keys of the universe that its first level takes though they aren't in it: about as many as are
+    in it."""
+    if not firsts:
+        return {}
+    sent = universe.sparkSession.sparkContext.broadcast((firsts, {name: np.sort(whole(k[:, 0], k[:, 1])) for name, k in own.items()}))
 
     def run(frames):
-        bloom, known = sent.value
+        blooms, known = sent.value
         for pdf in frames:
             h1, h2 = (pdf[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-            got = pdf[bloom.holds(h1, h2)]
-            fresh = [x not in known for x in zip(got["h1"].to_numpy().astype(np.int64).view(np.uint64).tolist(), got["h2"].to_numpy().astype(np.int64).view(np.uint64).tolist(), strict=True)]
-            yield got[np.array(fresh, bool)]
+            for name, bloom in blooms.items():
+                held = np.flatnonzero(bloom.holds(h1, h2))
+                asked = whole(h1[held], h2[held])
+                at = np.minimum(np.searchsorted(known[name], asked), len(known[name]) - 1)
+                fresh = held[known[name][at] != asked]
+                yield pd.DataFrame({"name": name, "h1": pdf["h1"].to_numpy()[fresh], "h2": pdf["h2"].to_numpy()[fresh]})
 
-    found = universe.mapInPandas(run, "h1 long, h2 long").toPandas()
-    return tuple(found[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+    found = universe.mapInPandas(run, "name string, h1 long, h2 long").toPandas()
+    out = {}
+    for name in firsts:
+        mine = found[found["name"] == name]
+        out[name] = tuple(mine[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+    return out
 
 
 def judge_urls(
@@ -169,43 +222,42 @@ def judge_urls(
     listed=LISTED,
     default: str = "allow",
 ) -> DataFrame:
-    """id, host, path, rule, verdict and listed (the key of the list that the url was found by, where no rule fits)."""
+    """id, host, path, rule, verdict and listed (the key of the list that the url was found by, where no rule fits).
+
+    listed: keys, or a table of keys (k)."""
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     verdict_of = {key: verdict for verdict, key in rules}
-    keys = [*verdict_of, *listed]
-    lengths = sorted({len(split_key(k)[1]) for k in keys})
+    listed = keys_of(listed) if isinstance(listed, DataFrame) else list(listed)
+    classes = {"allow": [k for k, v in verdict_of.items() if v == "allow"], "block": [k for k, v in verdict_of.items() if v == "block"], "listed": listed}
+    lengths = sorted({len(split_key(k)[1]) for keys in classes.values() for k in keys})
     rows = rows.withColumn("__keys", candidates(F.col("host"), F.col("path"), lengths))
     # The universe: candidate keys with duplicates removed before the shuffle.
     universe = rows.select(F.explode("__keys").alias("k")).select(*[h.alias(n) for h, n in zip(hashes(F.col("k")), ("h1", "h2"), strict=True)]).distinct()
-    cascade = build_cascade(universe, keys)
-    sent = pages.sparkSession.sparkContext.broadcast(cascade)
-    h1 = F.transform("__keys", lambda k: F.xxhash64(k))
-    h2 = F.transform("__keys", lambda k: F.xxhash64(k, F.lit("second")))
-
-    @F.pandas_udf("array<int>")
-    def found(a: pd.Series, b: pd.Series) -> pd.Series:
-        n = a.map(len).to_numpy()
-        if not n.sum():
-            return pd.Series([[] for _ in n])
-        flat = [np.concatenate(s.to_list()).astype(np.int64).view(np.uint64) for s in (a, b)]
-        member = sent.value.member(*flat) if sent.value.levels else np.zeros(len(flat[0]), bool)
-        ends = np.cumsum(n)
-        return pd.Series([np.flatnonzero(member[e - k : e]).astype(np.int32) for e, k in zip(ends, n, strict=True)])
-
-    hits = F.transform(found(h1, h2), lambda i: F.get("__keys", i))
-    rows = rows.withColumn("__hits", hits)
-
-    def longest(of: list[str]) -> Column:
-        # By length, then by code point; at most one key of a length and path fits a host, so ties need equal lengths.
-        own = F.filter("__hits", lambda k: k.isin(of)) if of else F.array().cast("array<string>")
-        return F.get(F.reverse(F.array_sort(F.transform(own, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))), F.lit(0))["k"]
-
-    rule = longest(list(verdict_of))
-    listed_by = longest([k for k in listed if k not in verdict_of])
-    verdicts = F.create_map(*[F.lit(x) for pair in verdict_of.items() for x in pair]) if verdict_of else None
+    sent = pages.sparkSession.sparkContext.broadcast(build_cascades(materialize(universe, "universe"), classes))
+    hashed = [F.transform("__keys", lambda k: F.xxhash64(k)).alias("__h1"), F.transform("__keys", lambda k: F.xxhash64(k, F.lit("second"))).alias("__h2")]
+    kind = rows.schema["page_id"].dataType.simpleString()
     other = "block" if default == "allow" else "allow"
-    fallback = F.when(F.col("listed").isNotNull(), other).otherwise(default)
-    out = rows.withColumns({"rule": rule, "listed": listed_by})
-    chosen = F.when(F.col("rule").isNotNull(), F.element_at(verdicts, F.col("rule"))).otherwise(fallback) if verdict_of else fallback
-    return out.select("page_id", "host", "path", "rule", chosen.alias("verdict"), "listed")
+
+    def run(batches):
+        cascades = {name: own for name, own in sent.value.items() if own.levels}
+        for batch in batches:
+            n = batch.num_rows
+            keys = batch.column("__keys")
+            flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("__h1", "__h2")]
+            owner = np.repeat(np.arange(n), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
+            best: dict = {name: [None] * n for name in classes}
+            for name, own in cascades.items():
+                hits = np.flatnonzero(own.member(*flat))
+                for row, key in zip(owner[hits].tolist(), keys.flatten().take(pa.array(hits)).to_pylist(), strict=True):
+                    # By length, then by code point; at most one key of a length and path fits a host, so ties need equal lengths.
+                    best[name][row] = max(filter(None, (best[name][row], key)), key=lambda k: (len(k), k))
+            rule, verdict = [], []
+            for allow, block, listed_by in zip(best["allow"], best["block"], best["listed"], strict=True):
+                own = max(filter(None, (allow, block)), key=lambda k: (len(k), k), default=None)
+                rule.append(own)
+                verdict.append("block" if own and own == block else "allow" if own else other if listed_by else default)
+            found = [pa.array(x, pa.string()) for x in (rule, verdict, best["listed"])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), *found], names=["page_id", "host", "path", "rule", "verdict", "listed"])
+
+    return map_arrow(rows.select("page_id", "host", "path", "__keys", *hashed), run, f"page_id {kind}, host string, path string, rule string, verdict string, listed string")
