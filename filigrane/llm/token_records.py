@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from filigrane.llm.common import map_arrow, materialize, pieces, release, shared_path, small_batches, utf8, worker_store
 
 CACHE_WORDS = 550_000
-PART_BYTES = 64 << 20
-LEAST_BYTES = 1 << 20
+PART_BYTES = 8 << 20
+MOST_PARTS = 100_000
+FILE_BYTES = 64 << 20
 BLOCK_FILES = 4096
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: By byte: 1 an ASCII letter or digit, 2 ASCII punctuation, 3 white space, 0 others.
@@ -269,6 +270,7 @@ def write_records(
     text_col: str = "text",
     end_id: int = END_ID,
     part_bytes: int = PART_BYTES,
+    file_bytes: int = FILE_BYTES,
     path: str | None = None,
 ) -> DataFrame:
     """Write the files; returns the manifest, a table of one row per file: file, n_records, n_ids, n_bytes, path.
@@ -279,8 +281,7 @@ def write_records(
     path = path or shared_path(spark, "records")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).head()[0] or 0
-    # No partition above `part_bytes`; below it, enough for the cores as long as each has `LEAST_BYTES`.
-    parts = max(1, -(-size // part_bytes), min(4 * spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    parts = min(MOST_PARTS, max(1, -(-size // part_bytes)))
     # Rows with equal ids may be a third of all: the text's hash divides them between partitions, still in order.
     spread = rows.withColumn("h", F.xxhash64("text"))
     ordered = spread.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
@@ -313,7 +314,7 @@ def write_records(
         for piece in pieces(batches, "text"):
             for doc_id, ids in zip(piece.column("id").to_pylist(), encoder.encode(utf8(piece.column("text")), end_id), strict=True):
                 record = frame(payload_of(doc_id, ids, encoder.width))
-                if out and at + len(record) > part_bytes:
+                if out and at + len(record) > file_bytes:
                     close()
                     out, index, at, n_ids = None, [], 0, 0
                 out = out or store.open_output_stream(f"{folder}/{own}-{len(done)}.rec")
