@@ -1,14 +1,15 @@
 """Language identification by error-correcting output codes.
 
 Each language gets a codeword of bits. For up to `EXHAUSTIVE` languages the code is exhaustive (every way to divide the
-languages in two, each once), beyond it random codewords with pairwise different bits are drawn. One binary logistic
+languages in two, each once), beyond it random codewords are drawn, of which no two bits divide the languages alike. One binary logistic
 classifier per bit, over hashed character n-grams of the lower-cased words, averaged over the text, predicts that bit; all are learned together by
 stochastic gradient descent in numpy. Decoding is weighted by loss: a language's distance is the sum over bits of the
 logistic loss of the predicted margin against its codeword, and the nearest codeword wins. The score is the softmax of
 the negative distances; a text whose second language is nearly as near is flagged as ambiguous.
 
-Learning uses at most `sample_rows` rows per language, the first in a fixed hash order of ids; their number and the
-texts' bucket counts bound what the driver holds. Scoring is one pass without a shuffle over whole texts.
+Learning uses at most `sample_rows` ids per language and `most_rows` of all, the first in a fixed hash order, and of rows
+with equal ids the one with the least hash of its text; more than `MAX_LANGS` languages raise ValueError. So their number
+and the texts' bucket counts bound what is broadcast and what the driver holds. Scoring is one pass without a shuffle over whole texts.
 
 Defined cases: a null text, and a text without a letter, is `und` with score 0; with no row to learn from everything is
 `und`; with one language every text with a letter is that language with score 1; null languages and ids are not learned
@@ -17,7 +18,6 @@ from; repeated rows get equal results; clashing columns of the input are replace
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigrane.llm.common import append_columns
-from filigrane.llm.subwords import WordSums, batches_of, sample_order, sparse_features
+from filigrane.llm.subwords import WordSums, batches_of, one_of_each, sample_order, sparse_features
 
 SAMPLE_ROWS = 800
+MOST_ROWS = 16_000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 6
@@ -41,7 +42,7 @@ RATE = 60.0
 SEED = 11
 AMBIGUOUS = 0.1
 
-LETTER = re.compile(r"[^\W\d_]")
+MAX_LANGS = 1000
 
 
 def codewords(n: int, seed: int = SEED) -> np.ndarray:
@@ -52,13 +53,19 @@ def codewords(n: int, seed: int = SEED) -> np.ndarray:
         # All ways to divide n languages in two: bit patterns in which the first language is 1, but not all.
         return np.array([[1 if i == 0 or (c >> (i - 1)) & 1 else -1 for c in range(2 ** (n - 1) - 1)] for i in range(n)], float)
     rng = np.random.default_rng(seed)
+    bits = RANDOM_BITS + 2 * int(np.ceil(np.log2(n)))
     best, most = None, -1
     for _ in range(200):  # the draw whose nearest two codewords are furthest apart
-        code = rng.choice([-1.0, 1.0], (n, RANDOM_BITS + 2 * int(np.ceil(np.log2(n)))))
+        drawn = rng.choice([-1.0, 1.0], (n, 4 * bits))
+        drawn = drawn[:, np.abs(drawn.sum(0)) < n] * 1.0
+        drawn *= drawn[0]  # a bit and its opposite divide the languages alike
+        code = drawn[:, np.sort(np.unique(drawn, axis=1, return_index=True)[1])[:bits]]
+        if code.shape[1] < bits:
+            continue
         gram = code @ code.T
         np.fill_diagonal(gram, -np.inf)
         apart = (code.shape[1] - gram.max()) / 2
-        if apart > most and (np.abs(code.sum(0)) < n).all():
+        if apart > most:
             best, most = code, apart
     return best
 
@@ -114,6 +121,7 @@ def learn_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
+    most_rows: int = MOST_ROWS,
     buckets: int = BUCKETS,
     orders=ORDERS,
     **options,
@@ -122,14 +130,19 @@ def learn_languages(
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("label")).where("label IS NOT NULL AND __id IS NOT NULL")
     # A first draw by the hash leaves a few times `sample_rows` ids of each language, the window then takes the first.
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    n_langs = counts.count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"{n_langs} languages, at most {MAX_LANGS}")
+    sample_rows = min(sample_rows, most_rows // max(1, n_langs))
     part = F.pmod(sample_order("__id"), F.lit(1_000_000_000)) / 1e9
     drawn = rows.join(F.broadcast(counts), "label").where(part * F.col("n") < 4 * sample_rows + 100)
     first = Window.partitionBy("label").orderBy(part, "__id")
     wanted = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_rows).select("__id", "label").distinct()
     wanted = wanted.groupBy("__id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    # `sample_rows` ids per language: the number of languages is small and fixed.
-    sample = texts.join(F.broadcast(wanted), "__id").select("label", "text")
+    # At most `most_rows` ids.
+    sample = texts.join(F.broadcast(wanted), "__id")
+    sample = one_of_each(sample, "__id")
     got = sparse_features(sample, "text", "label", orders, buckets, whole=False, repeats=False, lower=True).collect()
     got.sort()
     return OutputCode.learn([r["label"] for r in got], [bytes(r["packed"]) for r in got], buckets=buckets, **options)
@@ -150,7 +163,7 @@ def identify_languages(docs: DataFrame, model: OutputCode, text_col: str = "text
 
         def work(column):
             texts = column.to_pylist()
-            known = np.array([t is not None and bool(own.langs) and LETTER.search(t) is not None for t in texts], bool)
+            known = np.array([t is not None and bool(own.langs) and any(map(str.isalpha, t)) for t in texts], bool)
             first, score, second = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             if known.any():
                 some = [t.lower().encode("utf-8", "replace") for t, k in zip(texts, known, strict=True) if k]

@@ -4,8 +4,9 @@ Every word and every character n-gram of a word is hashed to a bucket with a lea
 of the vectors of all its features, and a softmax layer over it gives the class. Vectors and output layer are learned
 together by stochastic gradient descent in numpy on the driver.
 
-Learning uses at most `sample_rows` labelled rows, the first in a fixed hash order of their ids. Executors turn their
-whole texts into bucket counts (at most 8 bytes a bucket), so the driver never holds a text. Scoring reads every whole
+Learning uses at most `sample_rows` labelled ids, the first in a fixed hash order, and of rows with equal ids the one with
+the least hash of its text. Executors turn their whole texts into bucket counts (at most 8 bytes a bucket), so the driver
+never holds a text. Scoring reads every whole
 text once, without a shuffle: the score of a text is a sum over its words, and each word is computed once per task.
 
 Defined cases: a text without words (null, empty, blank) has no features and gets the score of the output layer's bias
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigrane.llm.common import append_columns, utf8
-from filigrane.llm.subwords import WordSums, batches_of, sample_order, sparse_features
+from filigrane.llm.subwords import WordSums, batches_of, one_of_each, sample_order, sparse_features
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 16
@@ -109,7 +110,7 @@ def learn_quality(
     wanted = drawn.orderBy(part, "__id").limit(sample_rows)
     # At most `sample_rows` small rows are broadcast.
     sample = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(wanted), "__id")
-    rows = sparse_features(sample.select("label", "text"), "text", "label", orders, buckets).limit(2 * sample_rows).collect()
+    rows = sparse_features(one_of_each(sample, "__id"), "text", "label", orders, buckets).collect()
     rows.sort()
     return Embeddings.learn([r["label"] for r in rows], [bytes(r["packed"]) for r in rows], buckets=buckets, **options)
 

@@ -135,6 +135,13 @@ def sample_order(id_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("string"))
 
 
+def one_of_each(sample: DataFrame, id_col: str) -> DataFrame:
+    """label and text of one row for each id of a sample: of rows with equal ids that with the least hash of its text.
+    An id may have any number of rows, so they meet pre-aggregated."""
+    best = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"), F.col("label").alias("label")))
+    return sample.groupBy(id_col).agg(best.alias("one")).select("one.label", "one.text")
+
+
 class Batch:
     """Rows of a mini-batch as entries sorted by row, and the same entries sorted by bucket."""
 

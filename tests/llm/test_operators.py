@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables, and on nulls, empty texts, repeats and empty tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -107,15 +108,30 @@ def test_fertility_rules(docs, odd, texts):
 def test_fertility_measures(docs, texts):
     import public_tokenizers
     import sentencepiece
+    import tiktoken
 
     piece = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for r in quality_rules.fertility_rules(docs).limit(20).collect():
-        words = texts[r.doc_id].split()
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    byte = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    verdicts = Counter()
+    for r in quality_rules.fertility_rules(docs).collect():
+        words = [w.decode() for w in texts[r.doc_id].encode().split()]
+        per_byte = sum(map(len, words)) / max(1, sum(len(byte.encode_ordinary(" " + w)) for w in words))
+        assert r.byte_chars_per_token == pytest.approx(per_byte)
+        least, least_byte, most, most_share, least_bits = quality_rules.BANDS[r.script]
+        inside = least <= r.piece_chars_per_token <= most and least_byte <= per_byte <= most and r.byte_fallback_share <= most_share and r.token_entropy >= least_bits
+        assert r.kept == (inside and not r.base_failed)
+        counted = Counter(quality_rules.SCRIPTS[quality_rules.script_of(w)] for w in words)
+        counted.pop("Other", None)
+        assert counted[r.script] == max(counted.values()) if counted else r.script == "Other"
+        verdicts[r.kept, r.base_failed] += 1
         ids = [i for w in words for i in piece.encode(w)]
         share = np.array(list(Counter(ids).values())) / len(ids)
         assert r.piece_chars_per_token == pytest.approx(sum(map(len, words)) / len(ids))
         assert r.token_entropy == pytest.approx(-(share * np.log2(share)).sum())
         assert r.byte_fallback_share == pytest.approx(sum(piece.is_byte(i) for i in ids) / len(ids))
+    assert verdicts[True, False] and verdicts[False, True]
 
 
 # Near-duplicates
@@ -228,17 +244,32 @@ def test_urls(spark):
     assert url_filter.judge_urls(rows, rules=(), listed=()).where("verdict = 'block'").count() == 0
 
 
+def test_listed_hosts_come_from_the_cascade(spark):
+    """Thousands of listed hosts among as many others; nothing but the cascades tells them apart."""
+    urls = [(i, f"https://h{i}.{'poker-' if i % 3 == 0 else ''}site{i % 11}.org/p?x") for i in range(6000)] + [(-1, "https://sub.a.test/"), (-2, "https://spoker.org/"), (-1, "https://sub.a.test/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    hosts = url_filter.spam_hosts(pages)
+    assert hosts.count() == 2000
+    got = url_filter.judge_urls(pages, listed=hosts.union(spark.createDataFrame([("test/",)], "k string"))).collect()
+    assert len(got) == len(urls) and sum(r.page_id == -1 for r in got) == 2
+    for r in got:
+        assert (r.verdict, r.rule) == ("block" if r.page_id == -1 or r.page_id >= 0 and r.page_id % 3 == 0 else "allow", None)
+    both = url_filter.judge_urls(pages, rules=(("block", "org/"), ("allow", "h1.site1.org/")), listed=hosts).collect()
+    assert all(r.rule == ("h1.site1.org/" if r.page_id == 1 else None if r.page_id == -1 else "org/") for r in both)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).selectExpr("xxhash64(cast(id as string)) as h1", "xxhash64(cast(id as string), 'second') as h2")
-    cascade = url_filter.build_cascade(universe, [str(i) for i in range(0, 20_000, 50)])
-    assert len(cascade.levels) > 1
+    cascades = url_filter.build_cascades(universe, {"a": [str(i) for i in range(0, 20_000, 50)], "b": [str(i) for i in range(0, 20_000, 7)], "none": []})
+    assert len(cascades["a"].levels) > 1 and not cascades["none"].levels
     keys = universe.toPandas()
-    member = cascade.member(*(keys[c].to_numpy().view(np.uint64) for c in ("h1", "h2")))
-    assert member.tolist() == [i % 50 == 0 for i in range(20_000)]
+    for name, n in (("a", 50), ("b", 7)):
+        member = cascades[name].member(*(keys[c].to_numpy().view(np.uint64) for c in ("h1", "h2")))
+        assert member.tolist() == [i % n == 0 for i in range(20_000)]
     with pytest.raises(ValueError):
         url_filter.MAX_KEYS, old = 3, url_filter.MAX_KEYS
         try:
-            url_filter.build_cascade(universe, ["a", "b", "c", "d"])
+            url_filter.build_cascades(universe, {"a": ["a", "b", "c", "d"]})
         finally:
             url_filter.MAX_KEYS = old
 
@@ -271,7 +302,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.95 * len(got)
 
 
-def test_language_id(docs, odd):
+def test_language_id(spark, docs, odd):
     model = language_id.learn_languages(docs)
     rows = {r.doc_id: r for r in language_id.identify_languages(odd, model).collect()}
     assert [rows[i].lang_pred for i in (None, 1, 8)] == ["und"] * 3 and rows[1].score == 0
@@ -283,6 +314,65 @@ def test_language_id(docs, odd):
     for n in (2, 3, 6, 7, 20):
         code = language_id.codewords(n)
         assert len({tuple(c) for c in code}) == n and (np.abs(code.sum(0)) < n).all()
+        assert len({tuple(b * b[0]) for b in code.T}) == code.shape[1]  # no two bits divide the languages alike
+    assert language_id.codewords(7).shape == (7, 54)
+    marks = spark.createDataFrame([("½ ²",), ("① Ⅷ",), ("12 _",), ("ª",), ("中",)], "text string")
+    assert [r.lang_pred == "und" for r in language_id.identify_languages(marks, model).collect()] == [True, True, True, False, False]
+    with pytest.raises(ValueError):
+        language_id.learn_languages(spark.range(2000).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang"))
+
+
+def plain_hashes(word, orders, buckets, whole):
+    """Buckets of the features of one word, a character at a time."""
+    mask = (1 << 64) - 1
+    slot = lambda h: (((h * 0x9E3779B97F4A7C15) & mask) >> 24) % (buckets - 1) + 1
+    out = [slot(zlib.crc32(word.encode()))] if whole else []
+    marked = f"<{word}>"
+    for n in orders:
+        for i in range(len(marked) - n + 1):
+            h = n
+            for c in marked[i : i + n]:
+                h = ((h ^ ord(c)) * 0xFF51AFD7ED558CCD) & mask
+                h ^= h >> 29
+            out.append(slot(h))
+    return out
+
+
+def test_quality_scores_against_a_plain_scorer(docs, texts, spark, sf_dir):
+    """Mean of the learned vectors of all features of a text, then the softmax of the output layer."""
+    model = quality_classifier.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    sample = {i: t for i, t in texts.items() if len(t) < 2500} | {-1: "", -2: "a a a b", -3: "Ünï 中文"}
+    own = spark.createDataFrame(list(sample.items()), "doc_id long, text string")
+    for r in quality_classifier.score_quality(own, model).collect():
+        words = [w.decode() for w in r.text.encode().split()]
+        found = [s for w in words for s in plain_hashes(w, quality_classifier.ORDERS, quality_classifier.BUCKETS, True)]
+        found += [0 for a, b in zip(words, words[1:], strict=False) if a == b]
+        mean = np.mean([model.table[s].astype(float) for s in found], 0) if found else np.zeros(quality_classifier.DIM)
+        z = np.exp(mean @ model.out + model.bias)
+        assert r.score == pytest.approx(z[model.classes.index(1)] / z.sum()) and r.predicted == (r.score >= 0.5)
+
+
+def test_languages_against_a_plain_decoder(docs, texts, spark):
+    """Each bit's margin from the mean of the features, then the loss of each codeword."""
+    model = language_id.learn_languages(docs)
+    sample = {i: t for i, t in texts.items() if len(t) < 1200}
+    own = spark.createDataFrame(list(sample.items()), "doc_id long, text string")
+    for r in language_id.identify_languages(own, model).collect():
+        words = [w.decode() for w in r.text.lower().encode().split()]
+        found = [s for w in words for s in plain_hashes(w, language_id.ORDERS, language_id.BUCKETS, False)]
+        margin = np.mean([model.table[s].astype(float) for s in found], 0) + model.bias
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, code, strict=True)) * 4 / len(code) for code in model.code]
+        shares = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        best = int(np.argmax(shares))
+        assert r.lang_pred == model.langs[best] and r.score == pytest.approx(shares[best])
+        assert r.ambiguous == (shares[best] - sorted(shares)[-2] < language_id.AMBIGUOUS)
+
+
+def test_repeated_ids_are_learned_once(docs, spark):
+    """The sample does not depend on how often or in which order rows come."""
+    some = docs.where("lang is not null")
+    models = [language_id.learn_languages(x) for x in (some, some.union(some).repartition(5))]
+    assert (models[0].table == models[1].table).all()
 
 
 # Language model
@@ -446,7 +536,7 @@ def test_token_records(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    manifest = token_records.write_records(docs, part_bytes=30_000)
+    manifest = token_records.write_records(docs, part_bytes=100_000, file_bytes=30_000)
     assert manifest.count() > 10 and max(r.n_bytes for r in manifest.where("n_records > 1").collect()) <= 30_000
     path = manifest.head().path
     got = token_records.read_records(spark, path, manifest, ids=True).collect()

@@ -51,10 +51,11 @@ def test_registered():
 def test_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for name in ("pages", "documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, sf_dir).toPandas().astype(str)
         want = db.execute(sql).df().astype(str)
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
-        assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()
+        assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist(), name
