@@ -45,6 +45,7 @@ ANCHOR = 50
 SEGMENT = 1 << 19
 BULK = 1 << 20
 HOT = 4_000
+REPEATED, AMONG, CROWDED = 1, 2, 4
 
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -314,8 +315,9 @@ def hot_runs(slices: DataFrame, length: int) -> DataFrame:
 
 
 def fetched_slices(source: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The rows of `asked` (key, h, sh, at, n, kinds) with the bytes of their slices. One row of each text is read."""
-    asked = asked.groupBy("key").agg(F.collect_set(F.struct("h", "sh", "at", "n", "kinds")).alias("asked"))
+    """The rows of `asked` (key, h, sh, at, kind) with the bytes of their slices. One row of each text is read; slices
+    that follow one another, and so overlap, are rows that follow one another."""
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("at", "h", "sh", "kind")).alias("asked"))
     holder = narrowed(source.select("key", "id"), "key", asked.select("key")).groupBy("key").agg(F.min("id").alias("holder"))
     asked = asked.join(holder, "key")
     near = narrowed(source, "key", asked.select("key"))
@@ -323,18 +325,18 @@ def fetched_slices(source: DataFrame, asked: DataFrame, length: int) -> DataFram
 
     def cut(batches):
         for piece in pieces(batches, "text", SEGMENT):
-            out: dict = {k: [] for k in ("key", "h", "sh", "at", "n", "kinds", "slice")}
+            out: dict = {k: [] for k in ("key", "h", "sh", "at", "kind", "slice")}
             for key, t, wanted in zip(piece.column("key").to_pylist(), utf8(piece.column("text")), piece.column("asked").to_pylist(), strict=True):
-                for w in wanted:
+                for w in sorted(wanted, key=lambda w: w["at"]):
                     start = w["at"] >> 16
-                    for k in ("h", "sh", "at", "n", "kinds"):
+                    for k in ("h", "sh", "at", "kind"):
                         out[k].append(w[k])
                     out["key"].append(key)
                     out["slice"].append(t[start : start + (w["at"] & 255) + length])
-            types = {"key": pa.binary(), "slice": pa.binary()}
+            types = {"key": pa.binary(), "slice": pa.binary(), "kind": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    return map_arrow(found, cut, "key binary, h bigint, sh bigint, at bigint, n bigint, kinds bigint, slice binary")
+    return map_arrow(found, cut, "key binary, h bigint, sh bigint, at bigint, kind int, slice binary")
 
 
 def repeated_spans(
@@ -352,31 +354,38 @@ def repeated_spans(
     kinds = matched.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     kinds = materialize(kinds.select("h", "sh", "n", "first", (F.col("first") != F.col("last")).alias("spread")), "slices")
     several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "several")
+    # kind: REPEATED if the slice's class has several rows, AMONG if its anchor has several classes, CROWDED if over `hot`.
+    flags = F.when(F.col("n") > 1, REPEATED).otherwise(0) + F.when(F.col("kinds") > 1, AMONG).otherwise(0) + F.when(F.col("kinds") > hot, CROWDED).otherwise(0)
     asked = kinds.join(several, "h").where("kinds > 1 OR spread")
-    asked = materialize(asked.select("h", "sh", "n", "spread", "kinds", "first.key", "first.at"), "asked")
+    asked = materialize(asked.select("first.key", "h", "sh", "first.at", flags.alias("kind"), "spread"), "asked")
     # Of a class in several places the bytes of each are compared, of others one slice is enough.
-    compared = materialize(asked.where("spread").select("h", "sh", "n", "kinds"), "compared")
-    members = matched.join(compared, ["h", "sh"])
-    names = ["key", "h", "sh", "at", "n", "kinds"]
-    slices = fetched_slices(source, asked.where("NOT spread").select(*names).union(members.select(*names)), length)
-    slices = materialize(slices, "cuts")
-    variants = materialize(slices.where("n > 1").groupBy("h", "sh", "kinds", "slice").agg(F.min(F.col("at")).alias("at")), "variants")
+    compared = materialize(asked.where("spread").select("h", "sh", "kind"), "compared")
+    names = ["key", "h", "sh", "at", "kind"]
+    members = matched.join(compared, ["h", "sh"]).select(*names)
+    slices = fetched_slices(source, asked.where("NOT spread").select(*names).union(members), length)
+    slices = materialize(slices, "cuts", "zstd")
+
+    def of(rows: DataFrame, kind: int, yes: bool = True) -> DataFrame:
+        return rows.where((F.col("kind").bitwiseAND(F.lit(kind)) != 0) == yes)
+
+    variants = materialize(of(slices, REPEATED).groupBy("h", "sh", "kind", "slice").agg(F.min("at").alias("at")), "variants", "zstd")
     mixed = materialize(variants.groupBy("h", "sh").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "mixed")
     span = [F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.expr("at & 255") + length).alias("end")]
     twice, checked = kinds.where("n > 1").select("h", "sh"), variants
-    border = slices.where("n = 1 AND kinds > 1").select("key", "h", "at", "slice", "kinds")
+    columns = ["key", "h", "at", "slice", "kind"]
+    border = of(of(slices, REPEATED, False), AMONG).select(*columns)
     parts = []
     if not mixed.isEmpty():  # slices that only their hashes put together: each by itself
         twice, checked = (x.join(mixed, ["h", "sh"], "left_anti") for x in (twice, checked))
-        border = border.union(slices.where("n > 1").join(mixed, ["h", "sh"]).select(*border.columns))
+        border = border.union(of(slices, REPEATED).join(mixed, ["h", "sh"]).select(*columns))
         parts.append(matched.join(mixed, ["h", "sh"]).groupBy("key", "at").agg(F.count("*").alias("n")).where("n > 1").select("key", *span))
     parts.append(matched.join(twice, ["h", "sh"]).select("key", *span).distinct())
     border = border.dropDuplicates(["key", "h", "at"])
-    border = border.union(checked.where("kinds > 1").select(F.lit(None).cast("binary").alias("key"), "h", "at", "slice", "kinds"))
-    usual = border.where(F.col("kinds") <= hot).drop("kinds")
+    border = border.union(of(checked, AMONG).select(F.lit(None).cast("binary").alias("key"), *columns[1:]))
+    usual = of(border, CROWDED, False).drop("kind")
     parts.append(border_runs(usual.repartition("h").sortWithinPartitions("h"), length))
     if not several.where(F.col("kinds") > hot).isEmpty():
-        parts.append(hot_runs(border.where(F.col("kinds") > hot).drop("kinds"), length))
+        parts.append(hot_runs(of(border, CROWDED).drop("kind"), length))
     return reduce(DataFrame.union, parts).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
