@@ -15,11 +15,14 @@ PIECE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, with one below it for this application. A local one is taken only
+    where driver and executors are one process and the session names none; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file:///tmp/filigrane-shared"
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/filigrane-{spark.sparkContext.applicationId}"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -27,11 +30,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def drop_shared(spark: SparkSession) -> bool:
+    """Remove all tables that this application wrote to the shared folder. Results that were not read or written
+    elsewhere before are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +51,7 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(n)).cast("int")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about `limit` bytes of `column`, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -103,6 +113,22 @@ def release(keep: bool = False, collect: bool = True) -> None:
 ARROW_ROWS = 1000
 
 
+def without(columns: list[str], names, spark: SparkSession) -> list[str]:
+    """Columns but for those that the session takes for one of the names: letter case counts only if it says so."""
+    same = (lambda c: c) if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    gone = {same(n) for n in names}
+    return [c for c in columns if same(c) not in gone]
+
+
+def packed(df: DataFrame, *own: Column, columns: list[str] | None = None) -> DataFrame:
+    """The rows of `df` as one column `row` beside columns of the operator, so that no names can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), *own)
+
+
+def unpacked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches for rows that hold whole texts. The session's size is only touched if it is the default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
@@ -133,24 +159,25 @@ def append_columns(
     """Every row of `df` with the columns of `fields`, computed batch by batch in Arrow.
 
     `make` runs once per task and returns the function that maps a piece (with its texts in the column `__text`) to the
-    new columns. A column of `df` that has the name of a result column is replaced by it; with `into`, the results are
-    one struct column of that name and all others stay.
+    new columns. A column of `df` that has the name of a result column (in any letter case, where the session does not
+    tell them apart) is replaced by it; with `into`, the results are one struct column of that name and all others stay.
     """
     inner = fields.fieldNames()
     names = [into] if into else inner
-    kept = [c for c in df.columns if c not in names]
+    kept = without(df.columns, names, df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
     schema = T.StructType([df.schema[c] for c in kept] + ([T.StructField(into, fields)] if into else list(fields)))
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")) if text_col not in kept else df.select(*[F.col(f"`{c}`") for c in kept])
-    text = text_col if text_col in kept else "__text"
+    beside = [] if text_col in kept else [F.col(f"`{text_col}`").alias("__text")]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *beside)
+    text = len(kept) if beside else kept.index(text_col)
 
     def run(batches):
         work = make()
         for piece in pieces(batches, text):
             found = work(piece.column(text))
-            arrays = [piece.column(c) for c in kept]
+            arrays = [piece.column(i) for i in range(len(kept))]
             new = [x if isinstance(x := found[n], pa.Array) else pa.array(x, types[n]) for n in inner]
             arrays += [pa.StructArray.from_arrays(new, names=inner)] if into else new
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])

@@ -8,9 +8,10 @@ point to the patterns that end in them, the patterns' prefix blocks are compared
 jumps run for many stretches of text at once.
 
 Documents are searched where they are read, without a shuffle. The tables are broadcast in blocks of at most
-`BLOCK_WORDS` words of benchmark text, a fixed bound; a larger benchmark gives several blocks. One block is searched in
-place. For several, each block is searched by itself, documents that it hits are kept with their hit words, and these
-are put together by document; so the broadcast never grows with the benchmark.
+`BLOCK_WORDS` words of benchmark text, a fixed bound; a larger benchmark gives several blocks, and a longer item is cut
+into parts that overlap by all but one word of a window. One block is searched in place. Of several, one at a time is
+built, sent, searched and dropped; the hits of documents that it found are written, and these are put together by
+document. So neither the broadcast nor the driver grows with the benchmark; each block costs a pass over the texts.
 
 A text is contaminated if words were hit and they are at least `1 / share` of its words (`share` = 20: 5 %).
 
@@ -23,6 +24,7 @@ result columns are replaced.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigrane.llm.common import append_columns, utf8
+from filigrane.llm.common import append_columns, materialize, packed, unpacked_rows, utf8, without
 
 WINDOW = 13
 SHARE = 20
@@ -189,14 +191,16 @@ def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: i
     ).where(F.col("t").isNotNull())
     held: list[tuple[str, bytes]] = []
     n = 0
+    step = max(1, block_words - window + 1)
     for row in rows.toLocalIterator():
-        text = row["t"].encode("utf-8", "replace")
-        size = len(words_of(text))
-        if held and n + size > block_words:
-            yield Patterns(held, window)
-            held, n = [], 0
-        held.append((row["i"], text))
-        n += size
+        words = words_of(row["t"].encode("utf-8", "replace"))
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + step + window - 1]
+            if held and n + len(part) > block_words:
+                yield Patterns(held, window)
+                held, n = [], 0
+            held.append((row["i"], b" ".join(part)))
+            n += len(part)
     if held:
         yield Patterns(held, window)
 
@@ -220,28 +224,31 @@ def decontaminate(
         T.StructField("item_ids", T.ArrayType(T.StringType())),
     ]
     fields = T.StructType([*FIELDS, *extra])
-    blocks = [spark.sparkContext.broadcast(p) for p in pattern_blocks(benchmark, item_col, item_text_col, window, block_words)]
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Patterns([], window))]
-    if len(blocks) == 1:
-        out = append_columns(docs, text_col, fields, searcher(blocks[0], share))
+    blocks = pattern_blocks(benchmark, item_col, item_text_col, window, block_words)
+    first, second = next(blocks, None) or Patterns([], window), next(blocks, None)
+    if second is None:
+        out = append_columns(docs, text_col, fields, searcher(spark.sparkContext.broadcast(first), share))
         return out if spans else out.drop("hit_runs", "item_ids")
     # Several blocks: equal texts have equal hits, so texts are put together by their 128-bit hash.
     key = [F.xxhash64(F.col(f"`{text_col}`")), F.xxhash64(F.lit(7), F.col(f"`{text_col}`"))]
     texts = docs.select(F.col(f"`{text_col}`").alias("t"), key[0].alias("k0"), key[1].alias("k1"))
-    parts = [
-        append_columns(texts, "t", fields, searcher(b, share)).where("n_hit > 0").select("k0", "k1", "hit_runs", "item_ids")
-        for b in blocks
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    parts, patterns = [], [first, second]
+    del first, second
+    while patterns:
+        sent = spark.sparkContext.broadcast(patterns.pop(0))
+        hits = append_columns(texts, "t", fields, searcher(sent, share)).where("n_hit > 0").select("k0", "k1", "hit_runs", "item_ids")
+        parts.append(materialize(hits, "hits"))
+        sent.destroy()
+        patterns += [p for p in [next(blocks, None)] if p is not None]
+    every = reduce(DataFrame.union, parts)
     found = every.groupBy("k0", "k1").agg(
         F.array_distinct(F.flatten(F.collect_set("hit_runs"))).alias("__runs"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("__items"),
     )
-    plain = append_columns(docs, text_col, T.StructType([FIELDS["n_words"]]), counter).withColumns({"__k0": key[0], "__k1": key[1]})
-    plain = plain.drop(*[c for c in fields.fieldNames() if c != "n_words"])
+    kept = without(docs.columns, fields.fieldNames(), spark)
+    beside = [key[0].alias("__k0"), key[1].alias("__k1"), F.col(f"`{text_col}`").alias("n_words")]
+    rest = packed(docs, *beside, columns=kept) if kept else docs.select(F.lit(None).alias("row"), *beside)
+    plain = append_columns(rest, "n_words", T.StructType([FIELDS["n_words"]]), counter)
     joined = plain.join(found, (F.col("__k0") == F.col("k0")) & (F.col("__k1") == F.col("k1")), "left")
     runs = F.coalesce(F.array_sort("__runs"), F.array().cast("array<array<bigint>>"))
     items = F.coalesce(F.array_sort("__items"), F.array().cast("array<string>"))
@@ -258,16 +265,16 @@ def decontaminate(
         joined.withColumns({"hit_runs": runs, "item_ids": items})
         .withColumns({"n_hit": covered, "n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)})
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-        .drop("__k0", "__k1", "k0", "k1", "__runs", "__items")
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *fields.fieldNames())
     )
     return out if spans else out.drop("hit_runs", "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not contaminated; all their columns."""
-    held = docs.select(F.struct("*").alias("__row"), F.col(f"`{options.pop('text_col', 'text')}`").alias("__searched"))
-    judged = decontaminate(held, benchmark, text_col="__searched", **options)
-    return judged.where(~F.col("contaminated")).select("__row.*")
+    held = packed(docs, F.col(f"`{options.pop('text_col', 'text')}`").alias("n_words"))
+    judged = decontaminate(held, benchmark, text_col="n_words", **options)
+    return unpacked_rows(judged.where(~F.col("contaminated")), docs.columns)
 
 
 def counter():

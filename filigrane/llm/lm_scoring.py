@@ -9,7 +9,8 @@ stands before a text and ends it. A text's score is the log10 probability of its
 All (context, symbol) counts follow from the counts of 4-byte strings, which executors count and Spark adds up. The trie
 is sent to the executors if it has at most `max_nodes` strings, a checked bound. Beyond it, nothing is broadcast: the
 log probability of every distinct string is computed in groups of the two bytes before the symbol, of which the tables
-below order 2 are of fixed size, and joined to the strings of each text. Both ways give the same scores.
+below order 2 are of fixed size, and joined to the strings of each distinct text, known by its 128-bit hash. Both ways
+give the same scores.
 
 The unigram score needs each word's count in all training texts. The `FREQUENT` most frequent words, a fixed number, are
 broadcast (those above a count that leaves at most so many); all other words of a text meet their counts in a shuffle join on the word.
@@ -228,9 +229,9 @@ def score_texts(
     sent = spark.sparkContext.broadcast((top, trie))
     rows = docs.select(
         F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")
-    )
+    ).withColumn("hash", F.lit(None).cast("binary") if trie else F.unhex(F.md5(F.col("text").cast("binary"))))
     id_kind = rows.schema["doc_id"].dataType
-    own = f"struct<doc_id:{id_kind.simpleString()},n_tokens:bigint,n_known:bigint,base:double,score:double>"
+    own = f"struct<doc_id:{id_kind.simpleString()},hash:binary,n_tokens:bigint,n_known:bigint,base:double,score:double>"
 
     def run(batches):
         known, model = sent.value
@@ -261,10 +262,10 @@ def score_texts(
             ids = piece.column("doc_id")
             structs = pa.StructArray.from_arrays(
                 [
-                    ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                    ids, piece.column("hash"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(score if score is not None else [0.0] * len(texts), pa.float64()),
                 ],
-                names=["doc_id", "n_tokens", "n_known", "base", "score"],
+                names=["doc_id", "hash", "n_tokens", "n_known", "base", "score"],
             )
             # A text's own row has a word with a space, which no count has; its key keeps such rows apart.
             yield pa.RecordBatch.from_arrays(
@@ -285,10 +286,11 @@ def score_texts(
         "key",
         (F.col("n") * F.log10(c + 1)).alias("part"),
         F.when(c > 0, F.col("n")).otherwise(0).alias("known"),
-        *[F.col(f"own.{x}").alias(x) for x in ("doc_id", "n_tokens", "n_known", "base", "score")],
+        *[F.col(f"own.{x}").alias(x) for x in ("doc_id", "hash", "n_tokens", "n_known", "base", "score")],
     )
     per_text = scored.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),
+        *([F.max("hash").alias("hash")] if trie is None else []),
         F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.sum("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
@@ -296,23 +298,24 @@ def score_texts(
         F.max("score").alias("score"),
     )
     if trie is None:
-        per_text = per_text.drop("score").join(joined_scores(rows, grams), "key")
+        per_text = per_text.drop("score").join(joined_scores(rows, grams), "hash").drop("hash")
     return per_text.drop("key")
 
 
 def joined_scores(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """key and score of each text without a broadcast of the trie."""
+    """hash and score of each distinct text without a broadcast of the trie."""
 
     def run(batches):
         for piece in pieces(batches, "text"):
             found, starts = grams_of(utf8(piece.column("text")))
             doc = np.repeat(np.arange(piece.num_rows), np.diff(np.append(starts, len(found))))
             pair, n = np.unique((doc.astype(np.uint64) << np.uint64(32)) | found.astype(np.uint64), return_counts=True)
-            keys = np.array(piece.column("key").to_pylist(), np.int64)[(pair >> np.uint64(32)).astype(np.int64)]
+            keys = piece.column("hash").take(pa.array((pair >> np.uint64(32)).astype(np.int64)))
             own = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(n.astype(np.int64))], names=["key", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(own), pa.array(n.astype(np.int64))], names=["hash", "gram", "n"])
 
-    own = map_arrow(rows.select("key", "text"), run, "key bigint, gram bigint, n bigint")
+    own = map_arrow(rows.select("hash", "text"), run, "hash binary, gram bigint, n bigint")
+    own = own.groupBy("hash", "gram").agg(F.max("n").alias("n"))  # copies of a text have equal counts
     low = grams.groupBy((F.col("gram") % 65536).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toPandas()  # at most 65,536
     sent = rows.sparkSession.sparkContext.broadcast((low["g"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
     middle = F.floor(F.col("gram") / 256).cast("long") % 65536
@@ -324,4 +327,4 @@ def joined_scores(rows: DataFrame, grams: DataFrame) -> DataFrame:
         return wanted[["gram", "p"]]
 
     table = grams.withColumn("middle", middle).groupBy("middle").cogroup(asked.groupBy("middle")).applyInPandas(logs, "gram bigint, p double")
-    return own.join(table, "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("p")).alias("score"))
+    return own.join(table, "gram").groupBy("hash").agg(F.sum(F.col("n") * F.col("p")).alias("score"))

@@ -16,7 +16,8 @@ texts cost the same few darts besides one look at each shingle.
 2. links are joined to connected components (alternating large and small stars, each step written to shared storage);
 3. buckets that still hold several components are compared in pairs of blocks of about `BLOCK` members by their
    signatures; pairs of different components that agree well enough are checked exactly, in place, until a member has a
-   link to the other component.
+   link to the other component. The members of a bucket's largest component are in blocks of their own, which meet the
+   others' but not each other: the work is that of the texts outside it times the bucket, not the bucket's square.
 
 So a group of thousands of copies costs one link per text and bucket, no pairs are emitted within a group, and no link
 between texts that share a bucket is lost but for a chance of 3e-8: step 3 looks at pairs whose signatures agree in at
@@ -26,17 +27,18 @@ probability 5e-5.
 
 Defined cases: a null text is a class of its own; texts without words are in one class if they are equal; repeated
 rows are in one class and one of them stays; null ids come first when a class's document is chosen; an empty table gives
-an empty result; other columns pass through `drop_near_duplicates` untouched, whatever their names.
+an empty result; other columns pass through `drop_near_duplicates` untouched, whatever their names; of rows equal in id and
+text that differ in other columns any one stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.common import map_arrow, materialize, narrowed, pieces, utf8
+from filigrane.llm.common import map_arrow, materialize, narrowed, packed, pieces, unpacked_rows, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -254,11 +256,16 @@ def mixed_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, docs:
     link to the other component. So what comes out is bounded by members times components, not by pairs.
     """
     members = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = materialize(members.join(mixed, "bucket"), "members")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("main.n < n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("main.class").alias("main"), blocks(F.col("main.n")).alias("m"), blocks(F.col("n") - F.col("main.n")).alias("r"))
+    rows = materialize(members.join(materialize(mixed, "mixed"), "bucket"), "members")
+    # Blocks 0 to m - 1 hold the largest component, the r blocks behind them all others.
+    h, inside = F.xxhash64("node"), F.col("class") == F.col("main")
+    own = F.when(inside, F.pmod(h, F.col("m"))).otherwise(F.col("m") + F.pmod(h, F.col("r"))).cast("int")
+    others = F.sequence(F.when(inside, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("r") - 1)
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(others))
     spread = spread.select("node", "class", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     asked = nodes.join(rows.select("node").distinct(), "node")
     content = asked.select("node", "bands", "sig").join(bags(asked, docs, size), "node")
@@ -354,11 +361,15 @@ def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` with one document of each class: that with the least id; all their columns."""
     table = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    heads = materialize(table.where("key = class_key").select(F.col("class_key").alias("__key"), F.col("class_id").alias("__id"), "n_same"), "heads")
-    columns = docs.columns
-    keyed = docs.withColumn("__text_key", F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
-    kept = keyed.join(heads, (F.col("__text_key") == F.col("__key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    if not heads.where("n_same > 1").isEmpty():  # equal rows of one id and text: one of them stays
-        order = Window.partitionBy(F.col(f"`{id_col}`"), "__text_key").orderBy(F.lit(1))
-        kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(docs.where(F.col(f"`{text_col}`").isNull()))
+    heads = materialize(table.where("key = class_key").select("key", F.col("class_id").alias("id"), "n_same"), "heads")
+    text = F.col(f"`{text_col}`")
+    rows = packed(docs, F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.col(f"`{id_col}`").alias("row_id"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, (F.col("text_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id")), "left_semi")
+
+    kept = of(heads.where("n_same = 1")).select("row")
+    again = heads.where("n_same > 1")
+    if not again.isEmpty():  # equal rows of one id and text: one of them stays, told before the shuffle
+        kept = kept.union(of(again).groupBy("text_key", "row_id").agg(F.first("row").alias("row")).select("row"))
+    return unpacked_rows(kept, docs.columns).unionByName(docs.where(text.isNull()))

@@ -657,3 +657,85 @@ def test_mix(spark, docs, odd, texts):
     plan = mixing.mix_plan(odd).collect()
     assert Counter(r.doc_id for r in rows.collect()) == +sum((Counter({r.doc_id: r.times}) for r in plan), Counter())
     assert mixing.mix_plan(odd.limit(0)).count() == 0 and mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_equal_rows_in_the_mix(spark):
+    """A third of all rows equal in all columns, more equal in id and text only, over several stretches of rows."""
+    rng = random.Random(6)
+    hot = prose(rng, 12)
+    rows = [(7, hot, "a", 0)] * 400 + [(8, hot, "a", i) for i in range(300)] + [(100 + i, prose(rng, rng.randint(1, 30)), rng.choice("ab"), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
+    for budget in (None, 700, 9000):
+        plan = mixing.mix_plan(df, budget=budget).collect()
+        again = mixing.mix_plan(df.repartition(7), budget=budget).collect()
+        assert sorted(plan) == sorted(again) and len(plan) == len(rows)
+        taken, target = Counter(), {}
+        source = {r[0]: r[2] for r in rows}
+        for r in plan:
+            taken[source[r.doc_id]] += r.taken
+            target[source[r.doc_id]] = r.target
+        assert all(abs(taken[s] - target[s]) <= 1 for s in "ab")
+        got = Counter(r.doc_id for r in mixing.mix(df, budget=budget).collect())
+        assert got == +sum((Counter({r.doc_id: r.times}) for r in plan), Counter())
+
+
+def test_stretches_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SALT", 2)
+    monkeypatch.setattr(mixing, "CHUNK", 5)
+    df = spark.createDataFrame([(7, "a b c", "s")] * 50, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df, budget=91).collect()
+    assert Counter(r.times for r in plan) == {1: 30, 0: 20}
+    assert mixing.mix(df, budget=91).count() == 30 and mixing.mix(df, budget=3 * 127).count() == 127
+
+
+def test_clashing_names(spark, docs, sf_dir):
+    """Results replace columns of their name in any letter case; operators that filter keep all columns as they are."""
+    rng = random.Random(12)
+    names = ["doc_id", "text", "source", "KEPT", "Score", "row", "key", "id", "n", "hash", "text_key", "__text_key", "__row_key", "__bucket", "__salt", "k0", "__runs", "n_words", "Contaminated", "size"]
+    rows = [(i, prose(rng, 80), "s", *[f"{i}-{c}" for c in names[3:]]) for i in range(6)]
+    rows += [rows[0], rows[0], (6, rows[1][1], *rows[1][2:])]
+    df = spark.createDataFrame(rows, names)
+    bench = spark.createDataFrame([(1, " ".join(rows[2][1].split()[:40])), (2, "zz " * 30), (3, prose(rng, 50))], "item_id long, text string")
+    small = lambda c: [x.lower() for x in c]
+    ruled = quality_rules.fertility_rules(df)
+    assert len(set(small(ruled.columns))) == len(ruled.columns) and ruled.where("kept IS NOT NULL").count() == len(rows)
+    model = quality_classifier.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert quality_classifier.score_quality(df, model).where("score >= 0").count() == len(rows)
+    for size in (10**6, 30):
+        found = decontaminate.decontaminate(df, bench, block_words=size)
+        assert [r.doc_id for r in found.where("contaminated").collect()] == [2] and len(set(small(found.columns))) == len(found.columns)
+        clean = decontaminate.drop_contaminated(df, bench, block_words=size)
+        assert clean.columns == names and clean.count() == len(rows) - 1
+    single = near_dedup.drop_near_duplicates(df)
+    assert single.columns == names and sorted(r.doc_id for r in single.collect()) == list(range(6))
+    assert all(r.KEPT == f"{r.doc_id}-KEPT" for r in single.collect())
+    mixed = mixing.mix(df)
+    assert mixed.columns == names and mixed.count() == len(rows)
+    assert token_records.records_of(df).count() == len(rows) == substring_dedup.remove_repeats(df).count()
+
+
+def test_very_long_texts(spark, docs, sf_dir):
+    """Texts of 5 MB, one of a single word, and a passage that both share."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    passage = prose(rng, 100)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(640_000)]
+    long = " ".join([*words[:300_000], passage, *words[300_000:]])
+    rows = [(1, long), (2, "x" * 5_000_000), (3, prose(rng, 30) + " " + passage), (4, long + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 5_000_000
+    ruled = {r.doc_id: r for r in quality_rules.fertility_rules(df).collect()}
+    assert ruled[1].n_words == len(long.split()) and ruled[2].word_chars == 5_000_000 and ruled[2].base_failed
+    assert {r.doc_id: r.class_id for r in near_dedup.dedup_classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    found = {r.doc_id: r for r in decontaminate.decontaminate(df, spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()}
+    assert [found[i].n_hit for i in (1, 2, 3)] == [100, 0, 100] and found[3].contaminated and not found[1].contaminated
+    cut = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert cut[1].n_removed == len(long) and cut[2].n_removed == 5_000_000 and cut[4].n_removed >= len(long) and cut[3].n_removed >= len(passage)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_records.records_of(df).collect()}
+    assert got[3] == len(tokenizer.encode(rows[2][1], add_special_tokens=False).ids) + 1 and got[4] == got[1] + len(tokenizer.encode("end", add_special_tokens=False).ids)
+    scored = {r.doc_id: r for r in lm_scoring.score_texts(df, remainder("doc_id", 7) >= 0).collect()}
+    assert scored[1].n_tokens == len(long.split()) + 1 and scored[1].score < scored[3].score < 0
+    assert [r.lang_pred != "und" for r in language_id.identify_languages(df, language_id.learn_languages(docs)).collect()] == [True] * 4
