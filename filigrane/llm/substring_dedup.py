@@ -288,7 +288,7 @@ def hot_runs(slices: DataFrame, length: int) -> DataFrame:
 
     def windows(batches):
         reach = np.arange(length)
-        for piece in pieces(batches, "slice", BULK // 16):
+        for piece in pieces(batches, "slice", BULK // 64):
             at = np.array(piece.column("at").to_pylist(), np.int64)
             data = piece.column("slice").to_pylist()
             n = (at & 255) + 1
@@ -363,12 +363,12 @@ def repeated_spans(
     names = ["key", "h", "sh", "at", "kind"]
     members = matched.join(compared, ["h", "sh"]).select(*names)
     slices = fetched_slices(source, asked.where("NOT spread").select(*names).union(members), length)
-    slices = materialize(slices, "cuts", "zstd")
+    slices = materialize(slices, "cuts")
 
     def of(rows: DataFrame, kind: int, yes: bool = True) -> DataFrame:
         return rows.where((F.col("kind").bitwiseAND(F.lit(kind)) != 0) == yes)
 
-    variants = materialize(of(slices, REPEATED).groupBy("h", "sh", "kind", "slice").agg(F.min("at").alias("at")), "variants", "zstd")
+    variants = materialize(of(slices, REPEATED).groupBy("h", "sh", "kind", "slice").agg(F.min("at").alias("at")), "variants")
     mixed = materialize(variants.groupBy("h", "sh").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "mixed")
     span = [F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.expr("at & 255") + length).alias("end")]
     twice, checked = kinds.where("n > 1").select("h", "sh"), variants
