@@ -23,6 +23,16 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFC", plain.replace("ı", "i").replace("İ", "i").replace("I", "i"))
 
 
+#: Composed letters that fold to another one, by the general rule.
+ACCENTED = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if fold_text(c) != c and len(fold_text(c)) == 1)
+PLAIN = "".join(map(fold_text, ACCENTED))
+
+
+def fold_native(name: Column) -> Column:
+    """Folding within the JVM for composed letters of the usual languages; `fold` covers all."""
+    return F.translate(name, ACCENTED, PLAIN)
+
+
 def upper_text(text: str) -> str:
     """Upper case that keeps the number of characters; dotted and dotless i keep their form."""
     return "".join(c if c in "ıİ" or len(c.upper()) != 1 else c.upper() for c in text)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from filigrane.operators import links
 
 STRUCTURAL = ("created", "deleted", "renamed")
 
@@ -42,6 +45,15 @@ def cascade_delete(tree: DataFrame, deleted: DataFrame, id_col: str = "id") -> D
     return tree.join(below, id_col, "left_anti")
 
 
+def deleted_subtree(tree: DataFrame, paths: DataFrame, separator: str = "/") -> DataFrame:
+    """Rows at the paths or below them by their own path, so orphans that no walk reaches are found too."""
+    from filigrane.operators.live import same_or_below
+
+    gone = paths.select(F.col("path").alias("__g")).distinct()
+    below = tree.select("path", F.explode(same_or_below(F.col("path"), separator)).alias("__g")).join(gone, "__g").select("path").distinct()
+    return tree.join(below, "path", "left_semi")
+
+
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     return rows.join(parents, rows[key] == parents[parent_key], "left_anti")
 
@@ -111,32 +123,87 @@ def emit_kind(old: Column, new: Column, deleted: Column, created: Column, modifi
     return F.concat(first, then)
 
 
+def withheld_events(events: DataFrame, visible: DataFrame, separator: str = "/") -> DataFrame:
+    """Events as a reader may see them: kind, path and old_path (null: nothing to see), `withheld`, whether an end is not
+    visible, and `scopes`, the nearest visible folders above what is not. visible: the paths that may be listed."""
+    seen = visible.select(F.col("path").alias("__v")).distinct()
+    parts = lambda c: F.split(c, "\\Q" + separator + "\\E")
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts(c)) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts(c), F.lit(1), i), separator))
+    ends = events.select(F.explode(F.array("path", "old_path")).alias("__p")).where("__p IS NOT NULL").distinct()
+    nearest = ends.select("__p", F.explode(above(F.col("__p"))).alias("__v")).join(seen, "__v").groupBy("__p").agg(F.max_by("__v", F.length("__v")).alias("__s"))
+    known = ends.join(seen, F.col("__p") == F.col("__v"), "left").join(nearest, "__p", "left")
+    out = events
+    for c, name in (("path", "__new"), ("old_path", "__old")):
+        own = known.select(F.col("__p").alias(f"{name}_p"), F.col("__v").alias(f"{name}_v"), F.col("__s").alias(f"{name}_scope"))
+        out = out.join(own, F.col(c) == F.col(f"{name}_p"), "left")
+    new, old = F.col("__new_v").isNotNull(), F.col("__old_v").isNotNull()
+    kind = split_rename(F.col("kind"), F.col("old_path"), F.col("path"), old, new)
+    path = F.when(kind == "deleted", F.when((F.col("kind") == "renamed") & ~new, F.col("old_path")).otherwise(F.col("path"))).otherwise(F.col("path"))
+    hid = ~new | ((F.col("kind") == "renamed") & ~old)
+    scopes = F.array_compact(F.array(F.when(~new, F.col("__new_scope")), F.when((F.col("kind") == "renamed") & ~old, F.col("__old_scope"))))
+    return out.select(
+        *[c for c in events.columns if c not in ("kind", "path", "old_path")],
+        kind.alias("kind"), F.when(kind.isNotNull(), path).alias("path"), F.when(kind == "renamed", F.col("old_path")).alias("old_path"), hid.alias("withheld"), F.array_distinct(scopes).alias("scopes"),
+    )
+
+
 def split_rename(kind: Column, old: Column, new: Column, old_seen: Column, new_seen: Column) -> Column:
     """A rename with one end out of view is a deletion or a creation; with none in view it is nothing (null)."""
     return F.when(kind != "renamed", F.when(new_seen, kind)).when(old_seen & new_seen, kind).when(old_seen, F.lit("deleted")).when(new_seen, F.lit("created"))
 
 
 def pages_by_size(entries: DataFrame, group: str, order: list[str], size_col: str, budget: int) -> DataFrame:
-    """A page number for each entry: pages start where the running size passes a multiple of the budget."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("page", F.floor((F.sum(size_col).over(w) - F.col(size_col)) / budget).cast("long"))
+    """A page number for each entry. A page takes entries as long as they fit the budget, the first one in any case, and
+    the next page starts with the entry that did not fit. That is a fold over a group in order: groups are spread over
+    tasks, and each streams its sorted rows with one running size as its state."""
+    names = entries.columns
+    schema = T.StructType([*entries.schema, T.StructField("page", T.LongType())])
+
+    def fold(frames):
+        last, page, held = object(), 0, 0
+        for pdf in frames:
+            pages = []
+            for key, size in zip(pdf[group].tolist(), pdf[size_col].tolist(), strict=True):
+                if key != last:
+                    last, page, held = key, 0, size
+                elif held + size > budget:
+                    page, held = page + 1, size
+                else:
+                    held += size
+                pages.append(page)
+            yield pdf.assign(page=pages)
+
+    return entries.repartition(group).sortWithinPartitions(group, *order).select(*names).mapInPandas(fold, schema)
+
+
+def project_pages(entries: DataFrame, subscriptions: DataFrame, budget: int, overhead: int = 64) -> DataFrame:
+    """Events of current deliveries with the page that carries them and `resume`, where the page stopped.
+
+    entries: sequence, delivery, event (positions), root, generation, gap, fault, kind, path, old_path, withheld. A
+    delivery is current if its generation is that of its root's subscription. A root's gaps and faults of a page collapse
+    into one flag each. An event costs its paths and `overhead`; a page takes what fits, one event in any case.
+    """
+    wanted = subscriptions.select("root", F.col("generation").alias("__g"))
+    own = entries.join(wanted, "root").where("generation = __g").drop("__g")
+    cost = F.octet_length("path") + F.coalesce(F.octet_length("old_path"), F.lit(0)) + overhead
+    own = own.withColumns({"bytes": F.coalesce(cost, F.lit(overhead)).cast("long"), "feed": F.lit(0)})
+    paged = pages_by_size(own, "feed", ["sequence", "delivery", "event"], "bytes", budget)
+    root = Window.partitionBy("page", "root")
+    at = F.min(F.struct("sequence", "delivery", "event")).over(Window.partitionBy("page"))
+    return paged.withColumns({"has_gap": F.max(F.coalesce(F.col("gap"), F.lit(False))).over(root), "has_fault": F.max(F.coalesce(F.col("fault"), F.lit(False))).over(root), "resume": at}).drop("feed", "bytes")
+
+
+def current_deliveries(deliveries: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Deliveries of the generation that their root is subscribed with."""
+    return deliveries.join(subscriptions.select("root", "generation"), ["root", "generation"], "left_semi")
 
 
 def apply_changes(entries: DataFrame, changes: DataFrame) -> DataFrame:
-    """A batch of upserts and deletions on (file_ref, parent_ref, name): the last change of a link counts, a file's
-    metadata goes to all its links, links of an older sequence of the same record end, parents must be known."""
-    key = ["file_ref", "parent_ref", "folded"]
-    last = Window.partitionBy(*key).orderBy(F.col("ordinal").desc())
-    final = changes.withColumn("folded", F.upper("name")).withColumn("__i", F.row_number().over(last)).where("__i = 1").drop("__i")
-    old = entries.withColumn("folded", F.upper("name"))
-    newest = final.where("kind = 'upsert'").groupBy("file_ref").agg(F.max_by(F.struct("size_bytes", "modified_ticks"), "ordinal").alias("meta"))
-    record = F.expr("file_ref & 281474976710655")
-    reused = final.where("kind = 'upsert'").select(record.alias("record"), F.col("file_ref").alias("now")).distinct()
-    kept = old.join(final.select(*key), key, "left_anti").withColumn("record", record)
-    stale = kept.join(reused, "record").where("file_ref <> now").select(*key)
-    kept = kept.drop("record").join(stale, key, "left_anti")
-    added = final.where("kind = 'upsert'").select(*old.columns)
-    every = kept.unionByName(added).join(newest, "file_ref", "left")
-    every = every.withColumns({c: F.coalesce(F.col(f"meta.{c}"), F.col(c)) for c in ("size_bytes", "modified_ticks")}).drop("meta")
-    known = every.where("is_dir").select(F.col("file_ref").alias("__p")).distinct()
-    return every.join(known, F.col("parent_ref") == F.col("__p"), "left_semi").drop("folded")
+    """A batch of upserts and deletions without previous names; see `links.apply_batch`. Root is the entry that is its own
+    parent."""
+    root = entries.where("file_ref = parent_ref").select("file_ref").head()
+    fill = {c: F.lit(0).cast("long") for c in links.META if c not in entries.columns}
+    whole = changes.withColumns({c: F.lit(0).cast("long") for c in links.META if c not in changes.columns})
+    whole = whole.withColumns({"previous_parent": F.lit(None).cast("long"), "previous_name": F.lit(None).cast("string")})
+    final, _ = links.apply_batch(entries.withColumns(fill), whole, root[0] if root else 5)
+    return final.select(*entries.columns)

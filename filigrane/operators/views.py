@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigrane.functions.kinds import in_categories
-from filigrane.functions.text import extension, segments
+from filigrane.functions.text import extension, parent_path, segments
 
 MIB = 1 << 20
 SMALL, LARGE = MIB, 100 * MIB
@@ -71,10 +71,11 @@ class CatalogFilter:
         ok = (d & F.lit(self.folders)) | (~d & F.lit(self.files))
         dates = F.lit(True)
         for c, low, high in ((created, self.created_from, self.created_before), (modified, self.modified_from, self.modified_before)):
+            # A bound that is no time does not bind; it is tried once, as a constant.
             if low:
-                dates = dates & (F.col(c) >= F.lit(low).cast("timestamp"))
+                dates = dates & (F.lit(low).try_cast("timestamp").isNull() | (F.col(c) >= F.lit(low).try_cast("timestamp")))
             if high:
-                dates = dates & (F.col(c) < F.lit(high).cast("timestamp"))
+                dates = dates & (F.lit(high).try_cast("timestamp").isNull() | (F.col(c) < F.lit(high).try_cast("timestamp")))
         ok = ok & (dates if self.date_directories else d | dates)
         mb = F.col(size) / F.lit(1048576.0)
         if self.min_mb is not None:
@@ -127,6 +128,55 @@ def page_with_total(items: DataFrame, keys: list[Column], limit: int, offset: in
     return top(items, keys, limit, offset).crossJoin(F.broadcast(total))  # one row
 
 
+def as_results(items: DataFrame) -> DataFrame:
+    """Rows as a result list shows them: a directory has neither size nor time."""
+    return items.select("name", "full_path", "is_dir", F.when(~F.col("is_dir"), F.col("size_bytes")).alias("size_bytes"), F.when(~F.col("is_dir"), F.col("modified")).alias("modified"), "score")
+
+
+def as_items(rows: DataFrame, root: str, separator: str = "/") -> DataFrame:
+    """Rows as catalogue items: a directory has no size but keeps its times; nothing was opened yet; the root has no
+    parent path."""
+    return rows.select(
+        "name", "full_path", "is_dir", F.when(~F.col("is_dir"), F.col("size_bytes")).alias("size_bytes"), "created", "modified",
+        F.lit(0).alias("open_count"), F.when(F.col("full_path") == root, F.lit("")).otherwise(parent_path(F.col("full_path"), separator)).alias("parent_path"),
+    )
+
+
+def by_distinct_name(items: DataFrame, test, name_col: str = "name") -> DataFrame:
+    """Items whose name passes a test that is costly: it runs once for each distinct name."""
+    names = items.select(name_col).distinct()
+    return items.join(names.where(test(F.col(name_col))), name_col, "left_semi")
+
+
+# Attribute bits.
+HIDDEN, SYSTEM, REPARSE = 0x2, 0x4, 0x400
+
+
+def listing(children: DataFrame, limit: int) -> DataFrame:
+    """What is in a folder: directories, then files, each by name; hidden ones are left out, and system directories.
+    `truncated` tells whether the limit was reached."""
+    bits = F.col("attributes")
+    shown = (bits.bitwiseAND(F.lit(HIDDEN)) == 0) & ~(F.col("is_dir") & (bits.bitwiseAND(F.lit(SYSTEM)) != 0))
+    page = children.where(shown).orderBy(F.col("is_dir").desc(), F.lower("name"), "name").limit(max(0, limit))
+    return page.crossJoin(F.broadcast(page.agg((F.count("*") >= limit).alias("truncated"))))  # one row
+
+
+def walk_snapshot(walked: DataFrame, root: str, path_col: str = "full_path") -> tuple[DataFrame, DataFrame]:
+    """What a walk may catalogue, and its scopes (path, kind): protected and unreadable folders are not gone, excluded
+    ones are. Hidden and system entries are left out but for the root. walked: with attributes and `state` (ok, denied,
+    failed, excluded)."""
+    bits = F.col("attributes")
+    shown = (bits.bitwiseAND(F.lit(HIDDEN | SYSTEM)) == 0) | (F.col(path_col) == root)
+    kinds = F.when(F.col("state") == "denied", "protected").when(F.col("state") == "failed", "unreadable").when(F.col("state") == "excluded", "excluded").when(~shown, "excluded")
+    scopes = walked.select(F.col(path_col).alias("path"), kinds.alias("kind")).where("kind IS NOT NULL")
+    return walked.where(shown & F.col("state").isin("ok", "denied", "failed")), scopes
+
+
+def filtered_page(page: DataFrame, item_filter: ItemFilter, now: Column, sort: ItemSort) -> DataFrame:
+    """A folder's page, capped already, through a filter: directories first, then by the sort."""
+    return page.where(item_filter.column(now)).withColumn("score", F.lit(0.0)).orderBy(F.col("is_dir").desc(), *sort.keys())
+
+
 def folder_view(items: DataFrame, sort: ItemSort, limit: int) -> DataFrame:
     """A listing: directories first, then the sort with no score."""
     scored = items.withColumn("score", F.lit(0.0))

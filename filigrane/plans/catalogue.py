@@ -80,9 +80,15 @@ def literal_search_modified_desc(spark, d):
     return _literal(spark, d, views.ItemSort("modified"))
 
 
-@query(_literal_sql("lower(name), lower(full_path), full_path, item_id"))
+@query(f"""{ITEMS}, named AS (SELECT item_id, name || '.' || replace(kind, ' ', '_') AS name, replace(kind, ' ', '_') AS ext, parent_path FROM items)
+    SELECT row_number() OVER (ORDER BY '.' || lower(ext), lower(name), lower(parent_path || '/' || name), parent_path || '/' || name, item_id) AS position, item_id, name FROM named
+    WHERE contains(lower(name), 'wid') ORDER BY position LIMIT 100""")
 def literal_search_kind(spark, d):
-    return _literal(spark, d, views.ItemSort("kind"))
+    """The part's type is the file's extension."""
+    named = F.concat_ws(".", "name", F.replace("kind", F.lit(" "), F.lit("_")))
+    items = part_items(spark, d).withColumn("name", named).withColumn("full_path", F.concat_ws("/", "parent_path", "name"))
+    keys = [*views.ItemSort("kind").keys(), F.col("item_id")]
+    return ranked(views.top(retrieval.literal(items, "WID"), keys, 100), keys, "item_id", "name")
 
 
 @query(f"""{ITEMS}, hits AS (
@@ -91,7 +97,7 @@ def literal_search_kind(spark, d):
     SELECT item_id, name, CAST((50.0 * (hit + CAST(in_part AS INT)) + CASE WHEN hit + CAST(in_part AS INT) = 2 THEN 100 ELSE 0 END
            + CASE WHEN lower(name) = 'cold widget' THEN 200 ELSE 0 END + 25.0 * hit + 2.0 * open_count)
            * CASE WHEN hit = 0 AND in_part THEN 0.7 ELSE 1.0 END AS DOUBLE) AS score
-    FROM hits WHERE hit > 0 OR in_part ORDER BY score DESC, lower(name), item_id LIMIT 50""")
+    FROM hits WHERE hit > 0 OR in_part ORDER BY score DESC, lower(name), lower(full_path), full_path, item_id LIMIT 50""")
 def token_search_scored(spark, d):
     found = search.standard_search(part_items(spark, d), ["cold", "widget"], "cold widget")
     return found.select("item_id", "name", "score")
@@ -107,6 +113,12 @@ def fuzzy_match(spark, d):
     return retrieval.fuzzy(retrieval.postings(part_items(spark, d)), "wodget", 2)
 
 
+@query(f"{ITEMS} SELECT DISTINCT item_id FROM (SELECT item_id, unnest(tokens) AS token FROM items) WHERE token = 'widget'")
+def fuzzy_gate(spark, d):
+    """A token that is there keeps near ones out."""
+    return retrieval.fuzzy(retrieval.postings(part_items(spark, d)), "widget", 2)
+
+
 @query(f"""{ITEMS} SELECT word, distance FROM (SELECT token AS word, levenshtein(token, 'gear') AS distance, min(item_id) AS first_seen
            FROM (SELECT item_id, unnest(tokens) AS token FROM items) GROUP BY token)
            WHERE length(word) BETWEEN 3 AND 64 AND distance <= 3 ORDER BY distance, first_seen, word LIMIT 64""")
@@ -133,16 +145,16 @@ def token_diagnostics(spark, d):
     SELECT item_id, max(CASE WHEN token IN ('cold', 'hot') THEN 1 ELSE 0 END) AS first_group, max(CASE WHEN token IN ('widget', 'gear') THEN 1 ELSE 0 END) AS second_group
     FROM w GROUP BY item_id HAVING first_group = 1 AND second_group = 1""")
 def anchor_and_or(spark, d):
+    """The operator alone decides; tokens of 3 letters match whole, longer ones in part too, and here no name adds any."""
     terms = tuple(search.Term(x, 1.0, g) for g, xs in ((0, ("cold", "hot")), (1, ("widget", "gear"))) for x in xs)
-    items = part_items(spark, d).withColumn("__own", tx.tokenize_ascii(F.col("name")))
-    every, _ = search.anchor_groups(F.col("__own"), terms, str.split)
-    groups = [F.arrays_overlap("__own", F.array(*[F.lit(x) for x in xs])) for xs in (("cold", "hot"), ("widget", "gear"))]
-    return items.where(every & groups[0] & groups[1]).select("item_id", F.lit(1).alias("first_group"), F.lit(1).alias("second_group"))
+    items = part_items(spark, d)
+    rows, none_else = search.gates(items.withColumn("__own", tx.tokenize_ascii(F.col("name"))), F.col("__own"), terms, str.split)
+    every, _ = search.anchor_groups(F.col("__own"), terms, str.split, none_else)
+    return rows.where(every).select("item_id", F.lit(1).alias("first_group"), F.lit(1).alias("second_group"))
 
 
 @query(f"""{ITEMS}, c AS (SELECT *,
-      CASE WHEN list_contains(tokens, 'widget') THEN 1.0 WHEN len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 THEN 0.7
-           WHEN len(list_filter(tokens, lambda x: abs(length(x) - 6) <= 1 AND levenshtein(x, 'widget') <= 1)) > 0 THEN 0.4 END AS worth FROM items)
+      CASE WHEN list_contains(tokens, 'widget') THEN 1.0 WHEN len(list_filter(tokens, lambda x: contains(x, 'widget'))) > 0 THEN 0.7 END AS worth FROM items)
     SELECT item_id, CAST(100.0 * worth + CASE WHEN contains(lower(full_path), 'brand#1') THEN 80.0 ELSE 0 END
          + CASE WHEN list_contains(tokens, 'cold') THEN 12.0 ELSE 0 END + 2.0 * open_count AS DOUBLE) AS score
     FROM c WHERE worth IS NOT NULL ORDER BY score DESC, lower(name), lower(full_path), full_path, item_id LIMIT 100""")
@@ -219,10 +231,7 @@ def top_k_offset_total(spark, d):
 
 @query(f"""{ITEMS} SELECT item_id, dense_rank() OVER (ORDER BY name) AS name_rank FROM items""")
 def dense_name_rank(spark, d):
-    """The rank is that of the distinct names, of which there are few; items meet it in a join."""
-    items = part_items(spark, d).select("item_id", "name")
-    ranks = items.select("name").distinct().withColumn("name_rank", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return items.join(ranks, "name").select("item_id", "name_rank")
+    return profile.dense_rank(part_items(spark, d).select("item_id", "name"), "name", "name_rank").select("item_id", "name_rank")
 
 
 # Trees
@@ -238,7 +247,7 @@ def _tree_rows(spark, d):
 
 
 def _tree(spark, d):
-    return tree.reachable(_tree_rows(spark, d), "root", depth=4)
+    return tree.reachable(_tree_rows(spark, d), "root")
 
 
 TREE = """WITH RECURSIVE rows AS (
@@ -290,15 +299,19 @@ def folder_contents(spark, d):
     return search.expand_folders(matched, rows, False).select(F.col("full_path").alias("id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01')")
 def orphan_rows(spark, d):
-    return changes.orphans(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    """Customers without a late urgent order."""
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01'")
+    return changes.orphans(t(spark, d, "customer"), urgent, "c_custkey", "o_custkey").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(f"{TREE} SELECT t.id FROM tree t LEFT JOIN orders ON t.id = 'o' || o_orderkey WHERE NOT (starts_with(t.id, 'c') AND TRY_CAST(substr(t.id, 2) AS BIGINT) % 4 = 1) AND (o_custkey IS NULL OR o_custkey % 4 <> 1)")
 def reachable_rows(spark, d):
-    c, o = t(spark, d, "customer"), t(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
+    """Rows whose chain of parents is whole: a file or a lost folder on the way cuts off what is below it."""
+    rows = _tree_rows(spark, d).where("NOT (id LIKE 'c%' AND coalesce(try_cast(substring(id, 2) AS BIGINT), 0) % 4 = 1)")
+    rows = rows.unionByName(t(spark, d, "orders").where("o_custkey % 4 = 1").select(F.concat(F.lit("x"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent_id"), F.lit("lost").alias("name"), F.lit(False).alias("is_dir")))
+    return tree.reachable(rows, "root").select("id")
 
 
 @query(f"{TREE} SELECT id FROM tree WHERE NOT (id IN ('r2', 'n3') OR list_has_any(ancestors, ['r2', 'n3']))")
@@ -368,8 +381,13 @@ def fold_file_state(spark, d):
     return changes.fold_state(rows, ["user_id", "day"], ["ts", "event_id"]).select("user_id", "day", "kind", "records")
 
 
-@query("""SELECT o_orderkey, CAST(floor((sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - n) / 300000) AS BIGINT) AS page FROM (SELECT o_orderkey, o_custkey, CAST(trunc(o_totalprice) AS BIGINT) AS n FROM orders)""")
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey, o_custkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+      f AS (SELECT o_orderkey, o_custkey, i, n AS held, 0::BIGINT AS page FROM n WHERE i = 1
+        UNION ALL SELECT n.o_orderkey, n.o_custkey, n.i, CASE WHEN f.held + n.n > 300000 THEN n.n ELSE f.held + n.n END, CASE WHEN f.held + n.n > 300000 THEN f.page + 1 ELSE f.page END
+        FROM f JOIN n ON n.o_custkey = f.o_custkey AND n.i = f.i + 1)
+    SELECT o_orderkey, page FROM f""")
 def delivery_pages(spark, d):
+    """A customer's orders in pages of a byte budget; the next page starts with the order that did not fit."""
     rows = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("long").alias("n"))
     return changes.pages_by_size(rows, "o_custkey", ["o_orderkey"], "n", 300_000).select("o_orderkey", "page")
 
@@ -449,9 +467,9 @@ def children_per_parent(spark, d):
     return profile.children_per_parent(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey")
 
 
-@query("SELECT count(*) AS items, count(DISTINCT p_name) AS names, count(*) FILTER (p_size > 25) AS large FROM part")
+@query("SELECT count(*) FILTER (o_orderstatus <> 'P') AS files, count(*) FILTER (o_orderstatus = 'P') AS directories, count(DISTINCT o_orderpriority) AS names, count(*) AS items FROM orders")
 def catalog_counts(spark, d):
-    return t(spark, d, "part").agg(F.count("*").alias("items"), F.countDistinct("p_name").alias("names"), F.count_if(F.col("p_size") > 25).alias("large"))
+    return profile.catalog_counts(_order_items(spark, d), "full_path")
 
 
 # Metrics
@@ -471,12 +489,18 @@ def metric_deltas(spark, d):
     return metrics.deltas(t(spark, d, "events"), ["user_id", "event_type"], "ts", "value").select("user_id", "event_type", "n", F.round("delta", 6).alias("delta"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS tm, sum(CAST(round(abs(value) * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      f AS (SELECT event_id, user_id, i, tm AS t0, v AS v0, CAST(NULL AS DOUBLE) AS rate FROM e WHERE i = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.tm < f.t0 OR e.v < f.v0 OR e.tm - f.t0 >= 250000 THEN e.tm ELSE f.t0 END, CASE WHEN e.tm < f.t0 OR e.v < f.v0 OR e.tm - f.t0 >= 250000 THEN e.v ELSE f.v0 END,
+          CASE WHEN e.tm < f.t0 OR e.v < f.v0 THEN NULL WHEN e.tm - f.t0 >= 250000 THEN CAST(e.v - f.v0 AS DOUBLE) / (CAST(e.tm - f.t0 AS DOUBLE) / 1000000) ELSE f.rate END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT event_id, coalesce(round(rate, 4), -1) AS rate FROM f""")
 def counter_rate(spark, d):
-    """Rows only: the rule that short gaps do not advance the state is a fold, tested against plain Python."""
+    """Rates of a running sum of values (in hundredths); -1 where there is none."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t(spark, d, "events").select("user_id", "ts", "event_id", F.sum(F.abs("value")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(w).alias("ordinal"))
-    return metrics.counter_rates(rows, "user_id", "ts", "total")
+    value = F.round(F.abs("value") * 100).cast("long")
+    rows = t(spark, d, "events").select("user_id", "ts", "event_id", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    return metrics.counter_rates(rows, "user_id", "ts", "total", order=("ts", "event_id")).select("event_id", F.coalesce(F.round("rate", 4), F.lit(-1.0)).alias("rate"))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS flag, CASE WHEN year(l_shipdate) % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_quantity, 0.5) AS median FROM lineitem GROUP BY flag, run),
@@ -485,9 +509,8 @@ def counter_rate(spark, d):
     SELECT flag, round(x, 6) AS p95_change, round(y, 6) AS median_change, CASE WHEN x IS NULL OR y IS NULL THEN 'missing' WHEN x > 1 OR y > 1 THEN 'regression' WHEN x < -1 OR y < -1 THEN 'improvement' ELSE 'unmeasurable' END AS verdict FROM c""")
 def regression_verdict(spark, d):
     run = F.when(F.year("l_shipdate") % 2 == 0, "baseline").otherwise("candidate")
-    m = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), run.alias("run")).agg(
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median")
-    )
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), run.alias("run"), "l_extendedprice", "l_quantity")
+    m = profile.nearest_ranks(rows, "l_extendedprice", {"p95": 0.95}, ["flag", "run"]).join(profile.nearest_ranks(rows, "l_quantity", {"median": 0.5}, ["flag", "run"]), ["flag", "run"])
     out = metrics.verdict(m, ["flag"], "run", ("p95", "median"), 1.0)
     return out.select("flag", F.round("p95_change", 6).alias("p95_change"), F.round("median_change", 6).alias("median_change"), "verdict")
 
@@ -495,15 +518,26 @@ def regression_verdict(spark, d):
 # Renames and documents
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, p_name, CASE WHEN p_size % 3 = 0 THEN p_name ELSE upper(replace(p_name, 'cold', 'warm')) || '-' || lpad(CAST(p_size AS VARCHAR), 3, '0') END AS target FROM part),
-      s AS (SELECT *, count(*) OVER (PARTITION BY p_brand, upper(target)) AS same, p_name <> target AS moves FROM r),
-      k AS (SELECT DISTINCT p_brand AS f, upper(p_name) AS u FROM s WHERE NOT moves)
-    SELECT p_partkey, target, CASE WHEN NOT moves THEN 'unchanged' WHEN u IS NOT NULL THEN 'exists' WHEN same > 1 THEN 'duplicate' ELSE 'ready' END AS status FROM s LEFT JOIN k ON p_brand = f AND upper(target) = u""")
+@query("""WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 6 = 0 THEN 'copy 0' || lpad(CAST(p_partkey % 9 AS VARCHAR), 3, '0') || '.txt' ELSE p_name || '-' || p_partkey || '.txt' END AS old_name FROM part),
+      q AS (SELECT p.*, p_brand || '/' || old_name AS path FROM p QUALIFY row_number() OVER (PARTITION BY upper(p_brand || '/' || old_name) ORDER BY p_partkey) = 1),
+      n AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS k, length(CAST((SELECT count(*) FROM q) AS VARCHAR)) AS width FROM q),
+      r AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'copy ' || lpad(CAST((k + 1) % 13 AS VARCHAR), 4, '0') || '.txt' WHEN p_partkey % 7 = 0 THEN 'CON.txt'
+                      ELSE upper(replace(lower(left(old_name, length(old_name) - 4)), 'cold', 'warm')) || '.txt' END AS new_name FROM n),
+      s AS (SELECT *, count(*) OVER (PARTITION BY upper(p_brand), upper(new_name)) AS same FROM r)
+    SELECT p_partkey, new_name, CASE WHEN upper(left(new_name, length(new_name) - 4)) = 'CON' THEN 'invalid' WHEN new_name = old_name THEN 'unchanged'
+      WHEN upper(new_name) <> upper(old_name) AND EXISTS (SELECT 1 FROM q e WHERE upper(e.path) = upper(s.p_brand || '/' || s.new_name)) THEN 'exists' WHEN same > 1 THEN 'duplicate' ELSE 'ready' END AS status FROM s""")
 def rename_plan(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size")
-    new = rename.new_name(F.col("p_name"), F.col("p_size"), find="cold", replace="warm", template="{name}-{n}", digits=3, case="upper")
-    target = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(new)
-    return rename.plan(p, target, "p_brand", "p_name").select("p_partkey", "target", "status")
+    """All parts renamed by several rules at once: numbers, a replacement in capitals, a name that cannot be."""
+    old = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("copy 0"), F.lpad((F.col("p_partkey") % 9).cast("string"), 3, "0"), F.lit(".txt"))).otherwise(F.concat("p_name", F.lit("-"), "p_partkey", F.lit(".txt")))
+    p = t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), old).alias("path"), F.lit(False).alias("is_dir"))
+    p = p.groupBy(F.upper("path").alias("u")).agg(F.min_by(F.struct("p_partkey", "path", "is_dir"), "p_partkey").alias("r")).select("r.*")
+    rows = rename.ordinals(p, ["p_partkey"])
+    own = tx.base_name(F.col("path"))
+    digits = F.concat(F.lit("copy "), F.lpad(((F.col("ordinal") + 1) % 13).cast("string"), 4, "0"), F.lit(".txt"))
+    shout = rename.new_name(own, F.col("is_dir"), F.col("ordinal"), 1, rename.Rules(find="COLD", replace="warm", case="upper"))
+    english = F.translate(shout, "İ", "I")
+    target = F.when(F.col("p_partkey") % 3 == 0, digits).when(F.col("p_partkey") % 7 == 0, F.lit("CON.txt")).otherwise(english)
+    return rename.plan(rows, target).select("p_partkey", "new_name", "status")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS slot FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
@@ -514,8 +548,7 @@ def json_intent(spark, d):
 
 @query("""SELECT doc_id, sha256('{"n_chars":' || n_chars || ',"source":"' || source || '"}') AS fingerprint FROM documents""")
 def metric_fingerprint(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "n_chars", "source")
-    return docs.select("doc_id", F.sha2(F.to_json(F.struct("n_chars", "source")), 256).alias("fingerprint"))
+    return profile.fingerprint(t(spark, d, "documents").select("doc_id", "source", "n_chars"), keep="doc_id")
 
 
 @query("""SELECT token, n FROM (SELECT lower(translate(w, 'IİÄÖÜ', 'ıiäöü')) AS token, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY token)""")
@@ -532,15 +565,16 @@ def folder_listing(spark, d):
     return ranked(page, [F.col("is_dir").desc(), F.lower("name"), F.col("item_id")], "item_id", "is_dir")
 
 
-@query("""WITH s AS (SELECT event_type AS full_path, CAST(count(*) AS DOUBLE) AS score FROM events GROUP BY event_type),
+@query("""WITH s AS (SELECT lang AS full_path, CAST(count(*) AS DOUBLE) AS score FROM documents WHERE lang IS NOT NULL GROUP BY lang),
       two AS (SELECT *, row_number() OVER (ORDER BY score DESC, lower(full_path), full_path) AS i FROM s)
     SELECT a.full_path, a.score FROM two a LEFT JOIN two b ON b.i = 2 WHERE a.i = 1 AND a.score >= 100 AND (b.score IS NULL OR a.score - b.score >= greatest(40.0, 0.25 * abs(b.score)))""")
 def auto_open_pick(spark, d):
-    sums = t(spark, d, "events").groupBy(F.col("event_type").alias("full_path")).agg(F.count("*").cast("double").alias("score"))
+    """Languages as results, scored by their documents."""
+    sums = t(spark, d, "documents").where("lang IS NOT NULL").groupBy(F.col("lang").alias("full_path")).agg(F.count("*").cast("double").alias("score"))
     return views.auto_open(sums.withColumn("name", F.col("full_path")))
 
 
-@query(f"""{TREE}, c AS (SELECT id, path, CASE WHEN path = 'world/ASIA' OR starts_with(path, 'world/ASIA/') THEN 'world/ASIA' ELSE 'world' END AS root FROM tree WHERE depth <= 3),
+@query(f"""{TREE}, c AS (SELECT id, path, CASE WHEN path = 'world/ASIA' OR starts_with(path, 'world/ASIA/') THEN 'world/ASIA' ELSE 'world' END AS root FROM tree WHERE NOT starts_with(id, 'o')),
       p AS (SELECT id, root, list_filter(string_split(substr(path, length(root) + 2), '/'), lambda s: s <> '') AS parts FROM c)
     SELECT id, array_to_string(list_concat([root], list_transform(range(1, len(parts) + 1), lambda i: root || '/' || array_to_string(parts[1:i], '/'))), '|') AS crumbs FROM p""")
 def breadcrumbs(spark, d):

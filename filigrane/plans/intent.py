@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from datetime import date
 
+from pyspark.sql import DataFrame
+
+from filigrane.functions.text import fold_text
 from filigrane.operators.search import StructuredQuery, Term
-from filigrane.operators.views import CatalogFilter
+from filigrane.operators.views import CatalogFilter, auto_open
 
 # Words that say nothing about names.
 STOP_WORDS = frozenset(
@@ -80,58 +85,142 @@ def fallback(text: str, has_dates: bool = False, has_types: bool = False, most:
 
 
 def valid_date(text: str | None) -> str | None:
-    """A date as it is; anything else does not bind."""
-    return text if text and DATE.fullmatch(text) else None
-
-
-def from_documents(intent: dict, words: dict) -> StructuredQuery:
-    """The intent (mode, target, extensions, folders, bounds) and the keywords (anchors, phrases, context). The mode
-    `filter` holds unless an anchor says more than a kind, an extension or a folder; it takes no keywords."""
-    unknown = set(intent) - {"mode", "target", "hard_extensions", "soft_extensions", "folders", "created_from", "created_to_exclusive", "modified_from", "modified_to_exclusive", "min_mb", "max_mb", "open"}
-    if unknown or not isinstance(intent.get("hard_extensions", []), list):
-        raise ValueError(f"not an intent document: {sorted(unknown) or 'hard_extensions'}")
-    terms: list[Term] = []
+    """A day of the calendar as it is; anything else does not bind."""
+    if not text or not DATE.fullmatch(text):
+        return None
+    try:
+        date.fromisoformat(text)
+    except ValueError:
+        return None
+    return text
+
+
+FIELDS = frozenset({"mode", "target", "hard_extensions", "soft_extensions", "folders", "created_from", "created_to_exclusive", "modified_from", "modified_to_exclusive", "min_mb", "max_mb", "open"})
+TARGETS = {"any": (0.5, 0.5), "file": (1.0, 0.0), "folder": (0.0, 1.0)}
+
+
+def checked_intent(intent: dict) -> dict:
+    """The document if all its fields are known and of their kind; else ValueError."""
+    if unknown := set(intent) - FIELDS:
+        raise ValueError(f"not an intent document: {sorted(unknown)}")
+    for name in ("hard_extensions", "soft_extensions", "folders"):
+        if not isinstance(intent.get(name, []), list) or not all(isinstance(x, str) for x in intent.get(name, [])):
+            raise ValueError(f"{name} must be a list of texts")
+    if intent.get("mode", "search") not in ("search", "filter", "keyword") or intent.get("target", "any") not in TARGETS:
+        raise ValueError("unknown mode or target")
+    for name in ("min_mb", "max_mb"):
+        if intent.get(name) is not None and (isinstance(intent[name], bool) or not isinstance(intent[name], (int, float)) or intent[name] < 0):
+            raise ValueError(f"{name} must be a size")
+    return intent
+
+
+def weighted_terms(words: dict) -> list[Term]:
+    """Anchors (a group each), phrases and context with weights that fall with the position. Of equal texts the one with
+    the first role counts, then that with the largest weight; terms come by role, group and weight."""
+    found: list[tuple[int, Term]] = []
     for g, anchor in enumerate(words.get("anchors", [])):
-        terms.append(Term(anchor["primary"], decayed("primary", 0), g, "exact"))
-        terms += [Term(v, decayed("variant", i), g, "variant") for i, v in enumerate(anchor.get("variants", []))]
-        terms += [Term(v, decayed("translation", i), g, "variant") for i, v in enumerate(anchor.get("translations", []))]
-    n = len(words.get("anchors", []))
-    terms += [Term(p, decayed("phrase", i), n + i, "phrase") for i, p in enumerate(words.get("phrases", []))]
-    context = [w for w in words.get("context", []) if w not in words.get("phrases", [])]
+        found.append((0, Term(anchor["primary"], decayed("primary", 0), g, "exact")))
+        found += [(0, Term(v, decayed("variant", i), g, "variant")) for i, v in enumerate(anchor.get("variants", []))]
+        found += [(0, Term(v, decayed("translation", i), g, "variant")) for i, v in enumerate(anchor.get("translations", []))]
+    found += [(1, Term(p, decayed("phrase", i), -1, "phrase")) for i, p in enumerate(words.get("phrases", []))]
+    found += [(2, Term(c, decayed("context", i), -1, "context")) for i, c in enumerate(words.get("context", []))]
+    best: dict[str, tuple[int, Term]] = {}
+    for role, t in found:
+        held = best.get(t.text.lower())
+        if held is None or (role, -t.weight) < (held[0], -held[1].weight):
+            best[t.text.lower()] = (role, t)
+    return [t for role, t in sorted(best.values(), key=lambda x: (x[0], x[1].group, -x[1].weight))]
+
+
+def says_more(intent: dict, words: dict) -> bool:
+    """Whether an anchor names more than a kind, an extension or a folder that the filters hold already."""
+    told = {e.lower().lstrip(".") for name in ("hard_extensions", "soft_extensions") for e in intent.get(name, [])}
+    told |= {f.lower() for f in intent.get("folders", [])} | KIND_WORDS
+    primaries = [strip_plural((a.get("primary") or "").strip().lower()) for a in words.get("anchors", [])]
+    return any(p and p not in told for p in primaries)
+
+
+def from_documents(intent: dict, words: dict, text: str = "") -> StructuredQuery:
+    """The intent (mode, target, extensions, folders, bounds) and the keywords (anchors, phrases, context). The mode
+    `filter` holds unless an anchor says more than the filters; it takes no keywords. Anchors that name a hinted folder
+    move to the folder context. The best result is to be opened if the intent says so and the text has a verb for it."""
+    checked_intent(intent)
+    filter_only = intent.get("mode") == "filter" and not says_more(intent, words)
+    terms = [] if filter_only else weighted_terms(words)
     hard = tuple(e.lower() for e in intent.get("hard_extensions", []))
-    told = {e.lower().lstrip(".") for e in (*hard, *intent.get("soft_extensions", []))} | {f.lower() for f in intent.get("folders", [])} | KIND_WORDS
-    primaries = [strip_plural(a["primary"].strip().lower()) for a in words.get("anchors", [])]
-    filter_only = intent.get("mode") == "filter" and not any(p and p not in told for p in primaries)
-    if filter_only:
-        terms, context = [], []
-    low, high = valid_date(intent.get("created_from")), valid_date(intent.get("created_to_exclusive"))
-    if low and high and low >= high:
-        raise ValueError("the first date must be before the last")
+    bounds = {k: valid_date(intent.get(k)) for k in ("created_from", "created_to_exclusive", "modified_from", "modified_to_exclusive")}
+    for low, high in (("created_from", "created_to_exclusive"), ("modified_from", "modified_to_exclusive")):
+        if bounds[low] and bounds[high] and bounds[low] >= bounds[high]:
+            raise ValueError("the first date must be before the last")
     catalog = CatalogFilter(
-        created_from=low, created_before=high, modified_from=valid_date(intent.get("modified_from")), modified_before=valid_date(intent.get("modified_to_exclusive")),
+        created_from=bounds["created_from"], created_before=bounds["created_to_exclusive"], modified_from=bounds["modified_from"], modified_before=bounds["modified_to_exclusive"],
         min_mb=intent.get("min_mb"), max_mb=intent.get("max_mb"),
     )
-    target = intent.get("target", "any")
-    return StructuredQuery(
-        terms=tuple(terms),
-        context=tuple(Term(c, decayed("context", i), kind="context") for i, c in enumerate(context)),
+    files, folders = TARGETS[intent.get("target", "any")]
+    told = {e.lower().lstrip(".") for e in hard}
+    query = StructuredQuery(
+        terms=tuple(t for t in terms if t.kind != "context"),
+        context=tuple(t for t in terms if t.kind == "context"),
         folder_hints=tuple((f, 1.0) for f in intent.get("folders", [])),
-        soft_extensions=tuple(e for e in intent.get("soft_extensions", []) if e.lower() not in hard),
+        soft_extensions=tuple(e for e in intent.get("soft_extensions", []) if e.lower().lstrip(".") not in told),
         hard_extensions=hard,
-        file_weight={"file": 1.0, "folder": 0.0}.get(target, 0.5),
-        folder_weight={"file": 0.0, "folder": 1.0}.get(target, 0.5),
+        predicted_extensions=hard,
+        file_weight=files,
+        folder_weight=folders,
         catalog=catalog,
         filter_only=filter_only,
+        should_open=intent.get("open") is True and wants_open(text),
     )
+    return folders_out_of_terms(query)
 
 
 def folders_out_of_terms(query: StructuredQuery) -> StructuredQuery:
-    """Anchors that name a hinted folder only describe where to look; the last group stays."""
-    if not query.files_preferred:
+    """Where files are asked for, anchor groups that name a hinted folder tell where to look: they move from the terms to
+    the folder context, which filters. Nothing moves if no other anchor would be left."""
+    if not query.wants_files or not query.folder_hints:
+        return query
+    hints = {fold_text(h.lower()).lower() for h, _ in query.folder_hints}
+    named = {t.group for t in query.terms if t.anchors and fold_text(t.text.lower()).lower() in hints}
+    moved = tuple(t for t in query.terms if t.anchors and t.group in named)
+    left = tuple(t for t in query.terms if t not in moved)
+    if not moved or not any(t.anchors for t in left):
         return query
-    hints = {h.lower() for h, _ in query.folder_hints}
-    groups = sorted({t.group for t in query.terms})
-    moved = [g for g in groups if any(t.group == g and t.text.lower() in hints for t in query.terms)]
-    if len(moved) == len(groups):
-        moved = moved[:-1]
-    return replace(query, terms=tuple(t for t in query.terms if t.group not in moved))
+    return replace(query, terms=left, folder_context=moved)
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a request came to: its rows, how they were found, why not as asked, what to open and the plan."""
+
+    results: DataFrame
+    mode: str  # standard, offline, advanced, rules
+    used_fallback: bool = False
+    reason: str | None = None
+    open_path: DataFrame | None = None
+    query: StructuredQuery | None = None
+
+
+def serve(
+    text: str, *, natural: bool, online: bool, standard: Callable[[str], DataFrame], advanced: Callable[[StructuredQuery], DataFrame], parse: Callable[[str], StructuredQuery]
+) -> Outcome:
+    """Plain requests and those without a connection go to the standard search. Others are parsed, by rules if the parser
+    fails; where the token index is not ready (`LookupError`) the standard search answers."""
+    if not natural:
+        return Outcome(standard(text), "standard")
+    if not online:
+        return Outcome(standard(text), "offline", True, "no connection")
+    mode = "advanced"
+    try:
+        query = parse(text)
+    except Exception as error:  # whatever the parser cannot do, the rules answer, and the reason is kept
+        mode, query = "rules", replace(by_rules(text), fallback_reason=str(error))
+    try:
+        found = advanced(query)
+    except LookupError as error:
+        return Outcome(standard(text), "standard", True, str(error))
+    return Outcome(found, mode, mode == "rules", query.fallback_reason, auto_open(found) if query.should_open else None, query)
+
+
+def refresh(before: Outcome, text: str, *, standard: Callable[[str], DataFrame], advanced: Callable[[StructuredQuery], DataFrame]) -> Outcome:
+    """The same request again: a stored plan is not parsed anew, and nothing is opened."""
+    return replace(before, results=advanced(before.query) if before.query else standard(text), open_path=None)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filigrane.functions.shared import materialize
 from filigrane.operators.changes import emit_kind
 from filigrane.operators.metrics import fold_rates
 from filigrane.sources.logs import load_snapshot, save_snapshot
@@ -55,33 +56,124 @@ def rates(stream: DataFrame, key: str = "key", ts: str = "observed_at", value: s
 
 
 # Reasons of journal records.
-CREATE, DELETE, SECURITY, OLD_NAME, NEW_NAME, BASIC_INFO, REPARSE = 0x100, 0x200, 0x800, 0x1000, 0x2000, 0x8000, 0x100000
+CREATE, DELETE, SECURITY, OLD_NAME, NEW_NAME, BASIC_INFO, REPARSE, CLOSE = 0x100, 0x200, 0x800, 0x1000, 0x2000, 0x8000, 0x100000, 0x80000000
 DATA = 0x1 | 0x2 | 0x4 | 0x10 | 0x20 | 0x40
-
-
-def project_journal(records: DataFrame, folders: DataFrame) -> DataFrame:
-    """Events of a batch of records, ordered by each file's last position.
-
-    folders: file_ref and path of the directories known before the batch. Directories that the batch creates or moves
-    are added, those that it deletes still resolve their children. Records under an unknown parent give nothing.
+DIRECTORY = 16
+MAX_DEPTH = 512
+
+
+def has(bits: int) -> Column:
+    return F.col("reason").bitwiseAND(F.lit(bits)) != 0
+
+
+def folder_versions(records: DataFrame, folders: DataFrame) -> DataFrame:
+    """ref, parent, name and the positions [since, until) in which a directory has them. Deleted directories keep their
+    last place until the batch ends, so what was below them still resolves."""
+    old_only = has(OLD_NAME) & ~has(NEW_NAME)
+    own = records.where((F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0) & ~old_only & ~has(DELETE))
+    own = own.select(F.col("file_ref").alias("ref"), F.col("parent_ref").alias("parent"), "name", F.col("usn").alias("since"))
+    every = folders.select(F.col("file_ref").alias("ref"), F.col("parent_ref").alias("parent"), "name", F.lit(-1).cast("long").alias("since")).unionByName(own)
+    until = F.lead("since").over(Window.partitionBy("ref").orderBy("since"))
+    return every.withColumn("until", F.coalesce(until, F.lit((1 << 63) - 1)))
+
+
+def paths_at(asked: DataFrame, versions: DataFrame, root_ref: int, root_path: str, separator: str = "\\") -> DataFrame:
+    """`path` of each asked directory (ref) at a position (usn), or null: walks up, one level a round, with the names that
+    the directories had at that position."""
+    front = materialize(asked.select("ref", "usn").distinct().select("ref", "usn", F.col("ref").alias("at"), F.lit("").alias("tail")), "walk")
+    done = None
+    for _ in range(MAX_DEPTH):
+        here = front.where(F.col("at") == F.lit(root_ref)).select("ref", "usn", F.concat(F.lit(root_path), "tail").alias("path"))
+        done = here if done is None else done.unionByName(here)
+        rest = front.where(F.col("at") != F.lit(root_ref))
+        at = versions.select(F.col("ref").alias("at"), "parent", "name", "since", "until")
+        up = rest.join(at, "at").where((F.col("usn") > F.col("since")) & (F.col("usn") <= F.col("until")))
+        front = materialize(up.select("ref", "usn", F.col("parent").alias("at"), F.concat(F.lit(separator), "name", "tail").alias("tail")), "walk")
+        if front.isEmpty():
+            break
+    return done
+
+
+def journal_gap(records: DataFrame, root_ref: int) -> DataFrame:
+    """One row: why the batch cannot be projected, or null. The root was renamed or deleted; a name is not a single
+    segment; a file's old name comes twice without a new one between."""
+    broken = (F.col("file_ref") == F.lit(root_ref)) & has(OLD_NAME | NEW_NAME | DELETE)
+    bad = (F.col("file_ref") != F.lit(root_ref)) & (F.rlike("name", F.lit(r"[\\/:]")) | F.col("name").isin("", ".", ".."))
+    renames = records.where(has(OLD_NAME | NEW_NAME) & (F.col("file_ref") != F.lit(root_ref)))
+    before = F.lag((has(OLD_NAME) & ~has(NEW_NAME))).over(Window.partitionBy("file_ref").orderBy("usn"))
+    twice = renames.withColumn("__b", before).where("__b").where(has(OLD_NAME) & ~has(NEW_NAME)).agg(F.min("usn").alias("t"))
+    found = records.agg(F.min(F.when(broken, F.col("usn"))).alias("b"), F.min(F.when(bad, F.col("usn"))).alias("i")).crossJoin(twice)  # one row each
+    late = F.lit((1 << 63) - 1)
+    invalid = F.least(F.coalesce("i", late), F.coalesce("t", late))
+    reason = F.when(F.col("b").isNotNull() & (F.col("b") <= invalid), "root-identity-changed").when(invalid < late, "feed-state-invalid")
+    return found.select(reason.alias("gap"))
+
+
+def project_journal(records: DataFrame, folders: DataFrame, root_ref: int = 5, root_path: str = "C:", excluded: Column | None = None) -> DataFrame:
+    """Events of a batch of records, by the last position of what they tell.
+
+    folders: file_ref, parent_ref and name of the directories known before the batch. Records of a file tell one thing
+    until its old name comes or its new one has come; paths are those at the record's position, so folders that the batch
+    creates, moves or nests resolve, and what is below a moved folder resolves to both places. A closing record that only
+    repeats the last rename tells nothing. Records under an unknown parent give nothing, or a deletion if they had a
+    visible old name. `excluded`: a condition on `path` of what must not be seen; a rename across it is split. A batch
+    with a gap (`journal_gap`) gives no events.
     """
-    has = lambda bits: F.col("reason").bitwiseAND(F.lit(bits)) != 0
-    moved = records.where((has(CREATE) | has(NEW_NAME)) & (F.col("attributes").bitwiseAND(F.lit(16)) != 0)).groupBy("file_ref").agg(F.max_by(F.struct("parent_ref", "name"), "usn").alias("at"))
-    new = moved.select("file_ref", "at.parent_ref", "at.name").join(folders.select(F.col("file_ref").alias("parent_ref"), "path"), "parent_ref").select("file_ref", F.concat_ws("\\", "path", "name").alias("path"))
-    known = folders.join(new.select("file_ref"), "file_ref", "left_anti").unionByName(new)
-    paths = lambda c, f: f.select(F.col("file_ref").alias(c), F.concat_ws("\\", F.col("path")).alias(f"{c}_path"))
-    w = Window.partitionBy("file_ref")
-    last, first = w.orderBy(F.col("usn").desc()), w.orderBy("usn")
-    rows = records.withColumns({"__last": F.row_number().over(last), "__all": F.bit_or("reason").over(w)})
-    rows = rows.withColumn("__old", F.first(F.when(has(OLD_NAME), F.struct("parent_ref", "name")), ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    one = rows.where("__last = 1").withColumns({"new_parent": F.col("parent_ref"), "old_parent": F.col("__old.parent_ref")})
-    one = one.join(paths("new_parent", known), "new_parent", "left").join(paths("old_parent", folders), "old_parent", "left")
-    all_ = lambda bits: F.col("__all").bitwiseAND(F.lit(bits)) != 0
-    now = F.when(F.col("new_parent_path").isNotNull(), F.concat_ws("\\", "new_parent_path", "name"))
-    old = F.when(all_(OLD_NAME) & F.col("old_parent_path").isNotNull(), F.concat_ws("\\", "old_parent_path", F.col("__old.name")))
-    event = F.explode(emit_kind(old, now, all_(DELETE), all_(CREATE) | all_(NEW_NAME), all_(DATA | BASIC_INFO | SECURITY | REPARSE)))
-    out = one.select("usn", F.col("attributes").bitwiseAND(F.lit(16)).cast("boolean").alias("is_dir"), all_(SECURITY | REPARSE).alias("refresh_subtree"), event.alias("e"))
-    return out.select("usn", "e.kind", "e.path", "e.old_path", "is_dir", "refresh_subtree").where("path IS NOT NULL").orderBy("usn")
+    gap = journal_gap(records, root_ref)
+    own = records.where(F.col("file_ref") != F.lit(root_ref))
+    versions = materialize(folder_versions(own, folders), "versions")
+    where = paths_at(own.select(F.col("parent_ref").alias("ref"), "usn"), versions, root_ref, root_path)
+    placed = own.join(where.select(F.col("ref").alias("parent_ref"), "usn", F.col("path").alias("folder")), ["parent_ref", "usn"], "left")
+    path = F.when(F.col("folder").isNotNull(), F.concat(F.col("folder"), F.lit("\\"), F.col("name")))
+    if excluded is not None:
+        placed = placed.withColumn("path", path)
+        path = F.when(~excluded, F.col("path"))
+    by_file = Window.partitionBy("file_ref").orderBy("usn")
+    is_dir = F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0
+    rows = placed.withColumns({"path": path, "is_dir": is_dir, "old_only": has(OLD_NAME) & ~has(NEW_NAME), "new": has(NEW_NAME)})
+    place = F.struct("parent_ref", "name", "is_dir")
+    renamed = F.last(F.when(F.col("new"), place), ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    started = F.last(F.when(F.col("old_only"), F.lit(1)).when(F.col("new"), F.lit(0)), ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    again = F.col("new") & has(CLOSE) & (F.coalesce(started, F.lit(0)) == 0) & F.coalesce(renamed == place, F.lit(False))
+    rows = rows.withColumn("again", again)
+    rows = rows.withColumn("reason", F.when(F.col("again"), F.col("reason").bitwiseAND(F.lit(~(OLD_NAME | NEW_NAME | CLOSE)))).otherwise(F.col("reason"))).withColumn("new", F.col("new") & ~F.col("again"))
+    starts = F.col("old_only") | F.coalesce(F.lag("new").over(by_file), F.lit(True))
+    rows = rows.withColumn("segment", F.sum(starts.cast("int")).over(by_file))
+    counts = ~F.col("old_only") & ((F.col("path").isNotNull() & (F.col("reason") != 0)) | F.col("new"))
+    told = F.col("path").isNotNull() & ~F.col("old_only")
+    any_ = lambda bits: F.max((told & has(bits)).cast("int")) == 1
+    one = rows.groupBy("file_ref", "segment").agg(
+        F.max_by(F.when(F.col("old_only"), F.col("path")), F.when(F.col("old_only"), F.col("usn"))).alias("old"),
+        F.max_by(F.struct("path"), F.when(counts, F.col("usn"))).alias("now"),
+        any_(DELETE).alias("deleted"), (any_(CREATE) | any_(NEW_NAME)).alias("created"), any_(DATA | BASIC_INFO | SECURITY | REPARSE).alias("modified"),
+        (F.max((has(SECURITY | REPARSE) & (F.col("path").isNotNull() | F.col("old_only"))).cast("int")) == 1).alias("refresh_subtree"),
+        F.max_by("is_dir", "usn").alias("is_dir"), F.max(F.when(F.col("old_only") | counts, F.col("usn"))).alias("usn"),
+    )
+    event = F.explode(emit_kind(F.col("old"), F.col("now.path"), F.col("deleted"), F.col("created"), F.col("modified")))
+    out = one.where("usn IS NOT NULL").select("usn", "is_dir", "refresh_subtree", event.alias("e")).where("e.path IS NOT NULL")
+    out = out.crossJoin(F.broadcast(gap)).where("gap IS NULL")  # one row
+    return out.select("usn", "e.kind", "e.path", "e.old_path", "is_dir", "refresh_subtree").orderBy("usn")
+
+
+def folders_after(records: DataFrame, folders: DataFrame) -> DataFrame:
+    """The directory map when the batch is accepted: last places, without what was deleted and all below it."""
+    last = folder_versions(records, folders).where(F.col("until") == F.lit((1 << 63) - 1)).select(F.col("ref").alias("file_ref"), F.col("parent").alias("parent_ref"), "name")
+    final = records.groupBy("file_ref").agg(F.max_by("reason", "usn").alias("reason")).where(has(DELETE)).select("file_ref")
+    left = materialize(last.join(final, "file_ref", "left_anti"), "folders")
+    front = materialize(final, "gone")
+    while not front.isEmpty():
+        front = materialize(left.join(front.select(F.col("file_ref").alias("parent_ref")), "parent_ref", "left_semi").select("file_ref"), "gone")
+        left = materialize(left.join(front, "file_ref", "left_anti"), "folders")
+    return left
+
+
+def changed_files(records: DataFrame, most: int = 20_000) -> DataFrame:
+    """A page for a reader that fetches present states: distinct files in the order in which they were first seen, at most
+    `most`, and `next_usn`, the position to go on from: behind all records, or at the first file left out."""
+    first = records.groupBy("file_ref").agg(F.min("usn").alias("first_usn")).orderBy("first_usn", "file_ref").limit(most + 1)
+    page = first.withColumn("i", F.row_number().over(Window.orderBy("first_usn", "file_ref")))  # a bounded page
+    end = page.agg(F.min(F.when(F.col("i") > most, F.col("first_usn"))).alias("cut")).crossJoin(records.agg((F.max("usn") + 1).alias("behind")))
+    return page.where(F.col("i") <= most).crossJoin(F.broadcast(end)).select("file_ref", "first_usn", F.coalesce("cut", "behind").alias("next_usn"))
 
 
 def read_gap(journal_id: int, first_usn: int, next_usn: int, expected_id: int, accepted: int) -> str | None:

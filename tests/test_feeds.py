@@ -1,14 +1,16 @@
 """Sources, snapshots and streams."""
 
+import base64
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from filigrane.functions import codecs
 from filigrane.operators import changes
 from filigrane.operators.metrics import fold_rates
-from filigrane.sources import journal, logs
-from filigrane.streaming import feeds
+from filigrane.sources import journal, logs, store
+from filigrane.streaming import feeds, queue
 
 SCHEMA = "k long, v long"
 
@@ -22,12 +24,98 @@ def test_metric_log(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    df = spark.createDataFrame([(1, 2)], SCHEMA)
-    assert logs.load_snapshot(spark, str(tmp_path), 3) is None
-    logs.save_snapshot(df, str(tmp_path), 3)
-    assert logs.load_snapshot(spark, str(tmp_path), 3).collect() == df.collect()
-    df.write.mode("append").parquet(f"{tmp_path}/v={3:012d}/data")  # more rows than the manifest says
-    assert logs.load_snapshot(spark, str(tmp_path), 3) is None
+    df = spark.createDataFrame([(1, 2), (1, 2)], SCHEMA)
+    root = str(tmp_path)
+    assert logs.load_snapshot(spark, root, 3) is None and logs.latest_version(spark, root) == 0
+    assert logs.save_snapshot(df, root, 3) and not logs.save_snapshot(df, root, 3)  # one of several writers succeeds
+    assert logs.load_snapshot(spark, root, 3).collect() == df.collect() and logs.latest_version(spark, root) == 3
+    assert logs.load_snapshot(spark, root, 3, {"rows": 5}) is None
+    data = logs.manifest_of(spark, root, 3)["data"]
+    df.write.mode("append").parquet(f"{root}/v={3:012d}/{data}")  # more rows than the manifest says
+    assert logs.load_snapshot(spark, root, 3) is None
+    assert store.open_if(spark, root, 3, {}, lambda: df.limit(1)).count() == 1
+    logs.save_snapshot(df, root, 4)
+    (tmp_path / f"v={4:012d}" / "manifest.json").write_text("{damaged")
+    assert logs.load_snapshot(spark, root, 4) is None and logs.drop_versions(spark, root, 4) == [3]
+
+
+def test_store(spark, tmp_path):
+    s = store.Store(spark, f"{tmp_path}/s")
+    s.put("a", "1")
+    s.exclude(["x", "y"])
+    s.exclude(["x"])
+    assert s.get("a") == "1" and s.get("b") is None and s.excluded() == ["x", "y"] and s.read("files") is None
+    rows = spark.createDataFrame([("d/a", "d", 3), ("d/b", "d", 0), ("e/c", "e", 1)], "full_path string, parent_path string, open_count long")
+    assert s.upsert("files", rows, "one") and not s.upsert("files", rows, "one")
+    s.upsert("files", rows.limit(1).withColumn("open_count", F.lit(0).cast("long")), "two")
+    assert sorted((r.full_path, r.open_count) for r in s.files_of("d").collect()) == [("d/a", 3), ("d/b", 0)]
+    assert [tuple(r) for r in s.opened(rows.where("full_path = 'd/b'").select("full_path"), "three").collect()] == [("d/b", 1)]
+    assert [tuple(r) for r in s.counts().collect()] == [("files", 3)] and s.compact("files") == [1, 2]
+    with pytest.raises(ValueError):
+        s.write("directories", rows.union(rows), "four", "full_path")
+    s.clear()
+    assert s.read("files") is None
+
+
+EVENT = "root string, generation long, gap string, fault string, position long, kind string, path string, old_path string, is_dir boolean"
+
+
+def test_queue_and_pulls(spark, tmp_path):
+    rows = [("r1", 1, None, None, i, "created", f"p{i}" * 10, None, False) for i in range(20)] + [("r2", 1, None, None, 0, "deleted", "x" * 900, None, False)]
+    q = queue.Queue(spark, f"{tmp_path}/q", 500)
+    written = q.enqueue(spark.createDataFrame(rows, EVENT), "C", 0, 50)
+    events = q.read(written)
+    assert len(written) > 3 and events.where("root = 'r1'").count() == 20 and events.where("gap = 'entry-too-large'").count() == 1
+    page, more = q.pending(2)
+    assert more and {r.sequence for r in page.collect()} == set(written[:2])
+    page, more = q.pending(64, 1)
+    assert more and {r.sequence for r in page.collect()} == {written[0]}  # the first one in any case
+    session = queue.PullSession(q, "me", "rights", ("r1", "r2"))
+    first = session.pull(most=2)
+    assert first["receipt"] is None and first["batch_id"] == session.pull(most=2)["batch_id"]
+    rest = session.pull(first["continuation"], 100)
+    with pytest.raises(PermissionError):
+        session.pull(first["continuation"])
+    seen = []
+    assert queue.adopt([first, rest], lambda df: seen.append(df.count()), lambda roots: seen.append(roots)) == ["r2"] and seen[-1] == ["r2"]
+    assert session.ack(rest["receipt"]) == 1 and q.sequences() == []
+    with pytest.raises(PermissionError):
+        session.ack(rest["receipt"])
+    again = q.enqueue(spark.createDataFrame(rows[:1], EVENT), "C", 50, 60)
+    assert again[0] == written[-1] + 1 and q.discard("C", 55) == again
+
+
+def test_drain_reads_again_until_accepted(spark, tmp_path):
+    records = spark.createDataFrame([(i, 100 + i, 5, 0x100, 0, f"f{i}") for i in range(10)], journal.RECORD)
+    q = queue.Queue(spark, f"{tmp_path}/q")
+    cursor = queue.Cursor(spark, f"{tmp_path}/cursor.json", 1)
+    project = lambda r: r.selectExpr("'r' AS root", "1L AS generation", "CAST(NULL AS STRING) AS gap", "CAST(NULL AS STRING) AS fault", "usn AS position", "'created' AS kind", "name AS path", "CAST(NULL AS STRING) AS old_path", "false AS is_dir")
+    batch, gap = cursor.read(records, 1, 0, 6)
+    assert gap is None and batch.count() == 6 == cursor.read(records, 1, 0, 6)[0].count()
+    assert queue.drain(q, cursor, records, (1, 0, 6), project, "C") == ([1], None) and cursor.accepted() == 6
+    assert cursor.read(records, 1, 0, 10)[0].count() == 4 and cursor.read(records, 2, 0, 10)[1] == "journal-replaced" and cursor.read(records, 1, 7, 10)[1] == "position-lost"
+    late = q.enqueue(project(records.where("usn >= 6")), "C", 6, 10)  # a crash before the cursor moved
+    assert queue.drain(q, cursor, records, (1, 0, 10), project, "C")[0] and late[0] not in q.sequences()
+    lease = queue.Lease().renewed(0.0, 9999.0)
+    assert lease.held(599.0) and not lease.held(600.0)
+    assert queue.drain(q, cursor, records, (1, 0, 10), project, "C", lease, 1.0) == ([], None)
+    refresh = queue.Coalescer()
+    assert refresh.request() and not refresh.request() and not refresh.request() and refresh.done() and not refresh.done()
+    plan = queue.PollPlan()
+    assert [plan.step(700, True, True, 0, 0, True), plan.step(100, True, False, 0, 0, True), plan.step(1, False, True, 0, 0, True), plan.step(31, False, False, 0, 0, False)] == ["rescan", "wait", "apply", "save"]
+
+
+def test_codecs():
+    for n in (0, 1, 127, 128, 300, 1 << 40):
+        assert codecs.read_varint(codecs.varint(n)) == (n, len(codecs.varint(n)))
+        assert codecs.unzigzag(codecs.zigzag(n)) == n and codecs.unzigzag(codecs.zigzag(-n)) == -n
+        assert codecs.unpack_ticks(*codecs.pack_ticks(n)) == n
+    assert codecs.unpack_postings(codecs.pack_postings([9, 3, 3, 500])) == [3, 9, 500]
+    rows = [(-5, 5, "çş", 32, 10, 1, 2), (7, -1, "half\ud800", 16, 0, 0, 0)]
+    assert codecs.unpack_entries(codecs.pack_entries(rows)) == rows and codecs.unpack_entries(None) == []
+    with pytest.raises(ValueError):
+        codecs.unpack_entries(base64.b64encode(base64.b64decode(codecs.pack_entries(rows))[:-1]).decode())
+    assert codecs.fnv1a(b"a") == 0xE40C292C
 
 
 def test_journal_round_trip(spark):
@@ -71,19 +159,35 @@ def test_file_records(spark):
 
 
 def test_projection(spark):
-    folders = spark.createDataFrame([(5, "C:"), (6, "C:\\old")], "file_ref long, path string")
+    folders = spark.createDataFrame([(6, 5, "old"), (7, 6, "deep")], "file_ref long, parent_ref long, name string")
     rows = [
-        (1, 20, 5, feeds.CREATE, 16, "dir"), (2, 21, 20, feeds.CREATE, 0, "child"), (3, 22, 99, feeds.CREATE, 0, "unknown"),
-        (4, 23, 5, feeds.OLD_NAME, 0, "a"), (5, 23, 5, feeds.NEW_NAME, 0, "b"), (6, 24, 6, feeds.OLD_NAME, 0, "m"), (7, 24, 99, feeds.NEW_NAME, 0, "m"),
-        (8, 25, 5, feeds.CREATE, 0, "tmp"), (9, 25, 5, feeds.DELETE, 0, "tmp"), (10, 26, 5, 2, 0, "mod"),
+        (1, 20, 5, feeds.CREATE, 16, "dir"), (2, 21, 20, feeds.CREATE, 16, "child"), (3, 22, 99, feeds.CREATE, 0, "unknown"), (4, 29, 21, feeds.CREATE, 0, "leaf"),
+        (5, 23, 5, feeds.OLD_NAME, 0, "a"), (6, 23, 5, feeds.NEW_NAME, 0, "b"), (7, 24, 6, feeds.OLD_NAME, 0, "m"), (8, 24, 99, feeds.NEW_NAME, 0, "m"),
+        (9, 25, 5, feeds.CREATE, 0, "tmp"), (10, 25, 5, feeds.DELETE, 0, "tmp"), (11, 26, 7, 2, 0, "mod"), (12, 6, 5, feeds.OLD_NAME, 16, "old"), (13, 6, 5, feeds.NEW_NAME, 16, "new"),
+        (14, 27, 7, 2, 0, "after"), (15, 6, 5, feeds.NEW_NAME | feeds.CLOSE, 16, "new"), (16, 23, 5, feeds.OLD_NAME, 0, "b"), (17, 23, 5, feeds.NEW_NAME, 0, "B"),
     ]
-    got = feeds.project_journal(spark.createDataFrame(rows, journal.RECORD), folders).collect()
+    records = spark.createDataFrame(rows, journal.RECORD)
+    got = feeds.project_journal(records, folders).collect()
     assert [(r.kind, r.path, r.old_path) for r in got] == [
-        ("created", "C:\\dir", None), ("created", "C:\\dir\\child", None), ("renamed", "C:\\b", "C:\\a"), ("deleted", "C:\\old\\m", None), ("deleted", "C:\\tmp", None), ("modified", "C:\\mod", None),
+        ("created", "C:\\dir", None), ("created", "C:\\dir\\child", None), ("created", "C:\\dir\\child\\leaf", None), ("renamed", "C:\\b", "C:\\a"), ("deleted", "C:\\old\\m", None),
+        ("deleted", "C:\\tmp", None), ("modified", "C:\\old\\deep\\mod", None), ("renamed", "C:\\new", "C:\\old"), ("modified", "C:\\new\\deep\\after", None), ("created", "C:\\B", None),
     ]
+    left = {r.file_ref: (r.parent_ref, r.name) for r in feeds.folders_after(records, folders).collect()}
+    assert left == {6: (5, "new"), 7: (6, "deep"), 20: (5, "dir"), 21: (20, "child")}
+    private = feeds.project_journal(records, folders, excluded=F.startswith("path", F.lit("C:\\new"))).collect()
+    assert ("deleted", "C:\\old", None) in [(r.kind, r.path, r.old_path) for r in private] and not any(r.path.startswith("C:\\new") for r in private)
+    broken = records.union(spark.createDataFrame([(18, 5, 5, feeds.OLD_NAME, 16, "x")], journal.RECORD))
+    assert feeds.project_journal(broken, folders).count() == 0 and feeds.journal_gap(broken, 5).head()[0] == "root-identity-changed"
     assert feeds.read_gap(2, 0, 9, 1, 5) == "journal-replaced" and feeds.read_gap(1, 6, 9, 1, 5) == "position-lost" and feeds.read_gap(1, 0, 9, 1, 5) is None
 
 
+def test_current_links(spark):
+    rows = [(30, bytearray(file_record([(5, 1, "long name.txt"), (6, 1, "link.txt")]))), (31, bytearray(file_record([(5, 1, "other")])))]
+    segments = spark.createDataFrame(rows, "number long, content binary")
+    asked = spark.createDataFrame([(3 << 48 | 30,), (4 << 48 | 31,)], "file_ref long")
+    assert sorted(r.name for r in journal.current_links(segments, asked).collect()) == ["link.txt", "long name.txt"]
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     parts = [[(1, 10), (2, 20)], [(2, 21), (3, 30)], [(1, 11)]]
     empty = spark.createDataFrame([], SCHEMA)

@@ -84,6 +84,6 @@ def test_filter_mode():
 
 def test_breadcrumbs_of_deep_folders(spark, sf_dir, monkeypatch):
     rows = spark.createDataFrame([("root", None, "world", True), ("f", "root", "file", False), *[(f"d{i}", f"d{i - 1}" if i else "root", f"n{i}", True) for i in range(5)]], "id string, parent_id string, name string, is_dir boolean")
-    monkeypatch.setattr(catalogue, "_tree", lambda spark, d: tree.reachable(rows, "root", depth=6))
+    monkeypatch.setattr(catalogue, "_tree", lambda spark, d: tree.reachable(rows, "root"))
     got = {r.id: r.crumbs for r in catalogue.QUERIES["breadcrumbs"](spark, sf_dir).collect()}
     assert set(got) == {"root", "d0", "d1", "d2", "d3", "d4"} and got["d4"].endswith("|world/n0/n1/n2/n3/n4")
