@@ -259,11 +259,13 @@ def mixed_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, docs:
     parts = members.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n")).where("main.n < n")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("bucket", F.col("main.class").alias("main"), blocks(F.col("main.n")).alias("m"), blocks(F.col("n") - F.col("main.n")).alias("r"))
+    large = F.col("n") > BLOCK  # a bucket of one block is one group
+    m, r = F.when(large, blocks(F.col("main.n"))).otherwise(0), F.when(large, blocks(F.col("n") - F.col("main.n"))).otherwise(1)
+    mixed = mixed.select("bucket", F.col("main.class").alias("main"), m.alias("m"), r.alias("r"))
     rows = materialize(members.join(materialize(mixed, "mixed"), "bucket"), "members")
     # Blocks 0 to m - 1 hold the largest component, the r blocks behind them all others.
-    h, inside = F.xxhash64("node"), F.col("class") == F.col("main")
-    own = F.when(inside, F.pmod(h, F.col("m"))).otherwise(F.col("m") + F.pmod(h, F.col("r"))).cast("int")
+    h, inside = F.xxhash64("node"), (F.col("class") == F.col("main")) & (F.col("m") > 0)
+    own = F.when(inside, F.pmod(h, F.greatest("m", F.lit(1)))).otherwise(F.col("m") + F.pmod(h, F.col("r"))).cast("int")
     others = F.sequence(F.when(inside, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("r") - 1)
     spread = rows.withColumn("own", own).withColumn("other", F.explode(others))
     spread = spread.select("node", "class", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
