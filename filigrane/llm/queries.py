@@ -82,12 +82,6 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_fertility_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op6 that do not depend on the trie."""
-    out = op6_partial_matching(spark, sf_dir)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
-
-
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op10 that do not depend on the choice of documents."""
     return op10_budget_fit(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -96,7 +90,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_subword_embeddings, op2_fertility_rules, op3_dart_minhash, op4_bloom_cascade, op5_output_codes, op6_partial_matching, op7_wu_manber, op8_suffix_sort, op9_token_records, op10_budget_fit,
-              rule_counts, unigram_scores, mix_targets)
+              rule_counts, mix_targets)
 }
 
 ORACLE = {
