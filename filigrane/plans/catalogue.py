@@ -273,30 +273,31 @@ def tree_children(spark, d):
     return tree.children(_tree(spark, d), "n3").select("id", "name")
 
 
-@query(f"{TREE} SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree WHERE starts_with(id, 'c')")
+@query(f"{TREE} SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree")
 def tree_ancestors(spark, d):
-    return tree.closure(_tree(spark, d)).where("descendant LIKE 'c%'").select("ancestor", "descendant")
+    return tree.closure(_tree(spark, d)).select("ancestor", "descendant")
 
 
-@query(f"{TREE} SELECT id FROM tree WHERE list_contains(ancestors, 'n3') AND starts_with(id, 'c')")
+@query(f"{TREE} SELECT id FROM tree WHERE list_contains(ancestors, 'n3')")
 def folder_expansion(spark, d):
+    """All that a matched folder is replaced by."""
     rows = _tree(spark, d).select(F.col("id").alias("full_path"), "ancestors", "is_dir", "name")
     matched = rows.where("full_path = 'n3'").drop("ancestors")
-    return search.expand_folders(matched, rows, False).where("full_path LIKE 'c%'").select(F.col("full_path").alias("id"))
+    return search.expand_folders(matched, rows, False).select(F.col("full_path").alias("id"))
 
 
-@query(f"{TREE} SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree")
+@query(f"{TREE} SELECT a.ancestor, a.descendant, t.depth - u.depth AS distance FROM (SELECT unnest(ancestors) AS ancestor, id AS descendant FROM tree) a JOIN tree t ON t.id = a.descendant JOIN tree u ON u.id = a.ancestor")
 def tree_closure(spark, d):
-    """The ancestors of every row; `tree_ancestors` shows those of the customers alone, as its SQL says."""
-    return tree.closure(_tree(spark, d)).select("ancestor", "descendant")
+    """The ancestors of every row and how far they are above it."""
+    return tree.closure(_tree(spark, d)).select("ancestor", "descendant", "distance")
 
 
-@query(f"{TREE} SELECT id FROM tree WHERE list_contains(ancestors, 'n3')")
+@query(f"{TREE} SELECT id, NOT starts_with(id, 'o') AS is_dir FROM tree WHERE list_has_any(ancestors, ['n3', 'r0'])")
 def folder_contents(spark, d):
-    """All that a matched folder is replaced by; `folder_expansion` shows the customers alone, as its SQL says."""
+    """A nation and a region of others, in place of which comes all that is below them, each row once."""
     rows = _tree(spark, d).select(F.col("id").alias("full_path"), "ancestors", "is_dir", "name")
-    matched = rows.where("full_path = 'n3'").drop("ancestors")
-    return search.expand_folders(matched, rows, False).select(F.col("full_path").alias("id"))
+    matched = rows.where("full_path IN ('n3', 'r0')").drop("ancestors")
+    return search.expand_folders(matched, rows, False).select(F.col("full_path").alias("id"), "is_dir")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01')")

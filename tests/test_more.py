@@ -45,7 +45,7 @@ def test_closure_is_whole(spark, sf_dir):
 
 def test_folder_contents_are_whole(spark, sf_dir):
     """Below a nation are its customers and all of their orders."""
-    got = {r.kind: r.n for r in catalogue.QUERIES["folder_contents"](spark, sf_dir).groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    got = {r.kind: r.n for r in catalogue.QUERIES["folder_expansion"](spark, sf_dir).groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n")).collect()}
     own = catalogue.t(spark, sf_dir, "customer").where("c_nationkey = 3")
     orders = catalogue.t(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
     assert got == {"c": own.count(), "o": orders.count()}
