@@ -52,6 +52,25 @@ def reachable(entries: DataFrame, root, id_col: str = "id", parent_col: str = "p
     return reduce(DataFrame.unionByName, levels).drop("__open")
 
 
+def searchable(entries: DataFrame, tree: DataFrame, id_col: str = "id") -> DataFrame:
+    """All entries with `path`: those whose parents have not come yet are found by name at once, and have none so far."""
+    return entries.join(tree.select(F.col("id").alias(id_col), "path"), id_col, "left")
+
+
+def walk_below(entries: DataFrame, start, id_col: str = "id", parent_col: str = "parent_id", surrogate_col: str = "surrogate", listed_col: str = "listed", volume_col: str = "volume") -> tuple[DataFrame, DataFrame]:
+    """The directories below one, and one row with how many were skipped: links elsewhere and other volumes are neither
+    taken nor entered, what cannot be listed is taken but not entered. Nothing is taken if the start cannot be entered."""
+    home = entries.where(F.col(id_col) == F.lit(start)).select(F.col(volume_col).alias("__home"), F.col(surrogate_col).alias("__s"))
+    rows = entries.crossJoin(F.broadcast(home))  # one row
+    foreign = F.col(surrogate_col) | (F.col(volume_col) != F.col("__home"))
+    own = rows.withColumns({"__foreign": foreign, "__closed": foreign | ~F.col(listed_col), "__dir": F.lit(True), "__name": F.lit("")})
+    found = reachable(own, start, id_col, parent_col, "__name", "__dir", closed_col="__closed").select(F.col("id").alias(id_col))
+    marked = own.join(found, id_col, "left_semi")
+    taken = marked.where(~F.col("__foreign") & (F.col(id_col) != F.lit(start)) & ~F.col("__s"))
+    skipped = marked.agg(F.count_if(F.col("__foreign") | ~F.col(listed_col)).alias("skipped"))
+    return taken.select(*entries.columns), skipped
+
+
 def without_system(entries: DataFrame, root, id_col: str = "id") -> DataFrame:
     """Entries but for those with the numbers that the file system keeps for itself; the root stays."""
     return entries.where((F.col(id_col).bitwiseAND(F.lit((1 << 48) - 1)) >= SYSTEM_RECORDS) | (F.col(id_col) == F.lit(root)))
@@ -192,6 +211,11 @@ def visible(tree: DataFrame, denied: DataFrame, id_col: str = "id") -> DataFrame
     return tree.join(hidden, "id", "left_anti")
 
 
+def visible_where(tree: DataFrame, can_list) -> DataFrame:
+    """`visible` with a condition on rows in place of a table: what it does not hold for hides all below it."""
+    return visible(tree, tree.where(F.col("is_dir") & ~F.coalesce(can_list, F.lit(False))).select("id"))
+
+
 def descendants_from(tree: DataFrame, folders: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows below any of the folders of a table, each once."""
     wanted = folders.select(F.col(id_col).alias("__up")).distinct()

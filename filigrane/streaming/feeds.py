@@ -6,6 +6,8 @@ not applied twice. Gaps are rows that ask for a rebuild of their root.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,15 +17,23 @@ from pyspark.sql import functions as F
 from filigrane.functions.shared import materialize
 from filigrane.operators.changes import emit_kind
 from filigrane.operators.metrics import fold_rates
+from filigrane.sources import files
 from filigrane.sources.logs import load_snapshot, save_snapshot
 
 
-def merge_sink(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame) -> Callable[[DataFrame, int], None]:
+def merge_sink(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame, key: str | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: version n + 1 of the snapshot is version n merged with batch n. A batch whose version is there
-    already is a replay and changes nothing."""
+    already is a replay and changes nothing.
+
+    With a `key`, which `merge` must not move rows across, the snapshot is kept in buckets by its hash: a version names a
+    table for each bucket, and only the buckets of the batch's keys are merged and written; `read_buckets` reads it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if key:
+            merge_buckets(batch, batch_id)
+            return
         if load_snapshot(spark, root, batch_id + 1) is not None:
             return
         before = load_snapshot(spark, root, batch_id) if batch_id else empty
@@ -31,9 +41,41 @@ def merge_sink(root: str, merge: Callable[[DataFrame, DataFrame], DataFrame], em
             raise RuntimeError(f"snapshot {batch_id} of {root} is missing or damaged; rebuild it before going on")
         save_snapshot(merge(before, batch), root, batch_id + 1)
 
+    def merge_buckets(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if files.exists(spark, f"{root}/buckets-{batch_id + 1:012d}.json"):
+            return
+        text = files.read_text(spark, f"{root}/buckets-{batch_id:012d}.json")
+        if batch_id and text is None:
+            raise RuntimeError(f"version {batch_id} of {root} is missing; rebuild it before going on")
+        places = json.loads(text) if text else {}
+        slot = F.pmod(F.xxhash64(key), F.lit(buckets))
+        batch = batch.withColumn("__slot", slot)
+        touched = [r[0] for r in batch.select("__slot").distinct().collect()]  # at most `buckets`
+        old = [places[str(b)] for b in touched if str(b) in places]
+        before = spark.read.schema(empty.schema).parquet(*old) if old else empty
+        after = merge(before, batch.drop("__slot")).withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        own = f"{root}/data/{batch_id + 1:012d}-{uuid.uuid4().hex}"
+        after.repartition("__slot").write.partitionBy("__slot").parquet(own)
+        there = set(files.list_names(spark, own))
+        for b in touched:
+            places.pop(str(b), None)
+            if f"__slot={b}" in there:
+                places[str(b)] = f"{own}/__slot={b}"
+        files.claim(spark, f"{root}/buckets-{batch_id + 1:012d}.json", json.dumps(places))
+
     return write
 
 
+def read_buckets(spark: SparkSession, root: str, version: int, schema) -> DataFrame:
+    """A version that `merge_sink` keeps in buckets."""
+    text = files.read_text(spark, f"{root}/buckets-{version:012d}.json")
+    if text is None:
+        raise RuntimeError(f"there is no version {version} of {root}")
+    places = list(json.loads(text).values())
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Process what there is and stop; the checkpoint keeps the position."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

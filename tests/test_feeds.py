@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigrane.functions import codecs
-from filigrane.operators import changes
+from filigrane.operators import changes, tree
 from filigrane.operators.metrics import fold_rates
-from filigrane.sources import journal, logs, store
+from filigrane.sources import journal, logs, store, synthetic
 from filigrane.streaming import feeds, queue
 
 SCHEMA = "k long, v long"
@@ -155,7 +155,6 @@ def test_file_records(spark):
     rows = [(30, bytearray(good)), (31, torn), (32, bytearray(b"BAAD")), (33, bytearray(file_record([(5, 1, "gone")], in_use=False)))]
     got = journal.file_table(spark.createDataFrame(rows, "number long, content binary")).collect()
     assert sorted((r.file_ref, r.parent_ref, r.name, r.size_bytes) for r in got) == [(3 << 48 | 30, 5, "long name.txt", 1234), (3 << 48 | 30, 6, "link.txt", 1234)]
-    assert journal.synthetic_corpus(spark, 40).where("is_dir").count() == 2
 
 
 def test_projection(spark):
@@ -213,3 +212,43 @@ def test_streamed_rates(spark, tmp_path):
         q = out.writeStream.foreachBatch(lambda df, i: kept.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
         q.awaitTermination()
     assert [r.rate for r in sorted(kept, key=lambda r: r.observed_at)] == fold_rates([(i, v) for _, i, v in rows], 0.25)
+
+
+def test_synthetic_corpus(spark):
+    """One sequence from the first item on, whatever the partitions; jumps land where steps lead."""
+    x, plain = 1701, []
+    for i in range(300):
+        parts = []
+        for choices in (synthetic.FIRST, synthetic.SECOND, synthetic.EXTENSIONS)[: 2 if i % 20 == 0 else 3]:
+            x ^= x << 13 & 0xFFFFFFFF
+            x ^= x >> 17
+            x ^= x << 5 & 0xFFFFFFFF
+            parts.append(choices[x % len(choices)])
+        plain.append(f"{parts[0]}-{parts[1]}-{i:07d}{''.join(parts[2:])}")
+    rows = synthetic.synthetic_corpus(spark, 300)
+    got = {r.item_id: r for r in rows.collect()}
+    assert [got[i].name for i in range(300)] == plain and sum(r.is_dir for r in got.values()) == 15 and got[128].parent_path.endswith("d00001")
+    assert synthetic.corpus_fingerprint(rows) == synthetic.corpus_fingerprint(rows.repartition(7)) != synthetic.corpus_fingerprint(synthetic.synthetic_corpus(spark, 300, 5))
+    assert synthetic.jump(12345, 7) == synthetic.step(synthetic.jump(12345, 6))
+
+
+def test_bucketed_merges(spark, tmp_path):
+    empty = spark.createDataFrame([], SCHEMA)
+    sink = feeds.merge_sink(f"{tmp_path}/s", lambda a, b: changes.upsert(a, b, "k"), empty, "k", 8)
+    want = {}
+    for i, part in enumerate([[(k, k) for k in range(50)], [(3, -3), (77, 7)], []]):
+        sink(spark.createDataFrame(part, SCHEMA), i)
+        want.update(part)
+        assert {r.k: r.v for r in feeds.read_buckets(spark, f"{tmp_path}/s", i + 1, SCHEMA).collect()} == want
+    sink(spark.createDataFrame([(9, 99)], SCHEMA), 1)  # a replay
+    assert {r.k: r.v for r in feeds.read_buckets(spark, f"{tmp_path}/s", 2, SCHEMA).collect()} == want
+    assert len(list((tmp_path / "s" / "data").glob("000000000002-*/__slot=*"))) <= 2  # only the buckets of the batch
+
+
+def test_walk_below(spark):
+    rows = [(1, None, False, True, 7), (2, 1, False, True, 7), (3, 1, True, True, 7), (4, 3, False, True, 7), (5, 2, False, False, 7), (6, 5, False, True, 7), (8, 2, False, True, 9)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, surrogate boolean, listed boolean, volume int")
+    taken, skipped = tree.walk_below(df, 1)
+    assert sorted(r.id for r in taken.collect()) == [2, 5] and skipped.head().skipped == 3
+    names = tree.searchable(df.withColumn("name", F.col("id").cast("string")), tree.reachable(df.withColumns({"name": F.col("id").cast("string"), "is_dir": F.col("id") != 3}), 1))
+    assert sorted(r.id for r in names.where("path IS NULL").collect()) == [4]
