@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filigrane.functions.shared import materialize
 from filigrane.functions.text import base_name, parent_path
 
 # Names that no file can have, and characters that no name holds (beside the control characters).
@@ -85,9 +86,13 @@ def new_name(name: Column, is_dir: Column, number: Column, width: int, rules: Ru
 
 
 def ordinals(files: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
-    """`ordinal` from 0 in the order of the columns: numbered within ranges, with the sizes of the ranges before."""
+    """`ordinal` from 0 in the order of the columns: numbered within ranges, with the sizes of the ranges before.
+
+    The numbered ranges are written once, since Spark samples their bounds anew wherever it computes them: sizes and rows
+    would come from different ranges, and each reader of the result would see other numbers.
+    """
     ranged = files.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    own = materialize(ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "ordinals")
     sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each part
     return own.join(F.broadcast(before), "__part").withColumn("ordinal", F.col("__own") + F.col("__before") - 1).drop("__part", "__own", "__n", "__before")

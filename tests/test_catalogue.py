@@ -366,3 +366,27 @@ def test_event_batches(spark):
     events = spark.createDataFrame(ev, "ordinal long, kind string, full_path string, old_path string, is_dir boolean, size_bytes long, modified string")
     got = {r.full_path: (r.size_bytes, r.open_count) for r in live.apply_events(df, events).collect()}
     assert got == {"n": (0, 1), "n/x": (1, 2), "w": (0, 3), "w/y": (1, 4), "z": (9, 5)}
+
+
+def test_ordinals_beyond_the_sample_of_bounds(spark):
+    """More rows than Spark samples for the bounds of ranges; numbers have no gap, whichever columns are read."""
+    rows = spark.range(60_000).select("id", F.concat(F.lit("f"), "id").alias("path"), (F.col("id") % 7).alias("tie"))
+    numbered = rename.ordinals(rows, ["id"])
+    assert numbered.count() == 60_000 and numbered.where("path <> concat('f', ordinal)").count() == 0
+    tied = rename.ordinals(rows, ["tie"]).select("path", "tie", "ordinal")
+    got = tied.toPandas().sort_values("ordinal")
+    assert list(got.ordinal) == list(range(60_000)) and got.tie.is_monotonic_increasing and got.path.nunique() == 60_000
+    both = tied.join(tied.select("path", F.col("ordinal").alias("again")), "path")
+    assert both.where("ordinal = again").count() == 60_000
+
+
+def test_rename_plan_of_a_larger_table(spark, sf_dir, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    step = part.agg(F.max("p_partkey") + 1).head()[0]
+    copies = part.crossJoin(spark.range(40_000 // part.count())).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * step).drop("id")
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = catalogue.QUERIES["rename_plan"](spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(c.execute(catalogue.ORACLE["rename_plan"]).df())
